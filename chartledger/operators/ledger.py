@@ -67,13 +67,14 @@ def known_path(path: Column, paths: list[str] | None = None) -> Column:
     return path.isin(*(paths or question_paths())) | F.coalesce(entry, F.lit(False))
 
 
+def _texts(values) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
 def options_by_path(questions=QUESTIONS) -> Column:
     """MAP from question path to its option values."""
-    pairs = []
-    for q in questions:
-        if q[4]:
-            pairs += [F.lit(q[2]), F.array(*[F.lit(v) for v in option_values(q)])]
-    return F.create_map(*pairs)
+    entries = [f"'{q[2]}', {_texts(option_values(q))}" for q in questions if q[4]]
+    return F.expr(f"map({', '.join(entries)})")
 
 
 def rejection_reason(candidate_granted: Column, questions=QUESTIONS, paths=None) -> Column:
@@ -170,10 +171,9 @@ def field_status(
         .filter("reason = 'declined'")
         .groupBy("session_id").agg(F.collect_set("path").alias("_declined"))
     )
-    asked = F.array(
-        *[F.struct(F.lit(q[0]).alias("question_id"), F.lit(q[1]).alias("section"),
-                   F.lit(q[2]).alias("path")) for q in questions]
-    )
+    asked = F.expr("array(" + ", ".join(
+        f"named_struct('question_id', '{q[0]}', 'section', '{q[1]}', 'path', '{q[2]}')"
+        for q in questions) + ")")
     rows = (
         sessions.select("session_id").join(recorded, "session_id", "left")
         .join(last, "session_id", "left")
@@ -335,17 +335,13 @@ def validate_taps(answers: DataFrame, questions=QUESTIONS) -> DataFrame:
     """
     from chartledger.config.rules import SCALE_MAX, SCALE_MIN
 
-    def table(fn, kinds=None):
-        pairs = []
-        for q in questions:
-            if kinds is None or q[3] in kinds:
-                pairs += [F.lit(q[0]), fn(q)]
-        return F.create_map(*pairs)
-
-    texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    kind = F.try_element_at(table(lambda q: F.lit(q[3])), F.col("question_id"))
-    options = F.try_element_at(table(lambda q: texts(option_values(q))), F.col("question_id"))
-    alone = F.try_element_at(table(lambda q: texts(exclusive_values(q))), F.col("question_id"))
+    def of_question(fn):
+        entries = ", ".join(f"'{q[0]}', {fn(q)}" for q in questions)
+        return F.expr(f"try_element_at(map({entries}), question_id)")
+
+    kind = of_question(lambda q: f"'{q[3]}'")
+    options = of_question(lambda q: f"CAST({_texts(option_values(q))} AS ARRAY<STRING>)")
+    alone = of_question(lambda q: f"CAST({_texts(exclusive_values(q))} AS ARRAY<STRING>)")
     choice = F.size(options) > 0
     number = F.try_element_at("picked", F.lit(1)).try_cast("int")
     reason = (

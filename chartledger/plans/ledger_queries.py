@@ -192,7 +192,8 @@ judged AS (
     WHEN required_scope IS NOT NULL
       AND NOT coalesce(list_contains(string_split(granted, '|'), required_scope), false)
       THEN 'scope_not_granted'
-    WHEN coded AND NOT coalesce(len(list_filter(items, lambda x: NOT list_contains(vals, x))) = 0, false)
+    WHEN coded AND NOT coalesce(vals IS NOT NULL
+      AND len(list_filter(items, lambda x: NOT list_contains(vals, x))) = 0, false)
       THEN 'not_in_vocabulary'
     WHEN NOT coded AND NOT coalesce(
       CASE WHEN selected IS NOT NULL

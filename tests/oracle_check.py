@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import tempfile
 from decimal import Decimal
 
 import duckdb
@@ -12,6 +13,9 @@ from chartledger.plans.bindings import BASE_TABLES
 def connect(sf_dir):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
+    con.execute("SET memory_limit='8GB'")
+    con.execute("SET max_temp_directory_size='1GB'")
+    con.execute(f"SET temp_directory='{tempfile.mkdtemp(prefix='run-')}'")
     for table in BASE_TABLES:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     return con
