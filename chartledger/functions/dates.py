@@ -1,50 +1,45 @@
 """Dates written in text, with the precision each one was written to."""
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartledger.config.vocabulary import DATE_CUES, MONTHS
+from chartledger.functions.once import computed_once
 
 _MONTH = "(" + "|".join(MONTHS) + ")"
 
-# Date notations, in the order they are tried, and the precision of each.
+# Date notations in the order they are tried: pattern, how its groups spell a date,
+# the format of that spelling, and the precision.
 DATE_PATTERNS = (
-    (r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})\b", (3, 2, 1), "exact"),
-    (r"\b(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})\b", (1, 2, 3), "exact"),
-    (rf"(?i)\b(\d{{1,2}})\s+{_MONTH}[a-z]*\s+(\d{{4}})\b", (3, 2, 1), "exact"),
-    (rf"(?i)\b{_MONTH}[a-z]*\s+(\d{{4}})\b", (2, 1, None), "month"),
-    (r"\b((?:19|20)\d{2})\b", (1, None, None), "year"),
+    (r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})\b", "$3 $2 $1", "yyyy M d", "exact"),
+    (r"\b(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})\b", "$1 $2 $3", "yyyy M d", "exact"),
+    (rf"\b(\d{{1,2}})\s+{_MONTH}[a-z]*\s+(\d{{4}})\b", "$3 $2 $1", "yyyy MMM d", "exact"),
+    (rf"\b{_MONTH}[a-z]*\s+(\d{{4}})\b", "$2 $1 1", "yyyy MMM d", "month"),
+    (r"\b((?:19|20)\d{2})\b", "$1 1 1", "yyyy M d", "year"),
 )
 DATE_CUE = r"(?i)\b(?:" + "|".join(DATE_CUES) + r")\b"
-
-
-def _month_number(part: Column) -> Column:
-    short = F.lower(F.substring(part, 1, 3))
-    pos = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), short)
-    return F.when(pos > 0, pos.cast("string")).otherwise(part)
-
-
-def _candidate(text: Column, pattern: str, groups) -> Column:
-    year, month, day = groups
-    y = F.regexp_extract(text, pattern, year)
-    m = _month_number(F.regexp_extract(text, pattern, month)) if month else F.lit("1")
-    d = F.regexp_extract(text, pattern, day) if day else F.lit("1")
-    padded = F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
-    hit = text.rlike(pattern) & (y != "0000")
-    return F.when(hit, F.try_to_date(padded, "yyyy-MM-dd"))
-
-
-def parse_dates(text: Column) -> Column:
-    """STRUCT<day DATE, precision STRING>: the first notation whose first match is a real date."""
-    found = [
-        F.struct(_candidate(text, p, g).alias("day"), F.lit(kind).alias("precision"))
-        for p, g, kind in DATE_PATTERNS
-    ]
-    nothing = F.struct(F.lit(None).cast("date").alias("day"), F.lit("unknown").alias("precision"))
-    return reduce(
-        lambda rest, one: F.when(one["day"].isNotNull(), one).otherwise(rest),
-        reversed(found),
-        nothing,
-    )
+_MARK = "\u0001"
+
+
+def with_dates(rows: DataFrame, text: str, day: str, precision: str) -> DataFrame:
+    """Add the date written in a text: of the first notation whose first match is a real date.
+
+    Each notation runs once per row and rewrites the text to its parts; a text without four
+    digits in a row runs none.
+    """
+    may_hold = F.col(text).rlike(r"\d{4}")
+    spelled, days = {}, {}
+    for i, (pattern, parts, fmt, _precision) in enumerate(DATE_PATTERNS):
+        found = F.regexp_replace(F.col(text), rf"(?is)^.*?{pattern}.*$", _MARK + parts)
+        spelled[f"_s{i}"] = F.when(may_hold, found)
+        here = F.col(f"_s{i}")
+        days[f"_d{i}"] = F.when(
+            here.startswith(_MARK), F.try_to_date(F.initcap(F.substring(here, 2, 30)), fmt))
+    rows = computed_once(computed_once(rows, **spelled), **days)
+    first = F.coalesce(*[
+        F.when(F.col(f"_d{i}").isNotNull(), kind) for i, (_p, _s, _f, kind) in
+        enumerate(DATE_PATTERNS)
+    ], F.lit("unknown"))
+    return rows.withColumns(
+        {day: F.coalesce(*[F.col(d) for d in days]), precision: first}
+    ).drop(*spelled, *days)

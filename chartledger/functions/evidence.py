@@ -38,15 +38,19 @@ def _text_is_echoed(raw: Column, haystack: Column, text: Column) -> Column:
     )
 
 
-def value_evidence(value: Column, span: Column) -> Column:
+def value_evidence(
+    value: Column, span: Column, hay: Column | None = None, text: Column | None = None
+) -> Column:
     """True when the span is evidence for the value.
 
     A span made by selecting options proves exactly the options selected. Otherwise booleans and
     numbers need no echo, and a text needs to appear in the span: as a piece of it (or it of the
-    text), as the same number, or word by word. A list needs all of its elements.
+    text), as the same number, or word by word. A list needs all of its elements. ``hay`` and ``text`` take `span_haystack` and
+    `span_text` where the caller has computed them already.
     """
     selected = span["selected_values"]
-    hay, text = span_haystack(span), span_text(span)
+    hay = span_haystack(span) if hay is None else hay
+    text = span_text(span) if text is None else text
     is_list = value["kind"] == "list"
     by_selection = F.when(
         is_list,

@@ -13,7 +13,13 @@ from chartledger.config.vocabulary import (
     REQUIRED_SCOPES,
     CONSENT_SCOPES,
 )
-from chartledger.functions.evidence import span_digest, value_evidence
+from chartledger.functions.evidence import (
+    span_digest,
+    span_haystack,
+    span_text,
+    value_evidence,
+)
+from chartledger.functions.once import computed_once
 from chartledger.functions.ordered import with_next_marked
 from chartledger.functions.values import value_items
 
@@ -80,7 +86,7 @@ def options_by_path(questions=QUESTIONS) -> Column:
 def rejection_reason(candidate_granted: Column, questions=QUESTIONS, paths=None) -> Column:
     """Why a candidate may not be recorded: the first gate it fails, null if it passes all.
 
-    Reads the columns span, value, tier, path, required_scope and coded. ``coded`` marks values
+    Reads the columns span, value, tier, path, required_scope, coded, _hay, _said. ``coded`` marks values
     that must belong to the option set of their path instead of appearing in the text.
     """
     span, value, tier, path = F.col("span"), F.col("value"), F.col("tier"), F.col("path")
@@ -103,7 +109,8 @@ def rejection_reason(candidate_granted: Column, questions=QUESTIONS, paths=None)
               & ~F.coalesce(F.array_contains(candidate_granted, scope), false),
               "scope_not_granted")
         .when(F.col("coded") & ~F.coalesce(in_vocabulary, false), "not_in_vocabulary")
-        .when(~F.col("coded") & ~value_evidence(value, span), "value_not_evidenced")
+        .when(~F.col("coded") & ~value_evidence(
+            value, span, F.col("_hay"), F.col("_said")), "value_not_evidenced")
     )
 
 
@@ -115,7 +122,10 @@ def judge_facts(candidates: DataFrame, scopes: DataFrame, questions=QUESTIONS) -
     held = candidates.join(scopes.select("session_id", "granted"), "session_id", "left")
     if "coded" not in candidates.columns:
         held = held.withColumn("coded", F.lit(False))
-    return held.withColumn("reason", rejection_reason(F.col("granted"), questions)).drop("granted")
+    span = F.col("span")
+    held = computed_once(held, _hay=span_haystack(span), _said=span_text(span))
+    judged = computed_once(held, reason=rejection_reason(F.col("granted"), questions))
+    return judged.drop("granted", "_hay", "_said")
 
 
 def admit_facts(

@@ -224,7 +224,7 @@ SELECT fact_id * 2 + 0 AS evidence_id, fact_id,
                     ELSE 'Patient seen ' || substr(CAST(day AS STRING), 9, 2) || '/'
                          || substr(CAST(day AS STRING), 6, 2) || '/'
                          || substr(CAST(day AS STRING), 1, 4) || ' ' || p_brand END AS text,
-               CASE WHEN k % 11 = 0 THEN NULL ELSE CAST(40 + k * 6 / 10 AS DOUBLE) / 100 END
+               CASE WHEN k % 11 = 0 THEN NULL ELSE CAST(52 + k % 75 AS DOUBLE) / 128 END
                    AS confidence,
                k % 13 = 0 AS handwritten
         FROM ev JOIN part ON p_partkey = event_id % 200"""),
