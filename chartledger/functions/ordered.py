@@ -25,25 +25,34 @@ def _carry_back(rows: DataFrame, carry: DataFrame, group) -> DataFrame:
 
 
 def with_previous(
-    df: DataFrame, group: list[str], order: list[str], chunk: Column, cols: list[str], out: str
+    df: DataFrame, group: list[str], order: list[str], chunk: Column, cols: list[str], out: str,
+    position: str | None = None,
 ) -> DataFrame:
-    """Add `out`: a STRUCT of `cols` from the row just before, null on a group's first row."""
+    """Add `out`: a STRUCT of `cols` from the row just before, null on a group's first row.
+
+    With ``position``, also add the row's zero-based place in its group.
+    """
     rows = df.withColumn(_CHUNK, chunk)
     payload = F.struct(*cols)
-    inside = rows.withColumn(
-        _HERE, F.lag(payload).over(W.partitionBy(*_keys(group)).orderBy(*order))
-    )
+    here = W.partitionBy(*_keys(group)).orderBy(*order)
+    inside = rows.withColumn(_HERE, F.lag(payload).over(here))
     tails = rows.groupBy(*_keys(group)).agg(
-        F.max_by(payload, F.struct(*order)).alias("_tail")
-    )
-    carry = tails.withColumn(
-        _CARRY, F.lag("_tail").over(W.partitionBy(*group).orderBy(_CHUNK))
-    )
-    return (
-        _carry_back(inside, carry, group)
-        .withColumn(out, F.coalesce(_HERE, _CARRY))
-        .drop(_CHUNK, _CARRY, _HERE)
+        F.max_by(payload, F.struct(*order)).alias("_tail"), F.count(F.lit(1)).alias("_rows"),
     )
+    over_chunks = W.partitionBy(*group).orderBy(_CHUNK)
+    carry = tails.withColumn(_CARRY, F.lag("_tail").over(over_chunks))
+    extra = []
+    if position is not None:
+        inside = inside.withColumn(position, F.row_number().over(here) - 1)
+        before = over_chunks.rowsBetween(W.unboundedPreceding, -1)
+        carry = carry.withColumn("_before", F.sum("_rows").over(before))
+        extra = ["_before"]
+    joined = inside.join(carry.select(*_keys(group), _CARRY, *extra), _keys(group), "left")
+    joined = joined.withColumn(out, F.coalesce(_HERE, _CARRY))
+    if position is not None:
+        joined = joined.withColumn(
+            position, F.col(position) + F.coalesce("_before", F.lit(0))).drop("_before")
+    return joined.drop(_CHUNK, _CARRY, _HERE)
 
 
 def with_running_max(
