@@ -228,6 +228,36 @@ SELECT fact_id * 2 + 0 AS evidence_id, fact_id,
                    AS confidence,
                k % 13 = 0 AS handwritten
         FROM ev JOIN part ON p_partkey = event_id % 200"""),
+    "truth": (("ev", "part"), f"""
+        SELECT CAST(floor(event_id / 10) AS BIGINT) AS doc_id, event_id AS truth_id,
+               CASE WHEN k % 10 <= 2 THEN 'medication' WHEN k % 10 = 6 THEN 'diagnosis'
+                    ELSE 'investigation' END AS kind,
+               CASE WHEN event_id % 7 = 0 THEN 'zzzzzzzzzzzzzz' WHEN k % 10 <= 2 THEN p_name
+                    WHEN k % 10 = 6 THEN p_name || ' since' WHEN k % 10 = 3 THEN 'HbA1c'
+                    WHEN k % 10 = 4 THEN 'Serum creatinine' ELSE 'Fasting glucose' END AS name,
+               CASE WHEN k % 10 <= 1 THEN CAST(p_size AS STRING) || ' mg'
+                    WHEN k % 10 = 2 THEN '9 ml' END AS dose,
+               CASE WHEN k % 10 = 3 THEN 'high' WHEN k % 10 IN (4, 8) THEN 'in_range' END AS flag
+        FROM ev JOIN part ON p_partkey = event_id % 200
+        WHERE k % 10 IN (0, 1, 2, 3, 4, 6, 8)"""),
+    "result": (("ev",), """
+        SELECT event_id AS script_id, event_type AS difficulty, k % 20 <> 0 AS ok,
+               CASE WHEN k % 4 = 0 THEN 'held' ELSE 'dev' END AS set_name,
+               k % 12 AS facts_recorded, CASE WHEN k % 31 = 0 THEN 1 ELSE 0 END
+                   AS facts_without_source,
+               CASE WHEN k % 17 = 0 THEN 2 ELSE 0 END AS unsourced_claims,
+               CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN 'A|B' ELSE 'C' END AS expected_flags,
+               CASE event_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'A|B' WHEN 2 THEN 'C|D' ELSE '' END
+                   AS fired_flags,
+               CASE WHEN event_id % 8 = 2 THEN 'D' ELSE 'E' END AS forbidden_flags,
+               CASE k % 3 WHEN 0 THEN 'routine' WHEN 1 THEN 'immediate' ELSE 'urgent' END
+                   AS expected_priority,
+               CASE event_id % 3 WHEN 0 THEN 'routine' WHEN 1 THEN 'immediate' ELSE 'urgent' END
+                   AS actual_priority,
+               k % 9 + 1 AS expected_slots, (k % 9 + 1) * (event_id % 2) AS matched_slots,
+               CAST(k % 65 AS DOUBLE) / 64 AS completeness,
+               CAST(floor(value) AS BIGINT) AS duration_ms
+        FROM ev"""),
     "talk": (("conversations",), """
         SELECT conv_id, turn, role, text,
                CASE (conv_id + turn) % 5 WHEN 0 THEN 'hpi.site' WHEN 1 THEN 'hpi.associated'

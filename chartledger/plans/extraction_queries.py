@@ -153,7 +153,7 @@ def _(v):
 
 
 _INHERITED = _ENTITY + _DOCDATE[_DOCDATE.index(", docd"):] + """
-, inh AS (SELECT ent.*, coalesce(day, document_date) AS observed_on,
+, inh AS (SELECT ent.*, document_date, coalesce(day, document_date) AS observed_on,
    CASE WHEN day IS NULL AND document_date IS NOT NULL THEN document_precision ELSE precision END
      AS date_precision,
    CASE WHEN day IS NOT NULL THEN 'own_line' WHEN document_date IS NOT NULL
