@@ -7,13 +7,14 @@ from chartledger.plans import (
     longitudinal_queries,
     promotion_queries,
     rule_queries,
+    source_queries,
     trace_queries,
     utterance_queries,
 )
 
 MODULES = (
     longitudinal_queries, ledger_queries, rule_queries, extraction_queries, utterance_queries,
-    governance_queries, trace_queries, promotion_queries,
+    governance_queries, trace_queries, promotion_queries, source_queries,
 )
 
 
