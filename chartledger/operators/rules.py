@@ -55,12 +55,20 @@ def evaluate_rules(
         low = [c for c in order]
         extra = extra_values.withColumns({c: first for c in low if c not in extra_values.columns})
         active = active.unionByName(extra, allowMissingColumns=True)
+    conditions = [c for r in rules for clause in r[3] for c in clause]
+    # All facts go in, so a session whose facts touch no rule path still gets its (unfired) rows.
+    wide, names = latest_values(active, list(keys), paths_in(conditions), list(order))
+    return evaluate_wide(wide, names, rules, keys)
+
+
+def evaluate_wide(
+    wide: DataFrame, names: dict[str, str], rules=ESCALATION_RULES,
+    keys: tuple[str, ...] = ("session_id",),
+) -> DataFrame:
+    """`evaluate_rules` on rows that already hold one value column per path (see `names`)."""
     conditions = {
         _condition_key(c): c for _id, _lv, _lb, clauses in rules for cl in clauses for c in cl
     }
-    paths = paths_in(conditions.values())
-    # All facts go in, so a session whose facts touch no rule path still gets its (unfired) rows.
-    wide, names = latest_values(active, list(keys), paths, list(order))
     get = column_lookup(names)
     held = {key: f"c{i}" for i, key in enumerate(conditions)}
     tested = wide.select(

@@ -8,6 +8,7 @@ from chartledger.plans import (
     promotion_queries,
     rule_queries,
     source_queries,
+    stream_queries,
     trace_queries,
     utterance_queries,
 )
@@ -15,6 +16,7 @@ from chartledger.plans import (
 MODULES = (
     longitudinal_queries, ledger_queries, rule_queries, extraction_queries, utterance_queries,
     governance_queries, trace_queries, promotion_queries, source_queries,
+    stream_queries,
 )
 
 
