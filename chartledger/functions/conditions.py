@@ -1,93 +1,95 @@
-"""The condition language over sparse path-to-value facts, compiled to boolean columns."""
+"""The condition language over sparse path-to-value facts, compiled to boolean SQL text.
+
+``get`` maps a path to the SQL text of its value (a column name, a map lookup), or to None where
+the path cannot be recorded. Text is used because one expression then takes one call to build.
+"""
 
 from collections.abc import Callable
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chartledger.functions.values import value_items, value_number
+_COMPARE = {"gt": ">", "lt": "<", "gte": ">=", "lte": "<="}
+Lookup = Callable[[str], str | None]
+
 
-_COMPARE = {
-    "gt": lambda a, b: a > b,
-    "lt": lambda a, b: a < b,
-    "gte": lambda a, b: a >= b,
-    "lte": lambda a, b: a <= b,
-}
+def quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _equals(value: Column, wanted) -> Column:
+def _equals(value: str, wanted) -> str:
     """Typed membership: the wanted scalar is one of the value's elements."""
     if isinstance(wanted, bool):
-        return F.coalesce(value["b"] == F.lit(wanted), F.lit(False))
+        return f"coalesce({value}.b = {str(wanted).lower()}, false)"
     if isinstance(wanted, (int, float)):
-        return F.coalesce(value["n"] == F.lit(float(wanted)), F.lit(False))
-    return F.coalesce(value["s"] == F.lit(wanted), F.lit(False)) | F.coalesce(
-        F.array_contains(value["a"], wanted), F.lit(False)
-    )
+        return f"coalesce({value}.n = {float(wanted)}D, false)"
+    word = quote(wanted)
+    return (f"(coalesce({value}.s = {word}, false) "
+            f"OR coalesce(array_contains({value}.a, {word}), false))")
 
 
-def _any_of(value: Column, wanted) -> Column:
-    return reduce(or_, [_equals(value, w) for w in wanted], F.lit(False))
+def _any_of(value: str, wanted) -> str:
+    return "(" + (" OR ".join(_equals(value, w) for w in wanted) or "false") + ")"
 
 
-def _all_outside(value: Column, banned) -> Column:
-    """No element of the value is among the banned scalars."""
-    return ~_any_of(value, banned)
+def _items(value: str) -> str:
+    number = (f"CASE WHEN {value}.n = floor({value}.n) THEN CAST(CAST({value}.n AS BIGINT) AS "
+              f"STRING) ELSE CAST({value}.n AS STRING) END")
+    return (f"CASE WHEN {value}.kind = 'list' THEN {value}.a ELSE array(coalesce({value}.s, "
+            f"{number}, CAST({value}.b AS STRING))) END")
 
 
-def condition(clause, get: Callable[[str], Column]) -> Column:
-    """One condition as a total boolean column.
+def condition_sql(clause, get: Lookup) -> str:
+    """One condition as a total boolean.
 
-    ``clause`` is (path, operator, argument), or ("any", [conditions]) / ("all", [conditions]).
-    ``get`` returns the value column of a path, null where the path is not recorded. A missing
-    path is false for everything except ``not_recorded`` (or ``recorded: False``).
+    ``clause`` is (path, operator, argument), or ("any", [conditions]) / ("all", [conditions]). A
+    path that is not recorded is false for everything except ``not_recorded`` (or
+    ``recorded: False``).
     """
     if clause[0] in ("any", "all"):
-        parts = [condition(c, get) for c in clause[1]]
-        return reduce(or_ if clause[0] == "any" else and_, parts)
+        word = " OR " if clause[0] == "any" else " AND "
+        return "(" + word.join(condition_sql(c, get) for c in clause[1]) + ")"
     path, op, arg = clause
     value = get(path)
-    present = value.isNotNull()
-    if op == "recorded":
-        return present if arg else ~present
-    if op == "not_recorded":
-        return ~present if arg else present
+    present = "false" if value is None else f"({value} IS NOT NULL)"
+    if op in ("recorded", "not_recorded"):
+        return present if bool(arg) == (op == "recorded") else f"(NOT {present})"
+    if value is None:
+        return "false"
     if op == "eq":
         test = _equals(value, arg)
     elif op == "ne":
-        test = ~_equals(value, arg)
+        test = f"NOT {_equals(value, arg)}"
     elif op == "in":
         test = _any_of(value, arg)
     elif op == "not_in":
-        test = _all_outside(value, arg)
+        test = f"NOT {_any_of(value, arg)}"
     elif op == "contains":
-        wanted = str(arg).lower()
-        test = F.exists(value_items(value), lambda item: F.lower(item).contains(wanted))
+        test = f"exists({_items(value)}, x -> contains(lower(x), {quote(str(arg).lower())}))"
     elif op in _COMPARE:
-        test = _COMPARE[op](value_number(value), F.lit(float(arg)))
+        number = f"coalesce({value}.n, try_cast({value}.s AS DOUBLE))"
+        test = f"{number} {_COMPARE[op]} {float(arg)}D"
     else:
         raise ValueError(f"unknown operator {op!r}")
-    return present & F.coalesce(test, F.lit(False))
+    return f"({present} AND coalesce({test}, false))"
 
 
-def all_of(conditions, get) -> Column:
-    return reduce(and_, [condition(c, get) for c in conditions], F.lit(True))
+def condition(clause, get: Lookup) -> Column:
+    return F.expr(condition_sql(clause, get))
 
 
-def map_lookup(values: Column) -> Callable[[str], Column]:
-    """`get` over a MAP<STRING, value> column."""
-    return lambda path: F.try_element_at(values, F.lit(path))
+def all_of(conditions, get: Lookup) -> Column:
+    return F.expr(" AND ".join(condition_sql(c, get) for c in conditions) or "true")
 
 
-def column_lookup(names: dict[str, str]) -> Callable[[str], Column]:
-    """`get` over one value column per path; a path without a column is never recorded."""
-    from chartledger.functions.values import VALUE_TYPE
+def map_lookup(column: str) -> Lookup:
+    """`get` over a MAP<STRING, value> column."""
+    return lambda path: f"try_element_at({column}, {quote(path)})"
+
 
-    return lambda path: (
-        F.col(names[path]) if path in names else F.lit(None).cast(VALUE_TYPE)
-    )
+def column_lookup(names: dict[str, str]) -> Lookup:
+    """`get` over one value column per path."""
+    return names.get
 
 
 def paths_in(conditions) -> list[str]:

@@ -16,7 +16,7 @@ from chartledger.config.rules import (
 from chartledger.config.vocabulary import ASR_THRESHOLD, PRIORITIES
 from chartledger.functions.conditions import all_of, column_lookup, condition, paths_in
 from chartledger.functions.ordered import salted_join, with_running_max
-from chartledger.functions.values import value_number, value_text
+from chartledger.functions.values import make_value, value_number, value_text
 from chartledger.operators.ledger import SEQ_CHUNK, latest_values
 
 _LEVEL = {name: i for i, name in enumerate(PRIORITIES)}
@@ -72,7 +72,7 @@ def evaluate_wide(
     get = column_lookup(names)
     held = {key: f"c{i}" for i, key in enumerate(conditions)}
     tested = wide.select(
-        *keys, *[condition(c, get).alias(held[k]) for k, c in conditions.items()]
+        *keys, *[condition(c, get).alias(held[k]) for k, c in conditions.items()],
     )
     rows = []
     for rule_id, level, _label, clauses in rules:
@@ -175,23 +175,13 @@ def open_questions(
         demographics.join(wide, "session_id", "left").join(done, "session_id", "left")
         .join(refused, "session_id", "left")
     )
-    null = F.lit(None)
     person = {
-        "demographics.gender": ("gender", "text", "s", "string"),
-        "demographics.age_years": ("age_years", "number", "n", "double"),
+        "demographics.gender": ("_gender", make_value(F.lit("text"), F.col("gender"))),
+        "demographics.age_years": (
+            "_age", make_value(F.lit("number"), F.col("age_years").cast("string"))),
     }
-    facts = column_lookup(names)
-
-    def get(path):
-        if path not in person:
-            return facts(path)
-        col, kind, field, _type = person[path]
-        parts = {
-            "kind": F.lit(kind), "s": null.cast("string"), "n": null.cast("double"),
-            "b": null.cast("boolean"), "a": null.cast("array<string>"),
-        }
-        parts[field] = F.col(col).cast(_type)
-        return F.when(F.col(col).isNotNull(), F.struct(*[c.alias(n) for n, c in parts.items()]))
+    rows = rows.withColumns(dict(person.values()))
+    get = column_lookup({**names, **{p: col for p, (col, _v) in person.items()}})
 
     groups = {}
     for q in questions:
@@ -269,7 +259,7 @@ def denial_contradictions(active: DataFrame, rules=DENIAL_RULES) -> DataFrame:
     def last(rule):
         _id, path, test, arg, _group, _field, _other = rule
         op = "eq" if test in ("equals", "contains_value") else None
-        holds = condition((path, op, arg), lambda _p: F.col("value"))
+        holds = condition((path, op, arg), lambda _p: "value")
         return f"'{_id}'", (F.col("path") == path) & holds
 
     paths = sorted({r[1] for r in rules})
