@@ -357,10 +357,10 @@ def recurrence(encounters: DataFrame) -> DataFrame:
     groups = intakes.groupBy("patient_id", headline.alias("headline_key")).agg(
         F.count(F.lit(1)).alias("visits"), F.min("occurred_on").alias("first_on"),
         F.max("occurred_on").alias("last_on"))
-    # Totals come from the groups: one row per headline is all that moves.
-    whole = W.partitionBy("patient_id")
-    return groups.withColumn("patient_visits", F.sum("visits").over(whole)).withColumn(
-        "first_seen_on", F.min("first_on").over(whole))
+    # Totals come from the groups; headlines are free text, so a patient may have many of them.
+    totals = groups.groupBy("patient_id").agg(
+        F.sum("visits").alias("patient_visits"), F.min("first_on").alias("first_seen_on"))
+    return salted_join(groups, totals, ["patient_id"], "headline_key")
 
 
 def previous_intakes(encounters: DataFrame) -> DataFrame:
@@ -544,8 +544,5 @@ def open_contradictions(contradictions: DataFrame) -> DataFrame:
 
 
 def facts_with_evidence(facts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Each fact with its evidence ids in order and how many there are."""
-    rows = evidence.groupBy("fact_id").agg(
-        F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
-    return facts.join(rows, "fact_id", "left").withColumn(
-        "evidence_count", F.coalesce(F.size("evidence_ids"), F.lit(0)))
+    """One row per fact and evidence row; a fact without evidence keeps one row with a null id."""
+    return facts.join(evidence, "fact_id", "left")

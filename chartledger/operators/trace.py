@@ -66,6 +66,7 @@ def summary_lines(
         F.array("fact_id").alias("fact_ids"), F.lit("fact").alias("kind"),
         F.lit(None).cast("string").alias("emphasis"), place(path).alias("rank"))
     words = rank_of({r[0]: r[2] for r in rules})
+    # Answers supersede each other, so a session has about one active fact per path of a rule.
     ids = triggers.groupBy("session_id", "rule_id").agg(
         F.array_sort(F.collect_set("fact_id")).alias("_ids"))
     fired = proposals.filter("fired").join(ids, ["session_id", "rule_id"], "left").select(

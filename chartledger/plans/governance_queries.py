@@ -268,7 +268,8 @@ def concepts(v):
         "WHEN 2 THEN split_part(p_name, ' ', 1) ELSE p_name || ' (' || p_brand || ')' END "
         "AS display",
         "CASE WHEN p_partkey % 9 = 0 THEN 'block' ELSE 'category' END AS class_kind",
-        "p_partkey % 10 <> 1 AS is_selectable", "'sys' AS url",
+        "p_partkey % 10 <> 1 AS is_selectable",
+        "CASE WHEN p_retailprice < 0 THEN 'none' ELSE 'sys' END AS url",
         "CASE WHEN p_partkey % 3 = 0 THEN '2019' ELSE '2024' END AS version")
 
 

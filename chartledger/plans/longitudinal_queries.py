@@ -431,10 +431,8 @@ def _(v):
 
 
 @query("j1_facts_with_evidence", "efact evidence", """
-SELECT f.fact_id, coalesce(string_agg(CAST(evidence_id AS VARCHAR), ',' ORDER BY evidence_id), '')
-   AS evidence_ids, CAST(count(evidence_id) AS INT) AS evidence_count
-FROM efact f LEFT JOIN evidence e ON e.fact_id = f.fact_id GROUP BY 1""")
+SELECT f.fact_id, f.path, evidence_id, source_type FROM efact f
+LEFT JOIN evidence e ON e.fact_id = f.fact_id""")
 def _(v):
     return G.facts_with_evidence(v.efact, v.evidence).select(
-        "fact_id", F.coalesce(F.array_join(F.col("evidence_ids").cast("array<string>"), ","),
-                              F.lit("")).alias("evidence_ids"), "evidence_count")
+        "fact_id", "path", "evidence_id", "source_type")
