@@ -140,7 +140,7 @@ def check_tokens(
         authored_words() if vocabulary is None else vocabulary))
     said = lines.filter("kind = 'fact'").filter(F.size("fact_ids") > 0).select(
         "session_id", "line_id", F.explode(tokens(F.col("text"))).alias("token")).filter(
-        ~F.col("token").isin(*fixed))
+        "token NOT IN (" + ", ".join(f"'{w}'" for w in fixed) + ")")
     missing = said.select("session_id", "token").distinct().join(
         supported_tokens(facts), ["session_id", "token"], "left_anti")
     return said.join(missing, ["session_id", "token"], "left_semi")
