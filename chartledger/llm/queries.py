@@ -3,7 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartledger.llm import chat, decontaminate, exact, mixing, tokens
+from chartledger.llm import (
+    chat,
+    decontaminate,
+    exact,
+    mixing,
+    neardup,
+    quality,
+    secrets,
+    token_counts,
+    tokens,
+    warc,
+)
 from chartledger.llm.common import read_table, text_or_empty
 
 # Production weights of the mix: sources that are not listed have weight 1.
@@ -20,6 +31,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5(text_or_empty("row.text").cast("binary")).alias("text_md5"))
 
 
+def op2_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +42,12 @@ def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality_scores(
+        spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.drop("key")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -36,10 +57,25 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "contaminated")
 
 
+def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op7_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_exact_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op9_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(read_table(spark, sf_dir, "documents")).drop("key")
+
+
 def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame(
@@ -49,8 +85,9 @@ def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_mix_sources, op3_token_planes, op5_decontaminate, op8_exact_blocks,
-        op10_chat_round_trip,
+        op1_mix_sources, op2_secret_layers, op3_token_planes, op4_neighbour_quality,
+        op5_decontaminate, op6_warc_salvage, op7_transducer_counts, op8_exact_blocks,
+        op9_super_minhash, op10_chat_round_trip,
     )
 }
 
@@ -130,6 +167,47 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 
+_NEAR_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ')
+         || CASE WHEN len(w) < 5 THEN ' <short>' ELSE '' END AS sh
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i
+        FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+  SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b
+  WHERE 100 * p.c >= 75 * (na.n + nb.n - p.c)),
+e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l),
+r(x, y) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION
+  SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+g AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles,
+       coalesce(g.component_id, d.doc_id) AS component_id,
+       d.doc_id = coalesce(g.component_id, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN g ON g.x = d.doc_id
+"""
+
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS size
+  FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest,
+       CASE WHEN size >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END
+         AS record_type,
+       CASE WHEN size >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 _ESCAPE = ("replace(replace(replace(replace({0}, '\\', '\\\\'), '</turn>', '<\\/turn>'), "
            "'### ', '#\\## '), ': ', ':\\ ')")
 _CHAT_SQL = f"""
@@ -163,6 +241,8 @@ FROM c
 ORACLES = {
     "op1_mix_sources": _mix_sql(),
     "op5_decontaminate": _DECONTAMINATE_SQL,
+    "op6_warc_salvage": _WARC_SQL,
     "op8_exact_blocks": _EXACT_SQL,
+    "op9_super_minhash": _NEAR_SQL,
     "op10_chat_round_trip": _CHAT_SQL,
 }
