@@ -97,6 +97,8 @@ def _record(data: bytes, at: int) -> tuple[int, dict, bytes] | str:
     close = data.find(_CLOSE, at)
     if close < 0:
         return "header without end"
+    if _VERSION.search(data, at + 1, close):
+        return "header broken off by another record"
     header = {}
     for line in data[at:close].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
