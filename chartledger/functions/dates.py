@@ -34,7 +34,7 @@ def with_dates(rows: DataFrame, text: str, day: str, precision: str) -> DataFram
         spelled[f"_s{i}"] = F.when(may_hold, found)
         here = F.col(f"_s{i}")
         days[f"_d{i}"] = F.when(
-            here.startswith(_MARK) & ~here.startswith(_MARK + "0000"), F.try_to_date(F.initcap(F.substring(here, 2, 30)), fmt))
+            here.startswith(_MARK) & ~here.startswith(_MARK + "0000"), F.try_to_date(F.initcap(F.substr(here, F.lit(2))), fmt))
     rows = computed_once(computed_once(rows, **spelled), **days)
     first = F.coalesce(*[
         F.when(F.col(f"_d{i}").isNotNull(), kind) for i, (_p, _s, _f, kind) in

@@ -75,7 +75,11 @@ def seal_rows(events: DataFrame, keys: list[str], rows_per_segment: int = 1000)
         .select(*keys, "segment", F.inline("_r"))
     )
     plain = [c for c in events.columns if c not in {*keys, "prev_hash", "hash", "segment"}]
-    return folded.join(events.select(*plain), "id")
+    # Chains of different keys may use the same ids; null keys are a chain as well.
+    named = folded.withColumnsRenamed({k: f"_{k}" for k in [*keys, "id"]})
+    same = [events[k].eqNullSafe(named[f"_{k}"]) for k in keys] + [events["id"] == named["_id"]]
+    return events.select(*keys, *plain).join(named, reduce(lambda a, b: a & b, same)).drop(
+        *[f"_{k}" for k in [*keys, "id"]])
 
 
 def segment_digests(events: DataFrame, keys: list[str], rows_per_segment: int = 1000) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from chartledger.config.rules import QUESTIONS, exclusive_values, option_values, question_paths
 from chartledger.config.vocabulary import (
     ENTRY_GROUPS,
-    ENTRY_INDEX_LIMIT,
     REQUIRED_SCOPES,
     CONSENT_SCOPES,
 )
@@ -62,14 +61,11 @@ def span_problem(span: Column) -> Column:
 
 
 def known_path(path: Column, paths: list[str] | None = None) -> Column:
-    """True for a question's path, or for an entry ``group[i].field`` within the index bound."""
-    group = F.regexp_extract(path, r"^([a-z_]+)\[(\d{1,4})\]\.([a-z_]+)$", 1)
-    index = F.regexp_extract(path, r"^([a-z_]+)\[(\d{1,4})\]\.([a-z_]+)$", 2)
-    field = F.regexp_extract(path, r"^([a-z_]+)\[(\d{1,4})\]\.([a-z_]+)$", 3)
+    """True for a question's path, or for an entry ``group[i].field`` with any index."""
+    entry_path = r"^([a-z_]+)\[\d+\]\.([a-z_]+)$"
+    group, field = F.regexp_extract(path, entry_path, 1), F.regexp_extract(path, entry_path, 2)
     pairs = [f"{g}.{f}" for g, fields in ENTRY_GROUPS.items() for f in fields]
-    entry = F.concat(group, F.lit("."), field).isin(*pairs) & (
-        index.try_cast("int") < ENTRY_INDEX_LIMIT
-    )
+    entry = F.concat(group, F.lit("."), field).isin(*pairs)
     return path.isin(*(paths or question_paths())) | F.coalesce(entry, F.lit(False))
 
 
@@ -316,25 +312,41 @@ def revoke_scopes(
     return survivors, held.filter(hit).drop("revoked", "granted"), ended
 
 
-def apply_edits(facts: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(
+    facts: DataFrame, edits: DataFrame, scopes: DataFrame, questions=QUESTIONS
+) -> tuple[DataFrame, DataFrame]:
     """Physician corrections become new confirmed facts that supersede the earlier answers.
 
-    ``edits`` holds session_id, seq, ts, path, value, value_as_text, actor, reason. The result is
-    the facts with the accepted edits appended and supersession recomputed.
+    ``edits`` holds session_id, seq, ts, path, value, value_as_text, actor, reason. An edit is a
+    candidate like any other: it passes the gates of `judge_facts`, where a path with options
+    takes only these, then `dedupe_spans`, then `supersede` together with the earlier facts.
+    Returns (facts with the accepted edits, rejected edits with their reason).
     """
     words = F.concat(
         F.col("value_as_text"), F.lit(" — corrected by "), F.col("actor"), F.lit(": "),
         F.coalesce("reason", F.lit("physician correction")),
     )
-    made = edits.select(
+    with_options = [q[2] for q in questions if q[4]]
+    key = F.concat_ws("|", "session_id", F.col("seq").cast("string"), "path")
+    made = edits.filter(F.col("value").isNotNull() & (F.col("path") != "")).select(
         "session_id", "seq", "ts", "path", "value",
-        F.concat(F.lit("e"), F.col("seq").cast("string")).alias("fact_id"),
+        F.concat(F.lit("e"), F.substring(F.sha2(key, 256), 1, 16)).alias("fact_id"),
         F.lit("confirmed").alias("tier"), F.lit(True).alias("supersede"),
-        words.alias("verbatim"), F.lit("typed").alias("modality"),
-    ).filter(F.col("value").isNotNull() & (F.col("path") != ""))
-    known = made.filter(known_path(F.col("path")))
+        F.lit(None).cast("string").alias("required_scope"),
+        F.col("path").isin(*with_options).alias("coded"),
+        make_span(
+            kind=F.lit("utterance"), verbatim=words, modality=F.lit("typed"),
+            question_id=F.col("path"),
+            turn_id=F.concat(F.lit("edit_"), F.col("seq").cast("string"))).alias("span"),
+    )
+    judged = judge_facts(made, scopes, questions)
+    rejected = judged.filter("reason IS NOT NULL").select(
+        "session_id", "seq", "path", "fact_id", "reason")
+    accepted = dedupe_spans(judged.filter("reason IS NULL").drop("reason", "coded")).select(
+        "*", F.col("span.verbatim").alias("verbatim"), F.col("span.modality").alias("modality"),
+    ).drop("span", "digest", "required_scope")
     base = facts.drop("superseded_by")
-    return supersede(base.unionByName(known, allowMissingColumns=True))
+    return supersede(base.unionByName(accepted, allowMissingColumns=True)), rejected
 
 
 def validate_taps(answers: DataFrame, questions=QUESTIONS) -> DataFrame:
@@ -380,7 +392,7 @@ def tap_wording(kind: Column, taken: Column) -> Column:
     labels = F.transform(
         taken,
         lambda v: F.concat(F.upper(F.substring(v, 1, 1)),
-                           F.regexp_replace(F.substring(v, 2, 1000), "_", " ")),
+                           F.regexp_replace(F.substr(v, F.lit(2)), "_", " ")),
     )
     n, anchors = first.try_cast("int"), len(SCALE_ANCHORS)
     at = F.least(F.floor(n * anchors / (SCALE_MAX + 1)), F.lit(anchors - 1)).cast("int")

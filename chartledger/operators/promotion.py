@@ -176,14 +176,22 @@ def promote_entities(
     return kept, warned, uploads
 
 
+def _with_document_date(rows: DataFrame, doc_dates: DataFrame) -> DataFrame:
+    """Add `document_date` by the source document. Rows without a source are spread over keys of
+    their own, so that all that patients report does not meet in one task."""
+    own = F.concat(F.lit("none|"), F.xxhash64(*rows.columns).cast("string"))
+    dates = doc_dates.select(F.col("document_id").alias("_source"), "document_date")
+    return rows.withColumn("_key", F.coalesce("source_document", own)).join(
+        dates, F.col("_key") == F.col("_source"), "left").drop("_key", "_source")
+
+
 def promote_medications(groups: DataFrame, doc_dates: DataFrame) -> DataFrame:
     """Medicine entries as events: documented on paper, or reported by the patient.
 
     The date is the document's own or none; a visit's date is never put in its place.
     """
-    rows = groups.filter("name IS NOT NULL").join(
-        doc_dates.select(F.col("document_id").alias("source_document"),
-                         F.col("document_date").alias("observed_on")), "source_document", "left")
+    rows = _with_document_date(groups.filter("name IS NOT NULL"), doc_dates).withColumnRenamed(
+        "document_date", "observed_on")
     documented = F.col("source_document").isNotNull()
     return rows.withColumns({
         "normalized_name": fold(F.col("name")),
@@ -192,14 +200,33 @@ def promote_medications(groups: DataFrame, doc_dates: DataFrame) -> DataFrame:
 
 
 def promote_observations(groups: DataFrame, doc_dates: DataFrame, sex: str = "''") -> DataFrame:
-    """Laboratory entries as events: key, unit and range from the tables unless printed."""
-    rows = groups.filter("analyte IS NOT NULL").join(
-        doc_dates.select(F.col("document_id").alias("source_document"),
-                         F.col("document_date").alias("observed_on")), "source_document", "left")
+    """Laboratory entries as events: key, unit, range, flag and date.
+
+    What the entry itself carries wins: ``groups`` may hold unit, reference_low, reference_high,
+    range_flag ("unknown" is none) and observed_on (a date or its text). Otherwise unit, range
+    and flag come from the reference table and the date from the document.
+    """
+    own = {"unit": "string", "reference_low": "double", "reference_high": "double",
+           "range_flag": "string", "observed_on": "string"}
+    rows = groups.filter("analyte IS NOT NULL")
+    rows = rows.withColumns({
+        f"_own_{c}": (F.col(c) if c in groups.columns else F.lit(None)).try_cast(kind)
+        for c, kind in own.items()}).drop(*own)
+    rows = _with_document_date(rows, doc_dates)
     rows = rows.withColumnsRenamed({"value": "value_text"}).withColumns({
         "value": F.col("value_text").try_cast("double"), "_printed": F.lit("")})
-    rows = match_analytes(rows, "analyte")
-    return assess_range(rows, "value", "_printed", sex)
+    rows = assess_range(match_analytes(rows, "analyte"), "value", "_printed", sex)
+    told = F.when(F.col("_own_range_flag") != "unknown", F.col("_own_range_flag"))
+    return rows.withColumns({
+        "unit": F.coalesce(F.when(F.col("_own_unit") != "", F.col("_own_unit")), "analyte_unit"),
+        "reference_low": F.coalesce("_own_reference_low", "reference_low"),
+        "reference_high": F.coalesce("_own_reference_high", "reference_high"),
+        "range_flag": F.coalesce(told, "range_flag"),
+        "range_source": F.when(F.col("_own_reference_low").isNotNull(), "report").otherwise(
+            F.col("range_source")),
+        "observed_on": F.coalesce(F.to_date(F.col("_own_observed_on").try_cast("date")),
+                                  "document_date"),
+    }).drop(*[f"_own_{c}" for c in own], "_printed", "document_date")
 
 
 def promotion_counts(keys: list[str], tables: dict[str, DataFrame]) -> DataFrame:

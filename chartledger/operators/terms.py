@@ -65,12 +65,13 @@ def lookup_terms(terms: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame
         F.col("position") <= k)
 
 
-def code_terms(terms: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame:
+def code_terms(terms: DataFrame, concepts: DataFrame) -> DataFrame:
     """Code each term by an exact match only; otherwise say how many were near and leave it.
+    All near matches are counted.
 
     Adds code, outcome (coded, not_emittable, near_matches, unmapped) and candidates.
     """
-    found = lookup_terms(terms, concepts, k)
+    found = term_matches(terms, concepts)
     kinds = concepts.select("concept_id", "class_kind", "is_selectable")
     counts = found.groupBy("term_key").agg(
         F.count(F.lit(1)).alias("candidates"),

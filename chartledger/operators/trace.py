@@ -89,8 +89,7 @@ def summary_lines(
         "gaps", F.when(F.col("status") == "declined", F.concat(
             F.lit("Patient declined to answer: "), F.array_join("_p", ", "))).otherwise(F.concat(
                 F.lit("Not asked ("), F.size("_p").cast("string"), F.lit("): "),
-                F.array_join(F.slice("_p", 1, 10), ", "),
-                F.when(F.size("_p") > 10, "…").otherwise(""))),
+                F.array_join("_p", ", "))),
         none, "structural", F.when(F.col("status") == "declined", "unverified"),
         F.when(F.col("status") == "declined", 0).otherwise(1)))
     rows = facts

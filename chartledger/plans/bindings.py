@@ -227,7 +227,8 @@ SELECT fact_id * 2 + 0 AS evidence_id, fact_id,
                CASE WHEN k % 11 = 0 THEN NULL ELSE CAST(52 + k % 75 AS DOUBLE) / 128 END
                    AS confidence,
                k % 13 = 0 AS handwritten
-        FROM ev JOIN part ON p_partkey = event_id % 200"""),
+        FROM (SELECT ev.*, event_id % (SELECT count(*) FROM part) AS part_of FROM ev) spread
+        JOIN part ON p_partkey = part_of"""),
     "truth": (("ev", "part"), f"""
         SELECT CAST(floor(event_id / 10) AS BIGINT) AS doc_id, event_id AS truth_id,
                CASE WHEN k % 10 <= 2 THEN 'medication' WHEN k % 10 = 6 THEN 'diagnosis'
@@ -238,7 +239,8 @@ SELECT fact_id * 2 + 0 AS evidence_id, fact_id,
                CASE WHEN k % 10 <= 1 THEN CAST(p_size AS STRING) || ' mg'
                     WHEN k % 10 = 2 THEN '9 ml' END AS dose,
                CASE WHEN k % 10 = 3 THEN 'high' WHEN k % 10 IN (4, 8) THEN 'in_range' END AS flag
-        FROM ev JOIN part ON p_partkey = event_id % 200
+        FROM (SELECT ev.*, event_id % (SELECT count(*) FROM part) AS part_of FROM ev) spread
+        JOIN part ON p_partkey = part_of
         WHERE k % 10 IN (0, 1, 2, 3, 4, 6, 8)"""),
     "result": (("ev",), """
         SELECT event_id AS script_id, event_type AS difficulty, k % 20 <> 0 AS ok,

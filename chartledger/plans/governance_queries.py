@@ -78,6 +78,29 @@ def _(v):
     return A.seal_rows(audit_rows(v), [], SEGMENT).select("segment", "id", "prev_hash", "hash")
 
 
+# The same ids in two chains, a third of the rows without a key.
+@query("a2_seal_repeated_ids", "audit", f"""
+WITH RECURSIVE pay AS (
+  SELECT x.chain, id, CAST(floor(id / {SEGMENT}) AS BIGINT) AS segment,
+     coalesce(x.chain, '') || actor || '|' || action AS payload
+  FROM audit, (VALUES ('one'), ('two'), (NULL)) x(chain)),
+num AS (SELECT *, row_number() OVER (PARTITION BY chain, segment ORDER BY id) AS n FROM pay),
+sealed AS (
+  SELECT chain, segment, n, id, '{GENESIS}' AS prev_hash, sha256('{GENESIS}' || payload) AS hash
+  FROM num WHERE n = 1
+  UNION ALL SELECT m.chain, m.segment, m.n, m.id, s.hash, sha256(s.hash || m.payload)
+  FROM sealed s JOIN num m ON m.chain IS NOT DISTINCT FROM s.chain AND m.segment = s.segment
+     AND m.n = s.n + 1)
+SELECT chain, segment, id, prev_hash, hash FROM sealed""")
+def _(v):
+    rows = v.audit.select("id", "actor", "action", F.explode(F.expr(
+        "array('one', 'two', CAST(NULL AS STRING))")).alias("chain"))
+    rows = rows.select("chain", "id", F.concat(
+        F.coalesce("chain", F.lit("")), "actor", F.lit("|"), "action").alias("payload"))
+    return A.seal_rows(rows, ["chain"], SEGMENT).select(
+        "chain", "segment", "id", "prev_hash", "hash")
+
+
 _DIGESTS = """
 WITH d AS (SELECT consent_ref, CAST(floor(id / 1000) AS BIGINT) AS segment, id,
    sha256(actor || '|' || action || '|' || detail) AS h,
@@ -305,7 +328,7 @@ def _(v):
 
 @query("t3_code_terms", "part", _CONCEPT + """
 , c AS (SELECT k, count(*) AS n, arg_min(concept_id, pos) AS concept_id, min(rank) AS rank
-   FROM best WHERE pos <= 5 GROUP BY 1)
+   FROM best GROUP BY 1)
 SELECT term_id, CASE WHEN c.n IS NULL THEN 'unmapped' WHEN c.rank > 0 THEN 'near_matches'
    WHEN class_kind <> 'category' OR NOT is_selectable THEN 'not_emittable' ELSE 'coded' END
    AS outcome, CASE WHEN c.rank = 0 AND class_kind = 'category' AND is_selectable THEN code END
@@ -319,7 +342,7 @@ def _(v):
 @query("t4_verify_codes", "part", _CONCEPT + """
 , ask AS (SELECT p_partkey AS ask_id, CASE WHEN p_partkey % 8 = 7 THEN 'other' ELSE 'sys' END AS url,
    CASE p_partkey % 5 WHEN 0 THEN '2019' WHEN 1 THEN '2030' END AS version,
-   'C' || CAST(p_partkey + CASE WHEN p_partkey % 6 = 5 THEN 1000000 ELSE 0 END AS VARCHAR) AS code
+   CASE WHEN p_partkey % 6 = 5 THEN 'X' ELSE 'C' END || CAST(p_partkey AS VARCHAR) AS code
    FROM part)
 SELECT ask_id, CASE WHEN url = 'other' THEN 'unknown_system'
   WHEN a.version = '2030' THEN 'version_not_loaded' WHEN c.code IS NULL THEN 'unknown_code'
@@ -329,6 +352,5 @@ def _(v):
     ask = v.part.selectExpr(
         "p_partkey AS ask_id", "CASE WHEN p_partkey % 8 = 7 THEN 'other' ELSE 'sys' END AS url",
         "CASE p_partkey % 5 WHEN 0 THEN '2019' WHEN 1 THEN '2030' END AS version",
-        "'C' || CAST(p_partkey + CASE WHEN p_partkey % 6 = 5 THEN 1000000 ELSE 0 END AS STRING) "
-        "AS code")
+        "CASE WHEN p_partkey % 6 = 5 THEN 'X' ELSE 'C' END || CAST(p_partkey AS STRING) AS code")
     return T.verify_codes(ask, systems(v), concepts(v)).select("ask_id", "status")

@@ -71,14 +71,16 @@ def _(v):
 
 
 @query("p5_same_cohort", "patient encounter", """
-SELECT e.encounter_id, e.patient_id AS left_id, e.encounter_id % 1500 AS right_id,
+SELECT e.encounter_id, e.patient_id AS left_id, b.patient_id AS right_id,
        CASE WHEN a.is_synthetic THEN 'synthetic' ELSE 'clinical' END AS cohort
 FROM encounter e JOIN patient a ON a.patient_id = e.patient_id
-JOIN patient b ON b.patient_id = e.encounter_id % 1500
+JOIN patient b ON b.patient_id = e.encounter_id % (SELECT count(*) FROM patient)
 WHERE a.is_synthetic = b.is_synthetic""")
 def _(v):
+    # The partner's id ranges over all patients, however many there are.
+    other = F.col("encounter_id") % F.lit(v.patient.count())
     pairs = v.encounter.select("encounter_id", F.col("patient_id").alias("left_id"),
-                               F.expr("encounter_id % 1500").alias("right_id"))
+                               other.alias("right_id"))
     return P.same_cohort(pairs, v.patient, "left_id", "right_id").select(
         "encounter_id", "left_id", "right_id", "cohort")
 
@@ -378,27 +380,55 @@ def _(v):
     return purged.groupBy("session_id").agg(F.count("*").alias("purged"))
 
 
-@query("l18_apply_edits", "sfact ev", """
-WITH edit AS (
-  SELECT session_id, event_id + 1000000 AS seq, 'e' || CAST(event_id + 1000000 AS VARCHAR)
-     AS fact_id, 'hpi.site' AS path, 'back — corrected by u' || CAST(user_id AS VARCHAR) || ': '
-     || event_type AS verbatim, true AS supersede FROM ev WHERE k < 20),
+_EDITS = """
+WITH top AS (SELECT max(seq) + 1 AS over FROM sfact),
+edit AS (
+  SELECT session_id, event_id + over AS seq,
+     CASE event_id % 5 WHEN 0 THEN 'hpi.site' WHEN 1 THEN 'hpi.onset' WHEN 2 THEN 'hpi.site'
+          WHEN 3 THEN 'medications[60].name' ELSE 'no.such.path' END AS path,
+     CASE event_id % 5 WHEN 0 THEN 'back' WHEN 1 THEN 'sudden' WHEN 2 THEN 'nowhere'
+          ELSE 'aspirin' END AS shown, user_id, event_type, ts FROM ev, top),
+made AS (
+  SELECT session_id, seq, path, ts, 'e' || substr(sha256(session_id || '|' ||
+     CAST(seq AS VARCHAR) || '|' || path), 1, 16) AS fact_id, shown || ' — corrected by u' ||
+     CAST(user_id AS VARCHAR) || ': ' || event_type AS verbatim,
+     CASE WHEN path = 'no.such.path' THEN 'unknown_path'
+          WHEN shown = 'nowhere' THEN 'not_in_vocabulary' END AS reason FROM edit)
+"""
+
+
+def edited(v):
+    top = v.sfact.agg(F.max("seq")).first()[0] + 1
+    path = F.expr("CASE event_id % 5 WHEN 0 THEN 'hpi.site' WHEN 1 THEN 'hpi.onset' "
+                  "WHEN 2 THEN 'hpi.site' WHEN 3 THEN 'medications[60].name' "
+                  "ELSE 'no.such.path' END")
+    shown = F.expr("CASE event_id % 5 WHEN 0 THEN 'back' WHEN 1 THEN 'sudden' "
+                   "WHEN 2 THEN 'nowhere' ELSE 'aspirin' END")
+    made = v.ev.select(
+        "session_id", (F.col("event_id") + top).alias("seq"), "ts", path.alias("path"),
+        make_value(F.lit("text"), shown).alias("value"), shown.alias("value_as_text"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"),
+        F.col("event_type").alias("reason"))
+    rows = v.sfact.withColumn("value", make_value(F.col("vkind"), F.col("vs")))
+    return L.apply_edits(rows, made, scopes(v))
+
+
+@query("l18_apply_edits", "sfact ev", _EDITS + """,
 allf AS (
   SELECT session_id, seq, fact_id, path, verbatim, supersede FROM sfact
-  UNION ALL SELECT session_id, seq, fact_id, path, verbatim, supersede FROM edit),
+  UNION ALL SELECT session_id, seq, fact_id, path, verbatim, true FROM made
+  WHERE reason IS NULL),
 nxt AS (SELECT *, lead(CASE WHEN supersede THEN fact_id END IGNORE NULLS) OVER
      (PARTITION BY session_id, path ORDER BY seq) AS nx FROM allf)
 SELECT a.fact_id, a.path, a.verbatim, a.nx AS superseded_by FROM nxt a""")
 def _(v):
-    made = v.ev.filter("k < 20").select(
-        "session_id", (F.col("event_id") + 1000000).alias("seq"), "ts",
-        F.lit("hpi.site").alias("path"),
-        make_value(F.lit("text"), F.lit("back")).alias("value"),
-        F.lit("back").alias("value_as_text"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"),
-        F.col("event_type").alias("reason"))
-    rows = v.sfact.withColumn("value", make_value(F.col("vkind"), F.col("vs")))
-    return L.apply_edits(rows, made).select("fact_id", "path", "verbatim", "superseded_by")
+    return edited(v)[0].select("fact_id", "path", "verbatim", "superseded_by")
+
+
+@query("l18_rejected_edits", "sfact ev", _EDITS + """
+SELECT fact_id, path, reason FROM made WHERE reason IS NOT NULL""")
+def _(v):
+    return edited(v)[1].select("fact_id", "path", "reason")
 
 
 _TAPS = """

@@ -188,15 +188,27 @@ def _(v):
 
 
 @query("l16_promote_observations", "line", _INHERITED + """
-SELECT doc_id, label AS analyte, akey AS analyte_key, labv AS value, aunit AS unit,
-  CASE WHEN labv < tlo THEN 'low' WHEN labv > thi THEN 'high' ELSE 'in_range' END AS range_flag,
-  'reference_table' AS range_source, document_date AS observed_on FROM inh
+SELECT doc_id, label AS analyte, akey AS analyte_key, labv AS value,
+  CASE WHEN doc_id % 5 = 0 THEN 'own/L' ELSE aunit END AS unit,
+  CASE WHEN doc_id % 7 = 0 THEN 0.5 ELSE tlo END AS reference_low,
+  CASE WHEN doc_id % 7 = 0 THEN 1.5 ELSE thi END AS reference_high,
+  CASE WHEN doc_id % 11 = 0 THEN 'critical' WHEN labv < tlo THEN 'low' WHEN labv > thi THEN 'high'
+       ELSE 'in_range' END AS range_flag,
+  CASE WHEN doc_id % 7 = 0 THEN 'report' ELSE 'reference_table' END AS range_source,
+  CASE WHEN doc_id % 3 = 0 THEN DATE '2021-05-06' ELSE document_date END AS observed_on FROM inh
 WHERE kind = 'investigation'""")
 def _(v):
-    groups = M.repeating_groups(doc_facts(v), "investigations", ["doc_id"], ["seq"]).withColumn(
-        "sex", F.expr("CASE WHEN doc_id % 2 = 0 THEN 'female' ELSE 'male' END"))
-    return M.promote_observations(groups.drop("observed_on"), doc_dates(v), "sex").select(
-        "doc_id", "analyte", "analyte_key", "value", F.col("analyte_unit").alias("unit"),
+    groups = M.repeating_groups(doc_facts(v), "investigations", ["doc_id"], ["seq"])
+    # What some reports print beside the value wins over the table.
+    groups = groups.withColumns({c: F.expr(e) for c, e in {
+        "sex": "CASE WHEN doc_id % 2 = 0 THEN 'female' ELSE 'male' END",
+        "unit": "CASE WHEN doc_id % 5 = 0 THEN 'own/L' ELSE '' END",
+        "reference_low": "CASE WHEN doc_id % 7 = 0 THEN 0.5D END",
+        "reference_high": "CASE WHEN doc_id % 7 = 0 THEN 1.5D END",
+        "range_flag": "CASE WHEN doc_id % 11 = 0 THEN 'critical' ELSE 'unknown' END",
+        "observed_on": "CASE WHEN doc_id % 3 = 0 THEN '2021-05-06' END"}.items()})
+    return M.promote_observations(groups, doc_dates(v), "sex").select(
+        "doc_id", "analyte", "analyte_key", "value", "unit", "reference_low", "reference_high",
         "range_flag", "range_source", "observed_on")
 
 
