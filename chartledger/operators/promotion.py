@@ -104,29 +104,39 @@ def problems_from_choices(
         (F.col("_i") + F.coalesce("problem_count", F.lit(0))).alias("entry"))
 
 
-def resolve_patients(patients: DataFrame, incoming: DataFrame) -> DataFrame:
+def resolve_patients(patients: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
     """Match visits to people by reference: fill what is missing, never overwrite.
 
-    ``incoming`` holds incoming_id, abha_ref, display_name, gender. A visit without a reference
-    always makes a new person. New ids come from a hash, so a rerun gives the same ids.
+    ``incoming`` holds incoming_id, abha_ref, display_name, gender, age_years and
+    preferred_language. A visit without a reference always makes a new person. A new person has
+    the year of birth (from the age at ``as_of``, a date as text) and the language of the first
+    visit; known people keep theirs. New ids come from a hash, so a rerun gives the same ids.
     """
-    linked = incoming.filter("abha_ref <> ''")
+    age = F.when(F.col("age_years") > 0, F.year(F.lit(as_of).cast("date")) - F.col("age_years"))
+    visits = incoming.withColumns({
+        "year_of_birth": age.cast("int"),
+        "preferred_language": F.coalesce("preferred_language", F.lit("en"))})
+    linked = visits.filter("abha_ref <> ''")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("incoming_id"))).alias(f"_{c}")
-    wanted = linked.groupBy("abha_ref").agg(first("display_name"), first("gender"))
+    start = F.min_by(F.struct("year_of_birth", "preferred_language"), "incoming_id").alias("_new")
+    wanted = linked.groupBy("abha_ref").agg(first("display_name"), first("gender"), start)
+    person = ["abha_ref", "display_name", "gender", "year_of_birth", "preferred_language"]
     known = patients.filter("abha_ref <> ''").select(
-        F.col("patient_id").cast("string").alias("_id"), "abha_ref", "display_name", "gender")
+        F.col("patient_id").cast("string").alias("_id"), *person)
+    new = F.col("_id").isNull()
     merged = known.join(wanted, "abha_ref", "full").select(
         F.coalesce("_id", F.substring(F.sha2(F.concat(F.lit("ref|"), "abha_ref"), 256), 1, 16))
         .alias("patient_key"), "abha_ref",
         F.coalesce("display_name", "_display_name").alias("display_name"),
-        F.coalesce("gender", "_gender").alias("gender"), F.col("_id").isNull().alias("created"))
+        F.coalesce("gender", "_gender").alias("gender"),
+        *[F.when(new, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in person[3:]],
+        new.alias("created"))
     unlinked_old = patients.filter("abha_ref IS NULL OR abha_ref = ''").select(
-        F.col("patient_id").cast("string").alias("patient_key"), "abha_ref", "display_name",
-        "gender", F.lit(False).alias("created"))
-    unlinked_new = incoming.filter("abha_ref IS NULL OR abha_ref = ''").select(
+        F.col("patient_id").cast("string").alias("patient_key"), *person,
+        F.lit(False).alias("created"))
+    unlinked_new = visits.filter("abha_ref IS NULL OR abha_ref = ''").select(
         F.substring(F.sha2(F.concat(F.lit("visit|"), F.col("incoming_id").cast("string")), 256),
-                    1, 16).alias("patient_key"), "abha_ref", "display_name", "gender",
-        F.lit(True).alias("created"))
+                    1, 16).alias("patient_key"), *person, F.lit(True).alias("created"))
     return merged.unionByName(unlinked_old).unionByName(unlinked_new)
 
 
@@ -137,19 +147,31 @@ def confirmed_sessions(traced: DataFrame, confirmations: DataFrame) -> DataFrame
         "session_id")
 
 
+# What is kept of a source span beside its kind, and under which names.
+EVIDENCE_FIELDS = {
+    "verbatim": "verbatim", "language": "language", "modality": "modality",
+    "question_id": "question_id", "turn_id": "turn_id", "asr_confidence": "asr_confidence",
+    "document_id": "document_ref", "page": "page", "bbox": "bbox",
+    "ocr_confidence": "ocr_confidence", "human_reading": "human_reading", "read_by": "read_by",
+}
+
+
 def promote_facts(facts: DataFrame, gate: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(durable facts, evidence) of the sessions that pass the gate."""
+    """(durable facts, evidence) of the sessions that pass the gate. ``facts`` holds the source
+    span as `span`, and `confidence`."""
     rows = facts.join(gate.select("session_id"), "session_id", "left_semi")
-    unmeasured = (F.col("modality") == "speech") & F.col("asr_confidence").isNull()
+    span = F.col("span")
+    unmeasured = (span["modality"] == "speech") & span["asr_confidence"].isNull()
     durable = rows.select(
-        "session_id", "fact_id", "path", value_text(F.col("value")).alias("display_value"), "tier",
-        F.col("tier").alias("state"),
+        "session_id", "fact_id", "path", "value",
+        value_text(F.col("value")).alias("display_value"), "tier",
+        F.col("tier").alias("state"), "confidence",
         F.when(unmeasured, "unavailable").otherwise("measured").alias("confidence_status"),
         F.col("ts").alias("recorded_at"), F.col("ts").alias("valid_from"), "superseded_by")
     evidence = rows.select(
-        "fact_id", F.when(F.col("document_id").isNotNull(), "document").otherwise("utterance")
-        .alias("source_type"), "verbatim", "modality", "asr_confidence",
-        F.col("document_id").alias("document_ref"))
+        "fact_id", span["kind"].alias("source_type"),
+        *[span[f].alias(name) for f, name in EVIDENCE_FIELDS.items()],
+        F.coalesce(span["handwritten"], F.lit(False)).alias("handwritten"))
     return durable, evidence
 
 
@@ -176,6 +198,33 @@ def promote_entities(
     return kept, warned, uploads
 
 
+def promotion_timeline(encounters: DataFrame, documents: DataFrame, entities: DataFrame
+                       ) -> DataFrame:
+    """Timeline rows of a promotion: the visits, the uploads, and what the documents tell.
+
+    ``encounters`` holds encounter_id, occurred_on, headline and confirmed_by; ``documents`` as in
+    `promote_entities`; ``entities`` are its promoted entities with observed_on and date_precision.
+    """
+    none = F.lit(None).cast("string")
+    headline = F.when(F.col("headline") != "", F.col("headline"))
+    visits = encounters.select(
+        F.col("encounter_id").cast("string").alias("source"), "occurred_on",
+        F.lit("exact").alias("date_precision"), F.lit("encounter").alias("kind"),
+        F.coalesce(headline, F.lit("Clinical encounter")).alias("label"),
+        F.concat(F.lit("Confirmed by "), "confirmed_by").alias("detail"),
+        F.lit(False).alias("low_confidence"))
+    uploads = documents.select(
+        F.col("doc_id").cast("string").alias("source"), F.col("uploaded_on").alias("occurred_on"),
+        F.lit("exact").alias("date_precision"), F.lit("document").alias("kind"),
+        F.concat(F.lit("Uploaded: "), "filename").alias("label"),
+        F.col("document_kind").alias("detail"), F.lit(False).alias("low_confidence"))
+    told = entities.select(
+        F.col("doc_id").cast("string").alias("source"), F.col("observed_on").alias("occurred_on"),
+        F.coalesce("date_precision", F.lit("unknown")).alias("date_precision"), "kind", "label",
+        none.alias("detail"), F.col("pending").alias("low_confidence"))
+    return visits.unionByName(uploads).unionByName(told)
+
+
 def _with_document_date(rows: DataFrame, doc_dates: DataFrame) -> DataFrame:
     """Add `document_date` by the source document. Rows without a source are spread over keys of
     their own, so that all that patients report does not meet in one task."""

@@ -76,35 +76,44 @@ _PEOPLE = """
 WITH inc AS (SELECT encounter_id AS incoming_id, CASE WHEN encounter_id % 4 = 0 THEN NULL
     ELSE 'abha' || CAST(100000 + patient_id * 2 AS VARCHAR) END AS abha_ref,
     CASE WHEN encounter_id % 3 = 0 THEN NULL ELSE 'n' || CAST(encounter_id AS VARCHAR) END
-      AS display_name, CASE WHEN encounter_id % 5 = 0 THEN 'other' END AS gender FROM encounter),
+      AS display_name, CASE WHEN encounter_id % 5 = 0 THEN 'other' END AS gender,
+    CASE WHEN encounter_id % 6 <> 0 THEN CAST(2024 - encounter_id % 90 AS INT) END AS born,
+    CASE WHEN encounter_id % 7 = 0 THEN 'hi' ELSE 'en' END AS lang FROM encounter),
 pat AS (SELECT patient_id, abha_ref, CASE WHEN patient_id % 2 = 0 THEN display_name END
-    AS display_name, CASE WHEN patient_id % 3 = 0 THEN gender END AS gender FROM patient)
+    AS display_name, CASE WHEN patient_id % 3 = 0 THEN gender END AS gender,
+    year_of_birth AS born, 'ta' AS lang FROM patient)
 """
 
 
 @query("l12_resolve_patients", "encounter patient", _PEOPLE + """
 , w AS (SELECT abha_ref, arg_min(display_name, incoming_id) FILTER (display_name IS NOT NULL) AS dn,
-    arg_min(gender, incoming_id) FILTER (gender IS NOT NULL) AS g FROM inc
-    WHERE abha_ref IS NOT NULL GROUP BY 1)
+    arg_min(gender, incoming_id) FILTER (gender IS NOT NULL) AS g, min(incoming_id) AS start
+    FROM inc WHERE abha_ref IS NOT NULL GROUP BY 1)
 SELECT coalesce(CAST(p.patient_id AS VARCHAR), substr(sha256('ref|' || w.abha_ref), 1, 16))
    AS patient_key, coalesce(p.abha_ref, w.abha_ref) AS abha_ref,
    coalesce(p.display_name, w.dn) AS display_name, coalesce(p.gender, w.g) AS gender,
+   CASE WHEN p.patient_id IS NULL THEN i.born ELSE p.born END AS year_of_birth,
+   CASE WHEN p.patient_id IS NULL THEN i.lang ELSE p.lang END AS preferred_language,
    p.patient_id IS NULL AS created
 FROM (SELECT * FROM pat WHERE abha_ref IS NOT NULL) p FULL JOIN w ON w.abha_ref = p.abha_ref
-UNION ALL SELECT CAST(patient_id AS VARCHAR), NULL, display_name, gender, false FROM pat
-WHERE abha_ref IS NULL
+LEFT JOIN inc i ON i.incoming_id = w.start
+UNION ALL SELECT CAST(patient_id AS VARCHAR), NULL, display_name, gender, born, lang, false
+FROM pat WHERE abha_ref IS NULL
 UNION ALL SELECT substr(sha256('visit|' || CAST(incoming_id AS VARCHAR)), 1, 16), NULL,
-   display_name, gender, true FROM inc WHERE abha_ref IS NULL""")
+   display_name, gender, born, lang, true FROM inc WHERE abha_ref IS NULL""")
 def _(v):
     inc = v.encounter.selectExpr(
         "encounter_id AS incoming_id", "CASE WHEN encounter_id % 4 = 0 THEN NULL ELSE 'abha' || "
         "CAST(100000 + patient_id * 2 AS STRING) END AS abha_ref",
         "CASE WHEN encounter_id % 3 = 0 THEN NULL ELSE 'n' || CAST(encounter_id AS STRING) END "
-        "AS display_name", "CASE WHEN encounter_id % 5 = 0 THEN 'other' END AS gender")
+        "AS display_name", "CASE WHEN encounter_id % 5 = 0 THEN 'other' END AS gender",
+        "CASE WHEN encounter_id % 6 <> 0 THEN encounter_id % 90 + 1 END AS age_years",
+        "CASE WHEN encounter_id % 7 = 0 THEN 'hi' END AS preferred_language")
     pat = v.patient.selectExpr(
         "patient_id", "abha_ref", "CASE WHEN patient_id % 2 = 0 THEN display_name END "
-        "AS display_name", "CASE WHEN patient_id % 3 = 0 THEN gender END AS gender")
-    return M.resolve_patients(pat, inc)
+        "AS display_name", "CASE WHEN patient_id % 3 = 0 THEN gender END AS gender",
+        "year_of_birth", "'ta' AS preferred_language")
+    return M.resolve_patients(pat, inc, "2025-03-01")
 
 
 def gate(v):
@@ -115,28 +124,54 @@ def gate(v):
 
 
 def promotable(v):
-    return facts(v).withColumn("asr_confidence", F.expr(
-        "CASE WHEN seq % 2 = 0 THEN 0.8D END"))
+    """Facts with a source span of which every field is told by some rows."""
+    document = F.col("document_id").isNotNull()
+    n = F.col("seq")
+    span = L.make_span(
+        kind=F.when(document, "document").otherwise("utterance"), verbatim=F.col("verbatim"),
+        language=F.when(n % 3 == 0, "hi").otherwise("en"), modality=F.col("modality"),
+        question_id=F.when(~document, F.concat(F.lit("q"), (n % 16).cast("string"))),
+        turn_id=F.when(~document, F.concat(F.lit("t"), n.cast("string"))),
+        asr_confidence=F.when(n % 2 == 0, F.lit(0.8)), document_id=F.col("document_id"),
+        page=F.when(document, n % 4 + 1),
+        bbox=F.when(document, F.struct(F.lit(0.1).alias("x"), F.lit(0.2).alias("y"),
+                                       F.lit(0.5).alias("width"), F.lit(0.25).alias("height"))),
+        ocr_confidence=F.when(document, F.lit(0.5)), handwritten=F.when(document, n % 5 == 0),
+        human_reading=F.when(n % 10 == 0, F.col("vs")), read_by=F.when(n % 10 == 0, "reader"))
+    return facts(v).withColumns({"span": span, "confidence": (n % 8) / F.lit(8.0)})
 
 
 _GATE = "length(session_id) % 2 = 0 AND NOT session_id LIKE '%1'"
 
 
 @query("l13_promote_facts", "afact scope", f"""
-SELECT fact_id, path, replace(vs, '|', ', ') AS display_value, tier AS state,
+SELECT fact_id, path, vkind AS kind, replace(vs, '|', ', ') AS display_value, tier AS state,
+  CAST(seq % 8 AS DOUBLE) / 8 AS confidence,
   CASE WHEN modality = 'speech' AND seq % 2 = 1 THEN 'unavailable' ELSE 'measured' END
     AS confidence_status FROM afact WHERE {_GATE}""")
 def _(v):
     durable, _evidence = M.promote_facts(promotable(v), gate(v))
-    return durable.select("fact_id", "path", "display_value", "state", "confidence_status")
+    return durable.select("fact_id", "path", F.col("value.kind").alias("kind"), "display_value",
+                          "state", "confidence", "confidence_status")
 
 
 @query("l13_promote_evidence", "afact scope", f"""
 SELECT fact_id, CASE WHEN document_id IS NOT NULL THEN 'document' ELSE 'utterance' END
-  AS source_type, verbatim, modality, document_id AS document_ref FROM afact WHERE {_GATE}""")
+  AS source_type, verbatim, CASE WHEN seq % 3 = 0 THEN 'hi' ELSE 'en' END AS language, modality,
+  CASE WHEN document_id IS NULL THEN 'q' || CAST(seq % 16 AS VARCHAR) END AS question_id,
+  CASE WHEN document_id IS NULL THEN 't' || CAST(seq AS VARCHAR) END AS turn_id,
+  CASE WHEN seq % 2 = 0 THEN 0.8 END AS asr_confidence, document_id AS document_ref,
+  CASE WHEN document_id IS NOT NULL THEN seq % 4 + 1 END AS page,
+  CASE WHEN document_id IS NOT NULL THEN '0.1,0.2,0.5,0.25' ELSE '' END AS bbox,
+  CASE WHEN document_id IS NOT NULL THEN 0.5 END AS ocr_confidence,
+  CASE WHEN seq % 10 = 0 THEN vs END AS human_reading,
+  CASE WHEN seq % 10 = 0 THEN 'reader' END AS read_by,
+  document_id IS NOT NULL AND seq % 5 = 0 AS handwritten
+FROM afact WHERE {_GATE}""")
 def _(v):
     _durable, evidence = M.promote_facts(promotable(v), gate(v))
-    return evidence.drop("asr_confidence")
+    return evidence.withColumn("bbox", F.concat_ws(",", *[
+        F.col(f"bbox.{c}").cast("string") for c in ("x", "y", "width", "height")]))
 
 
 _DOCROW = "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'reader' END"
@@ -163,6 +198,23 @@ def _(v):
     return kept.select("doc_id", "item_id", "label", "verification")
 
 
+@query("l14_promotion_timeline", "line encounter", _INHERITED + f"""
+SELECT CAST(encounter_id AS VARCHAR) AS source, occurred_on, 'exact' AS date_precision,
+  'encounter' AS kind, CASE WHEN encounter_id % 3 = 0 THEN 'Clinical encounter' ELSE priority END
+  AS label, 'Confirmed by dr' AS detail, false AS low_confidence FROM encounter
+UNION ALL SELECT DISTINCT CAST(doc_id AS VARCHAR), DATE '2024-02-01', 'exact', 'document',
+  'Uploaded: scan' || CAST(doc_id AS VARCHAR), 'other', false FROM line
+UNION ALL SELECT CAST(doc_id AS VARCHAR), observed_on, coalesce(date_precision, 'unknown'), kind,
+  label, NULL, chk FROM inh WHERE NOT (chk AND {_DOCROW} IS NULL)""")
+def _(v):
+    kept, _warned, _uploads = M.promote_entities(documents(v), items(v))
+    visits = v.encounter.selectExpr(
+        "encounter_id", "occurred_on",
+        "CASE encounter_id % 3 WHEN 0 THEN '' ELSE priority END AS headline",
+        "'dr' AS confirmed_by")
+    return M.promotion_timeline(visits, documents(v), kept)
+
+
 @query("l14_promotion_warnings", "line", _INHERITED + f"""
 SELECT doc_id, CAST(line_no AS VARCHAR) AS item_id,
   label || ' was left unverified and was not promoted.' AS warning FROM inh

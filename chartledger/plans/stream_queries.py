@@ -6,7 +6,7 @@ from chartledger.functions.values import make_value
 from chartledger.operators.rules import route_spoken
 from chartledger.plans.bindings import VIEWS, Registry, Views
 from chartledger.plans.ledger_queries import _DIGEST, _JUDGED, scopes, span_of
-from chartledger.plans.rule_queries import _sql_condition, ESCALATION_RULES
+from chartledger.plans.rule_queries import _WIDE
 from chartledger.streaming import jobs as K
 
 REG = Registry()
@@ -72,16 +72,10 @@ def _(v):
     return K.run_to_table(rows, K.work_folder(v.spark, "k2"))
 
 
-_PATHS = sorted({c[0] for r in ESCALATION_RULES for cl in r[3] for c in cl})
-_LAST = "WITH wide AS (SELECT session_id, " + ", ".join(
-    f"max_by(CASE WHEN path = '{p}' THEN vs END, CASE WHEN path = '{p}' THEN seq END) AS \"{p}\""
-    for p in _PATHS) + " FROM sfact WHERE path IN ('" + "','".join(_PATHS) + \
-    "') GROUP BY session_id),\nfired AS (\n" + "\nUNION ALL\n".join(
-        f"SELECT session_id, CASE WHEN "
-        + " OR ".join("(" + " AND ".join(_sql_condition(c) for c in cl) + ")" for cl in r[3])
-        + f" THEN {2 if r[1] == 'immediate' else 1} ELSE 0 END AS n FROM wide"
-        for r in ESCALATION_RULES) + """),
-top AS (SELECT session_id, max(n) AS n FROM fired GROUP BY 1)
+# The priorities of the batch form, without any earlier priority.
+_TOP = _WIDE + """
+, top AS (SELECT session_id, max(CASE WHEN fired THEN CASE lv WHEN 'immediate' THEN 2 ELSE 1 END
+       ELSE 0 END) AS n FROM prop GROUP BY 1)
 """
 
 
@@ -93,14 +87,14 @@ def run_priority(v):
     return folder
 
 
-@query("k3_stream_priority", "sfact", _LAST + """
+@query("k3_stream_priority", "afact", _TOP + """
 SELECT session_id, CASE n WHEN 2 THEN 'immediate' WHEN 1 THEN 'urgent' ELSE 'routine' END
   AS priority FROM top""")
 def _(v):
     return K.read_priorities(v.spark, run_priority(v))
 
 
-@query("k5_stream_queue", "sfact", _LAST + """
+@query("k5_stream_queue", "afact", _TOP + """
 SELECT CASE n WHEN 2 THEN 'immediate' WHEN 1 THEN 'urgent' ELSE 'routine' END AS priority,
   CAST(count(*) AS BIGINT) AS sessions FROM top GROUP BY 1""")
 def _(v):

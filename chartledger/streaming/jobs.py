@@ -69,12 +69,12 @@ def stream_dedupe(facts: DataFrame, delay: str = "1 hour") -> DataFrame:
 def stream_values(facts: DataFrame, rules=ESCALATION_RULES) -> tuple[DataFrame, dict[str, str]]:
     """The last value of every rule path per session, kept as streaming state.
 
-    Only facts at rule paths enter the state. The order of facts is (ts, seq), so a late fact
-    never replaces a newer one.
+    Every session with a fact has a row, also one that no rule reads anything of. Values at other
+    paths do not enter the state. The order of facts is (ts, seq), so a late fact never replaces a
+    newer one.
     """
     paths = paths_in([c for r in rules for clause in r[3] for c in clause])
-    return latest_values(facts.filter(F.col("path").isin(*paths)), ["session_id"], paths,
-                         ["ts", "seq"])
+    return latest_values(facts, ["session_id"], paths, ["ts", "seq"])
 
 
 def start_priority(
