@@ -20,6 +20,7 @@ run side by side, one table step for all of them at a time.
 """
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ START, LETTER, NUMBER, OTHER, WHITE, BLANK, LAST1, LAST2 = range(8)
 SYMBOLS = 9
 CHUNK = 64
 LANE_BYTES = 256
-MAX_STATES = 250_000
+MAX_STATES = 200_000
 
 
 def _cut_step(state: int, symbol: int) -> tuple[int, bool]:
@@ -305,12 +306,18 @@ class TokenCounter:
         return n_bytes, tokens
 
 
+@lru_cache(maxsize=1)
+def token_counter(path: str) -> TokenCounter:
+    """The counter of a Python worker: states compiled by one task serve the next."""
+    return TokenCounter(path)
+
+
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
 def _batches(path: str, limit: int, chars: int = 2_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(path)
+        counter = token_counter(path)
         for batch in batches:
             keys, texts = batch["doc_id"], batch["text"].to_pylist()
             n_bytes, n_tokens, at = [], [], 0
