@@ -273,7 +273,7 @@ def denial_contradictions(active: DataFrame, rules=DENIAL_RULES) -> DataFrame:
     ]))
     denials = standing.select(
         "session_id", F.explode(fired).alias("rule_id"),
-        F.col("fact_id").alias("denial_fact"), F.col("verbatim").alias("_denial_text"),
+        F.col("fact_id").alias("denial_fact"), F.col("verbatim").alias("denial_verbatim"),
     )
 
     def conflicts(rule):
@@ -285,11 +285,14 @@ def denial_contradictions(active: DataFrame, rules=DENIAL_RULES) -> DataFrame:
     hit = F.array_compact(F.array(*[F.when(conflicts(r), F.lit(r[0])) for r in rules]))
     touching = active.filter(reduce(or_, [conflicts(r) for r in rules])).select(
         "session_id", F.explode(hit).alias("rule_id"), F.col("fact_id").alias("other_fact"),
-        F.col("verbatim").alias("_other_text"),
+        F.col("verbatim").alias("other_verbatim"),
+        (F.col("tier") if "tier" in active.columns else F.lit(None).cast("string"))
+        .alias("other_tier"),
     )
     both = salted_join(touching, denials, ["session_id", "rule_id"], "other_fact")
-    return both.filter(~F.col("_denial_text").eqNullSafe(F.col("_other_text"))).select(
-        "session_id", "rule_id", "denial_fact", "other_fact",
+    return both.filter(~F.col("denial_verbatim").eqNullSafe(F.col("other_verbatim"))).select(
+        "session_id", "rule_id", "denial_fact", "other_fact", "denial_verbatim",
+        "other_verbatim", "other_tier",
         _contradiction_id(F.col("rule_id"), F.col("denial_fact"), F.col("other_fact"))
         .alias("contradiction_id"),
     )

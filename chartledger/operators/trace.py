@@ -11,11 +11,12 @@ from chartledger.config.vocabulary import (
 )
 from chartledger.functions.text import TOKEN, tokens
 from chartledger.functions.values import rank_of, value_text
+from chartledger.operators.ledger import overall_completeness
 
 # Sections in reading order.
 SECTIONS = (
-    "chief_complaint", "hpi", "red_flags", "past_medical", "past_surgical", "drug_allergy",
-    "contradictions", "documents", "family_history", "personal_history", "review_of_systems",
+    "warnings", "patient", "chief_complaint", "hpi", "red_flags", "past_medical",
+    "past_surgical", "drug_allergy", "contradictions", "documents", "family_history", "personal_history", "review_of_systems",
     "ayush", "gaps",
 )
 SMOOTHABLE_MIN_LINES = 3
@@ -46,14 +47,22 @@ def _line(section: str, text: Column, ids: Column, kind: str, emphasis: Column |
 
 
 def summary_lines(
-    slots: DataFrame, status: DataFrame, proposals: DataFrame, triggers: DataFrame,
-    contradictions: DataFrame, questions=QUESTIONS, rules=ESCALATION_RULES,
+    slots: DataFrame, status: DataFrame, proposals: DataFrame, contradictions: DataFrame,
+    demographics: DataFrame | None = None, medicines: DataFrame | None = None,
+    problems: DataFrame | None = None, documents: DataFrame | None = None,
+    timeline: DataFrame | None = None, questions=QUESTIONS, rules=ESCALATION_RULES,
 ) -> DataFrame:
     """The lines of each session's summary; sort by `position`, `rank`, text to read it.
 
-    ``slots`` is `slot_view`; ``status`` is `field_status`; ``triggers`` is `rule_triggers`. Fact
-    lines name the facts they come from, structural lines make no claim. The lists in a line are
-    bounded by the rule and question tables.
+    ``slots`` is `slot_view`; ``status`` is `field_status`; ``contradictions`` is
+    `denial_contradictions`. Optional: ``demographics`` (session_id, age_years, gender),
+    ``medicines`` and ``problems`` (`repeating_groups` by session, with code and display),
+    ``documents`` (session_id, filename, pages, read_by, mean_confidence, low_pages) and
+    ``timeline`` (session_id, occurred_on, label, fact_id, low_confidence).
+
+    Fact lines name the facts they come from, structural lines make no claim. The lists in a line
+    are bounded by the rule and question tables: a fired rule names the standing fact of each of
+    its paths. Entries, documents and events are a line each, however many there are.
     """
     labels = rank_of({q[2]: field_label(q[2]) for q in questions})
     place = rank_of({q[2]: i for i, q in enumerate(questions)})
@@ -66,10 +75,12 @@ def summary_lines(
         F.array("fact_id").alias("fact_ids"), F.lit("fact").alias("kind"),
         F.lit(None).cast("string").alias("emphasis"), place(path).alias("rank"))
     words = rank_of({r[0]: r[2] for r in rules})
-    # Answers supersede each other, so a session has about one active fact per path of a rule.
-    ids = triggers.groupBy("session_id", "rule_id").agg(
-        F.array_sort(F.collect_set("fact_id")).alias("_ids"))
-    fired = proposals.filter("fired").join(ids, ["session_id", "rule_id"], "left").select(
+    fired = proposals.filter("fired")
+    standing = slots.select("session_id", "path", "fact_id")
+    behind = fired.select("session_id", "rule_id", F.explode("paths").alias("path")).join(
+        standing, ["session_id", "path"]).groupBy("session_id", "rule_id").agg(
+            F.array_sort(F.collect_set("fact_id")).alias("_ids"))
+    flags = fired.join(behind, ["session_id", "rule_id"], "left").select(
         "session_id", *_line(
             "red_flags", F.concat(F.lit("["), F.upper("level"), F.lit("] "),
                                   words(F.col("rule_id"))),
@@ -80,8 +91,11 @@ def summary_lines(
             "red_flags",
             F.lit("No rule fired. This is no statement that the patient is low priority."),
             none, "structural"))
+    origin = F.when(F.col("other_tier") == "document", "document").otherwise("patient")
     disputes = contradictions.select("session_id", *_line(
-        "contradictions", F.concat(F.lit("sources disagree: "), F.col("rule_id")),
+        "contradictions", F.concat(
+            F.col("rule_id"), F.lit(": patient “"), "denial_verbatim", F.lit("” vs "), origin,
+            F.lit(" “"), "other_verbatim", F.lit("”")),
         F.array("denial_fact", "other_fact"), "fact", F.lit("unverified")))
     gaps = status.filter("status <> 'recorded'").groupBy("session_id", "status").agg(
         F.array_sort(F.collect_list("path")).alias("_p"))
@@ -92,20 +106,64 @@ def summary_lines(
                 F.array_join("_p", ", "))),
         none, "structural", F.when(F.col("status") == "declined", "unverified"),
         F.when(F.col("status") == "declined", 0).otherwise(1)))
+    low = overall_completeness(status).filter(F.col("completeness") < COMPLETENESS_WARNING)
+    warnings = low.select("session_id", *_line(
+        "warnings", F.concat(
+            F.lit("Only "), F.round(F.col("completeness") * 100).cast("int").cast("string"),
+            F.lit("% of the applicable history was captured. Treat the gaps as unknown, not as "
+                  "negative findings.")),
+        none, "structural", F.lit("unverified")))
+    parts = [flags, quiet, disputes, gap_lines, warnings]
+    code = lambda missing: F.when(F.col("code").isNotNull(), F.concat(
+        F.lit(" ["), "code", F.lit(" "), "display", F.lit("]"))).otherwise(F.lit(missing))
+    if demographics is not None:
+        bits = F.array_compact(F.array(
+            F.when(F.col("age_years") > 0, F.concat(F.col("age_years").cast("string"),
+                                                    F.lit(" years"))),
+            F.when(F.col("gender") != "", F.col("gender"))))
+        parts.append(demographics.filter(F.size(bits) > 0).select("session_id", *_line(
+            "patient", F.array_join(bits, ", "), none, "structural")))
+    if medicines is not None:
+        parts.append(medicines.filter("name IS NOT NULL").select("session_id", *_line(
+            "drug_allergy", F.concat(
+                F.lit("Medication: "), F.concat_ws(" ", "name", "dose", "frequency", "route"),
+                code("")),
+            F.array("source_fact"), "fact", rank=F.lit(len(questions)) + F.col("entry"))))
+    if problems is not None:
+        year = F.when(F.col("reported_year").isNotNull(), F.concat(
+            F.lit(" ("), "reported_year", F.lit(")"))).otherwise("")
+        parts.append(problems.filter("reported_term IS NOT NULL").select("session_id", *_line(
+            "past_medical", F.concat(F.lit("Reported: "), "reported_term", year,
+                                     code(" [unmapped]")),
+            F.array("source_fact"), "fact", rank=F.lit(len(questions)) + F.col("entry"))))
+    if documents is not None:
+        bad = F.col("low_pages") > 0
+        parts.append(documents.select("session_id", *_line(
+            "documents", F.concat(
+                "filename", F.lit(": "), F.col("pages").cast("string"),
+                F.lit(" page(s), read by "), "read_by", F.lit(" at "),
+                F.round(F.col("mean_confidence") * 100).cast("int").cast("string"),
+                F.lit("% mean confidence"),
+                F.when(bad, F.concat(F.lit(" — "), F.col("low_pages").cast("string"),
+                                     F.lit(" page(s) need verification"))).otherwise("")),
+            none, "structural", F.when(bad, "unverified"))))
+    if timeline is not None:
+        known = F.col("fact_id").isNotNull()
+        parts.append(timeline.select("session_id", *_line(
+            "documents", F.concat(
+                F.coalesce(F.col("occurred_on").cast("string"), F.lit("undated")), F.lit(" — "),
+                "label"),
+            F.when(known, F.array("fact_id")).otherwise(none), "fact",
+            F.when(F.col("low_confidence"), "unverified"), F.lit(1))).withColumn(
+                "kind", F.when(F.size("fact_ids") > 0, "fact").otherwise("structural")))
     rows = facts
-    for part in (fired, quiet, disputes, gap_lines):
+    for part in parts:
         rows = rows.unionByName(part)
     position = rank_of({s: i for i, s in enumerate(SECTIONS)}, len(SECTIONS))
     return rows.withColumn("position", position(F.col("section"))).withColumn(
         "line_id", F.sha2(F.concat_ws("|", "session_id", "section", "text"), 256))
 
 
-def completeness_warnings(overall: DataFrame) -> DataFrame:
-    """Sessions whose captured share is under the warning level."""
-    return overall.filter(F.col("completeness") < COMPLETENESS_WARNING).select(
-        "session_id", "completeness")
-
-
 def check_lines(lines: DataFrame, facts: DataFrame) -> DataFrame:
     """Fact lines without facts (untraced) and facts that do not exist (dangling)."""
     claims = lines.filter("kind = 'fact'")

@@ -204,7 +204,8 @@ j AS (SELECT d.session_id, d.rule_id, d.fact_id AS denial_fact, f.fact_id AS oth
 SELECT *, 'cx_' || substr(sha256(rule_id || '|' || denial_fact || '|' || other_fact), 1, 10)
    AS contradiction_id FROM j""")
 def _(v):
-    return R.denial_contradictions(live_paths(v))
+    return R.denial_contradictions(live_paths(v)).select(
+        "session_id", "rule_id", "denial_fact", "other_fact", "contradiction_id")
 
 
 @query("r9_cross_tier_contradictions", "sfact", """

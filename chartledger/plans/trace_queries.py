@@ -2,16 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from chartledger.config.rules import QUESTIONS
+from chartledger.config.rules import ESCALATION_RULES, QUESTIONS
 from chartledger.config.vocabulary import STOPWORDS, TEMPLATE_WORDS
 from chartledger.functions.text import TOKEN
 from chartledger.functions.values import make_value
 from chartledger.operators import ledger as L
+from chartledger.operators import promotion as M
 from chartledger.operators import rules as R
 from chartledger.operators import trace as V
 from chartledger.plans.bindings import Registry
-from chartledger.plans.ledger_queries import facts, live_paths, statuses
-from chartledger.plans.rule_queries import proposals
+from chartledger.plans.ledger_queries import _STATUS, facts, live_paths, statuses
+from chartledger.plans.rule_queries import _WIDE, proposals
 
 REG = Registry()
 query = REG.add
@@ -24,25 +25,105 @@ _TOK = "'" + TOKEN.replace("ऀ-෿", "\\x{0900}-\\x{0DFF}") + "'"
 def summary(v):
     live = live_paths(v)
     props = proposals(v)
+    entries = lambda group: M.repeating_groups(live, group, ["session_id"], ["seq"]).withColumns({
+        "code": F.expr("CASE WHEN entry = 0 THEN 'C1' END"), "display": F.lit("coded")})
+    people = v.ev.groupBy("session_id").agg(F.min("user_id").alias("u")).selectExpr(
+        "session_id", "CASE WHEN u % 5 <> 0 THEN u END AS age_years",
+        "CASE u % 3 WHEN 0 THEN 'female' WHEN 1 THEN '' END AS gender")
+    papers = v.sfact.filter("document_id IS NOT NULL").groupBy("session_id", "document_id").agg(
+        F.count("*").alias("pages"), F.count_if(F.expr("seq % 3 = 0")).alias("low_pages")
+    ).selectExpr("session_id", "document_id || '.pdf' AS filename", "pages",
+                 "'reader' AS read_by", "0.8125D AS mean_confidence", "low_pages")
+    told = v.sfact.filter("tier = 'document'").selectExpr(
+        "session_id", "CASE WHEN seq % 4 <> 0 THEN CAST(ts AS DATE) END AS occurred_on",
+        "path AS label", "CASE WHEN seq % 5 <> 0 THEN fact_id END AS fact_id",
+        "seq % 7 = 0 AS low_confidence")
     return V.summary_lines(
-        L.slot_view(facts(v)), statuses(v), props, R.rule_triggers(props, live),
-        R.denial_contradictions(live))
+        L.slot_view(facts(v)), statuses(v), props, R.denial_contradictions(live), people,
+        entries("medications"), entries("problems"), papers, told)
 
 
-@query("v1_summary_lines", "afact", """
-WITH q(path, section, label, pos) AS (VALUES """ + ", ".join(
+_RULE_WORDS = "CASE rule_id " + " ".join(
+    "WHEN '{}' THEN '{}'".format(r[0], r[2].replace("'", "''")) for r in ESCALATION_RULES) + " END"
+_SUMMARY = "WITH " + _STATUS.strip()[len("WITH "):] + """,
+label(path, section, label, pos) AS (VALUES """ + ", ".join(
     f"('{q[2]}', '{q[1]}', '{V.field_label(q[2])}', {i})" for i, q in enumerate(QUESTIONS)) + """),
-s AS (SELECT session_id, path, max_by(fact_id, seq) AS fact_id, max_by(vs, seq) AS vs
-  FROM afact WHERE active GROUP BY 1, 2)
-SELECT s.session_id, section, label || ': ' || replace(vs, '|', ', ') AS text, fact_id AS ids,
-  pos AS rank FROM s JOIN q USING (path)""")
+""" + _WIDE.strip()[len("WITH "):] + f""",
+std AS (SELECT session_id, path, max_by(fact_id, seq) AS fact_id, max_by(vs, seq) AS vs
+  FROM afact WHERE active GROUP BY 1, 2),
+done AS (SELECT session_id,
+    sum(CASE WHEN status = 'recorded' THEN 1 ELSE 0 END)
+      / nullif(sum(CASE WHEN status <> 'not_asked' THEN 1 ELSE 0 END), 0) AS share
+  FROM status GROUP BY 1),
+lastd AS (SELECT session_id, path, max_by(fact_id, seq) AS fact_id, max_by(vs, seq) AS vs,
+     max_by(verbatim, seq) AS verbatim FROM afact WHERE active GROUP BY 1, 2),
+deny AS (
+  SELECT session_id, 'CX-MED-01' AS rule_id, fact_id, verbatim FROM lastd
+    WHERE path = 'drug_allergy.taking_medicines' AND vs = 'false'
+  UNION ALL SELECT session_id, 'CX-PMH-01', fact_id, verbatim FROM lastd
+    WHERE path = 'past_medical.conditions' AND vs = 'none'),
+flagged AS (SELECT session_id, rule_id, lv, unnest(string_split(ps, ',')) AS path
+  FROM prop WHERE fired),
+people AS (SELECT session_id, min(user_id) AS u FROM ev GROUP BY 1),
+lines AS (
+  SELECT s.session_id, section, label || ': ' || replace(vs, '|', ', ') AS text, fact_id AS ids,
+    'fact' AS kind, NULL AS emphasis, pos AS rank FROM std s JOIN label USING (path)
+  UNION ALL SELECT p.session_id, 'red_flags', '[' || upper(p.lv) || '] ' || {_RULE_WORDS},
+    coalesce((SELECT string_agg(DISTINCT s.fact_id, ',' ORDER BY s.fact_id) FROM flagged f
+     JOIN std s ON s.session_id = f.session_id AND s.path = f.path
+     WHERE f.session_id = p.session_id AND f.rule_id = p.rule_id), ''),
+    'fact', p.lv, CASE WHEN p.lv = 'immediate' THEN 0 ELSE 1 END FROM prop p WHERE p.fired
+  UNION ALL SELECT session_id, 'red_flags',
+    'No rule fired. This is no statement that the patient is low priority.', '', 'structural',
+    NULL, 0 FROM prop GROUP BY session_id HAVING count(*) FILTER (fired) = 0
+  UNION ALL SELECT d.session_id, 'contradictions', d.rule_id || ': patient “' || d.verbatim ||
+    '” vs ' || CASE WHEN f.tier = 'document' THEN 'document' ELSE 'patient' END || ' “' ||
+    f.verbatim || '”', d.fact_id || ',' || f.fact_id, 'fact', 'unverified', 0
+  FROM deny d JOIN afact f ON f.session_id = d.session_id AND f.active
+   AND ((d.rule_id = 'CX-MED-01' AND f.path = 'medications[0].name')
+     OR (d.rule_id = 'CX-PMH-01' AND f.path = 'problems[1].reported_term'))
+  WHERE f.verbatim <> d.verbatim
+  UNION ALL SELECT session_id, 'gaps', CASE WHEN status = 'declined'
+      THEN 'Patient declined to answer: ' ELSE 'Not asked (' || CAST(count(*) AS VARCHAR) || '): '
+      END || string_agg(path, ', ' ORDER BY path), '', 'structural',
+    CASE WHEN status = 'declined' THEN 'unverified' END,
+    CASE WHEN status = 'declined' THEN 0 ELSE 1 END
+  FROM status WHERE status <> 'recorded' GROUP BY session_id, status
+  UNION ALL SELECT session_id, 'warnings', 'Only ' ||
+    CAST(CAST(round(round(coalesce(share, 0), 4) * 100) AS INT) AS VARCHAR) ||
+    '% of the applicable history was captured. Treat the gaps as unknown, not as negative '
+    || 'findings.', '', 'structural', 'unverified', 0 FROM done WHERE coalesce(share, 0) < 0.6
+  UNION ALL SELECT session_id, 'patient', concat_ws(', ',
+    CASE WHEN u % 5 <> 0 AND u > 0 THEN CAST(u AS VARCHAR) || ' years' END,
+    CASE WHEN u % 3 = 0 THEN 'female' END), '', 'structural', NULL, 0 FROM people
+  WHERE (u % 5 <> 0 AND u > 0) OR u % 3 = 0
+  UNION ALL SELECT session_id, 'drug_allergy', 'Medication: ' || vs || ' [C1 coded]', fact_id,
+    'fact', NULL, {len(QUESTIONS)} FROM std WHERE path = 'medications[0].name'
+  UNION ALL SELECT session_id, 'past_medical', 'Reported: ' || vs || ' [unmapped]', fact_id,
+    'fact', NULL, {len(QUESTIONS)} + 1 FROM std WHERE path = 'problems[1].reported_term'
+  UNION ALL SELECT session_id, 'documents', document_id || '.pdf: ' || CAST(count(*) AS VARCHAR)
+    || ' page(s), read by reader at 81% mean confidence' || CASE WHEN
+    count(*) FILTER (seq % 3 = 0) > 0 THEN ' — ' || CAST(count(*) FILTER (seq % 3 = 0) AS VARCHAR)
+    || ' page(s) need verification' ELSE '' END, '', 'structural',
+    CASE WHEN count(*) FILTER (seq % 3 = 0) > 0 THEN 'unverified' END, 0
+  FROM sfact WHERE document_id IS NOT NULL GROUP BY session_id, document_id
+  UNION ALL SELECT session_id, 'documents', CASE WHEN seq % 4 <> 0
+    THEN CAST(CAST(ts AS DATE) AS VARCHAR) ELSE 'undated' END || ' — ' || path,
+    CASE WHEN seq % 5 <> 0 THEN fact_id ELSE '' END,
+    CASE WHEN seq % 5 <> 0 THEN 'fact' ELSE 'structural' END,
+    CASE WHEN seq % 7 = 0 THEN 'unverified' END, 1 FROM sfact WHERE tier = 'document')
+"""
+
+
+@query("v1_summary_lines", "sfact afact ev absence", _SUMMARY + """
+SELECT session_id, section, text, ids, kind, emphasis, rank FROM lines""")
 def _(v):
-    rows = summary(v).filter("section NOT IN ('red_flags', 'contradictions', 'gaps')")
-    return rows.select("session_id", "section", "text", F.array_join("fact_ids", ",").alias("ids"),
-                       "rank")
+    return summary(v).select("session_id", "section", "text", F.array_join("fact_ids", ",")
+                             .alias("ids"), "kind", "emphasis", "rank")
 
 
-@query("v1_summary_sections", "", None)
+@query("v1_summary_sections", "sfact afact ev absence", _SUMMARY + """
+SELECT section, kind, CAST(count(*) AS BIGINT) AS n FROM lines GROUP BY 1, 2""")
 def _(v):
     return summary(v).groupBy("section", "kind").agg(F.count("*").alias("n"))
 
