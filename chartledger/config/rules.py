@@ -131,88 +131,116 @@ _PAINLIKE = ("any", [
     ("chief_complaint.text", "not_in", _NOT_SPECIFIC),
 ])
 
-# Questions. (id, section, path, kind, option values, critical, all-conditions).
-# An option written with a trailing ! is exclusive. Labels follow from the values by rule.
+# Questions. (id, section, path, kind, options, critical, all-conditions).
+# An option is (value, exclusive). Labels follow from the values by rule.
 QUESTIONS = [
     ("cc.text", "chief_complaint", "chief_complaint.text", "open_text",
-     "pain fever cough stomach weakness injury skin checkup other", False, []),
+     [("pain", False), ("fever", False), ("cough", False), ("stomach", False),
+      ("weakness", False), ("injury", False), ("skin", False), ("checkup", False),
+      ("other", False)], False, []),
     ("cc.duration", "chief_complaint", "chief_complaint.duration", "duration",
-     "today days_1_3 week_1 weeks_2_4 months_1_6 months_6_plus", False, []),
+     [("today", False), ("days_1_3", False), ("week_1", False), ("weeks_2_4", False),
+      ("months_1_6", False), ("months_6_plus", False)], False, []),
     ("hpi.site", "hpi", "hpi.site", "single_choice",
-     "head chest abdomen back limbs joints throat whole_body other", False, []),
+     [("head", False), ("chest", False), ("abdomen", False), ("back", False), ("limbs", False),
+      ("joints", False), ("throat", False), ("whole_body", False), ("other", False)], False, []),
     ("hpi.onset", "hpi", "hpi.onset", "single_choice",
-     "sudden gradual after_event unsure", True, []),
+     [("sudden", False), ("gradual", False), ("after_event", False), ("unsure", False)], True, []),
     ("hpi.character", "hpi", "hpi.character", "single_choice",
-     "sharp dull burning cramping pressure throbbing tingling", False,
+     [("sharp", False), ("dull", False), ("burning", False), ("cramping", False),
+      ("pressure", False), ("throbbing", False), ("tingling", False)], False,
      [("hpi.site", "recorded", True), _PAINLIKE]),
     ("hpi.radiation", "hpi", "hpi.radiation", "single_choice",
-     "none left_arm jaw_neck back leg groin other", True,
+     [("none", False), ("left_arm", False), ("jaw_neck", False), ("back", False),
+      ("leg", False), ("groin", False), ("other", False)], True,
      [("hpi.site", "in", ["chest", "abdomen", "back", "head"]), _PAINLIKE]),
     ("hpi.associated", "hpi", "hpi.associated", "multi_choice",
-     "none! fever vomiting breathlessness sweating dizziness palpitations weight_loss bleeding "
-     "weakness_limb speech_trouble vision_change", True, []),
+     [("none", True), ("fever", False), ("vomiting", False), ("breathlessness", False),
+      ("sweating", False), ("dizziness", False), ("palpitations", False),
+      ("weight_loss", False), ("bleeding", False), ("weakness_limb", False),
+      ("speech_trouble", False), ("vision_change", False)], True, []),
     ("hpi.timing", "hpi", "hpi.timing", "single_choice",
-     "constant intermittent worsening improving night_worse", False, []),
+     [("constant", False), ("intermittent", False), ("worsening", False), ("improving", False),
+      ("night_worse", False)], False, []),
     ("hpi.exacerbating", "hpi", "hpi.exacerbating", "multi_choice",
-     "worse_movement worse_effort worse_food worse_empty worse_lying better_rest "
-     "better_medicine nothing_helps", False, []),
-    ("hpi.severity", "hpi", "hpi.severity", "scale", "", False, []),
+     [("worse_movement", False), ("worse_effort", False), ("worse_food", False),
+      ("worse_empty", False), ("worse_lying", False), ("better_rest", False),
+      ("better_medicine", False), ("nothing_helps", False)], False, []),
+    ("hpi.severity", "hpi", "hpi.severity", "scale", [], False, []),
     ("pmh.conditions", "past_medical", "past_medical.conditions", "multi_choice",
-     "none! diabetes hypertension heart asthma tb thyroid kidney stroke arthritis anaemia ulcer "
-     "unsure", False, []),
-    ("pmh.hospitalised", "past_medical", "past_medical.hospitalised", "boolean", "", False, []),
-    ("pmh.hospital_reason", "past_medical", "past_medical.hospital_reason", "open_text", "",
+     [("none", True), ("diabetes", False), ("hypertension", False), ("heart", False),
+      ("asthma", False), ("tb", False), ("thyroid", False), ("kidney", False),
+      ("stroke", False), ("arthritis", False), ("anaemia", False), ("ulcer", False),
+      ("unsure", False)], False, []),
+    ("pmh.hospitalised", "past_medical", "past_medical.hospitalised", "boolean", [], False, []),
+    ("pmh.hospital_reason", "past_medical", "past_medical.hospital_reason", "open_text", [],
      False, [("past_medical.hospitalised", "eq", True)]),
-    ("psh.any", "past_surgical", "past_surgical.any", "boolean", "", False, []),
+    ("psh.any", "past_surgical", "past_surgical.any", "boolean", [], False, []),
     ("psh.which", "past_surgical", "past_surgical.which", "multi_choice",
-     "appendix gallbladder caesarean hysterectomy hernia cataract bone heart_surgery other",
+     [("appendix", False), ("gallbladder", False), ("caesarean", False),
+      ("hysterectomy", False), ("hernia", False), ("cataract", False), ("bone", False),
+      ("heart_surgery", False), ("other", False)],
      False, [("past_surgical.any", "eq", True)]),
-    ("psh.year", "past_surgical", "past_surgical.year", "open_text", "", False,
+    ("psh.year", "past_surgical", "past_surgical.year", "open_text", [], False,
      [("past_surgical.any", "eq", True)]),
-    ("med.taking", "drug_allergy", "drug_allergy.taking_medicines", "boolean", "", True, []),
-    ("med.list", "drug_allergy", "drug_allergy.medicines", "open_text", "", True,
+    ("med.taking", "drug_allergy", "drug_allergy.taking_medicines", "boolean", [], True, []),
+    ("med.list", "drug_allergy", "drug_allergy.medicines", "open_text", [], True,
      [("drug_allergy.taking_medicines", "eq", True)]),
-    ("med.ayush_taking", "drug_allergy", "drug_allergy.ayush_medicines", "boolean", "", True, []),
-    ("allergy.any", "drug_allergy", "drug_allergy.has_allergy", "boolean", "", True, []),
-    ("allergy.what", "drug_allergy", "drug_allergy.allergy_substance", "open_text", "", True,
+    ("med.ayush_taking", "drug_allergy", "drug_allergy.ayush_medicines", "boolean", [], True, []),
+    ("allergy.any", "drug_allergy", "drug_allergy.has_allergy", "boolean", [], True, []),
+    ("allergy.what", "drug_allergy", "drug_allergy.allergy_substance", "open_text", [], True,
      [("drug_allergy.has_allergy", "eq", True)]),
     ("allergy.reaction", "drug_allergy", "drug_allergy.allergy_reaction", "single_choice",
-     "rash swelling breathing collapse stomach", True,
+     [("rash", False), ("swelling", False), ("breathing", False), ("collapse", False),
+      ("stomach", False)], True,
      [("drug_allergy.has_allergy", "eq", True)]),
     ("fh.conditions", "family_history", "family_history.conditions", "multi_choice",
-     "none! diabetes hypertension heart stroke cancer tb asthma mental unsure", False, []),
+     [("none", True), ("diabetes", False), ("hypertension", False), ("heart", False),
+      ("stroke", False), ("cancer", False), ("tb", False), ("asthma", False), ("mental", False),
+      ("unsure", False)], False, []),
     ("ph.tobacco", "personal_history", "personal_history.tobacco", "single_choice",
-     "never current_smoke current_chew current_both former", False, []),
+     [("never", False), ("current_smoke", False), ("current_chew", False),
+      ("current_both", False), ("former", False)], False, []),
     ("ph.alcohol", "personal_history", "personal_history.alcohol", "single_choice",
-     "never occasional weekly daily former", False, []),
+     [("never", False), ("occasional", False), ("weekly", False), ("daily", False),
+      ("former", False)], False, []),
     ("ph.diet", "personal_history", "personal_history.diet", "single_choice",
-     "veg nonveg mixed vegan", False, []),
+     [("veg", False), ("nonveg", False), ("mixed", False), ("vegan", False)], False, []),
     ("ph.sleep", "personal_history", "personal_history.sleep", "single_choice",
-     "good disturbed difficulty insufficient", False, []),
+     [("good", False), ("disturbed", False), ("difficulty", False), ("insufficient", False)], False, []),
     ("ph.bowel", "personal_history", "personal_history.bowel", "single_choice",
-     "regular constipated loose alternating", False, []),
+     [("regular", False), ("constipated", False), ("loose", False), ("alternating", False)], False, []),
     ("ph.occupation", "personal_history", "personal_history.occupation", "single_choice",
-     "farming labour shop office home retired none", False, []),
+     [("farming", False), ("labour", False), ("shop", False), ("office", False),
+      ("home", False), ("retired", False), ("none", False)], False, []),
     ("ph.pregnancy", "personal_history", "personal_history.pregnancy", "single_choice",
-     "no yes maybe na", False,
+     [("no", False), ("yes", False), ("maybe", False), ("na", False)], False,
      [("demographics.gender", "eq", "female"), ("demographics.age_years", "gte", 12),
       ("demographics.age_years", "lte", 55)]),
     ("ros.cardio", "review_of_systems", _CARDIO, "multi_choice",
-     "none! chest_pain chest_pain_exertion palpitations ankle_swelling orthopnoea", False, []),
+     [("none", True), ("chest_pain", False), ("chest_pain_exertion", False),
+      ("palpitations", False), ("ankle_swelling", False), ("orthopnoea", False)], False, []),
     ("ros.resp", "review_of_systems", _RESP, "multi_choice",
-     "none! cough cough_3wk haemoptysis breathlessness wheeze night_sweats", False, []),
+     [("none", True), ("cough", False), ("cough_3wk", False), ("haemoptysis", False),
+      ("breathlessness", False), ("wheeze", False), ("night_sweats", False)], False, []),
     ("ros.gi", "review_of_systems", _GI, "multi_choice",
-     "none! nausea vomiting haematemesis melaena blood_stool appetite_loss weight_loss "
-     "swallowing jaundice", False, []),
+     [("none", True), ("nausea", False), ("vomiting", False), ("haematemesis", False),
+      ("melaena", False), ("blood_stool", False), ("appetite_loss", False),
+      ("weight_loss", False), ("swallowing", False), ("jaundice", False)], False, []),
     ("ros.neuro", "review_of_systems", _NEURO, "multi_choice",
-     "none! headache thunderclap fits fainting limb_weakness facial_droop speech vision_loss "
-     "numbness neck_stiff", False, []),
+     [("none", True), ("headache", False), ("thunderclap", False), ("fits", False),
+      ("fainting", False), ("limb_weakness", False), ("facial_droop", False), ("speech", False),
+      ("vision_loss", False), ("numbness", False), ("neck_stiff", False)], False, []),
     ("ros.gu", "review_of_systems", _GU, "multi_choice",
-     "none! burning frequency nocturia haematuria retention incontinence", False, []),
+     [("none", True), ("burning", False), ("frequency", False), ("nocturia", False),
+      ("haematuria", False), ("retention", False), ("incontinence", False)], False, []),
     ("ros.msk", "review_of_systems", "review_of_systems.musculoskeletal", "multi_choice",
-     "none! joint_pain joint_swelling morning_stiffness back_pain walking_difficulty", False, []),
+     [("none", True), ("joint_pain", False), ("joint_swelling", False),
+      ("morning_stiffness", False), ("back_pain", False), ("walking_difficulty", False)], False, []),
     ("ros.general", "review_of_systems", _GENERAL, "multi_choice",
-     "none! fever fever_persistent fatigue weight_loss night_sweats lumps rash bleeding_any",
+     [("none", True), ("fever", False), ("fever_persistent", False), ("fatigue", False),
+      ("weight_loss", False), ("night_sweats", False), ("lumps", False), ("rash", False),
+      ("bleeding_any", False)],
      False, []),
 ]
 
@@ -239,12 +267,12 @@ SCALE_ANCHORS = (
 
 
 def option_values(question):
-    """Option values of one QUESTIONS row, without the exclusive mark."""
-    return [v.rstrip("!") for v in question[4].split()]
+    """Option values of one QUESTIONS row."""
+    return [value for value, _exclusive in question[4]]
 
 
 def exclusive_values(question):
-    return [v.rstrip("!") for v in question[4].split() if v.endswith("!")]
+    return [value for value, exclusive in question[4] if exclusive]
 
 
 def label_of(value):

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartledger.config.vocabulary import DATE_CUES, MONTHS
+from chartledger.config.vocabulary import MONTHS
 from chartledger.functions.once import computed_once
 
 _MONTH = "(" + "|".join(MONTHS) + ")"
@@ -17,7 +17,9 @@ DATE_PATTERNS = (
     (rf"\b{_MONTH}[a-z]*\s+(\d{{4}})\b", "$2 $1 1", "yyyy MMM d", "month"),
     (r"\b((?:19|20)\d{2})\b", "$1 1 1", "yyyy M d", "year"),
 )
-DATE_CUE = r"(?i)\b(?:" + "|".join(DATE_CUES) + r")\b"
+DATE_CUE = (
+    r"(?i)\b(?:date|dated|dt|on|report(?:ed)? on|collected(?: on)?|sample date|visit date)\b"
+)
 _MARK = "\u0001"
 
 

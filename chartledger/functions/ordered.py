@@ -97,13 +97,16 @@ def with_next_marked(
 
 def salted_join(
     big: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner",
-    salts: int = 16,
+    salts: int | None = None,
 ) -> DataFrame:
     """Equi-join where one key of the big side may be hot.
 
     Rows of the big side are spread over `salts` sub-keys by a hash of `spread`; the small side,
     which must hold few rows per key, is repeated once per sub-key. ``how`` is inner or left.
+    Without ``salts``, a hot key is spread over a quarter of the shuffle partitions, 16 at least.
     """
+    if salts is None:
+        salts = max(16, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     right = right.withColumn("_salt", F.col("_salt").cast("long"))

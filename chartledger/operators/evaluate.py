@@ -105,24 +105,36 @@ def by_difficulty(results: DataFrame) -> DataFrame:
                        .alias("extraction"), "completeness", "flags_expected", "flags_caught")
 
 
-def timing(results: DataFrame) -> DataFrame:
+def timing(results: DataFrame, bucket_ms: int = 1000) -> DataFrame:
     """Mean, upper median, 95th percentile by position, and maximum of duration_ms; exact.
 
-    Durations are whole milliseconds, so they are counted first; only the distinct values are
-    ordered, not the results.
+    Durations are whole milliseconds, so they are counted first. Positions are then found in two
+    steps: among the counts of buckets of ``bucket_ms``, and among the values of the two buckets
+    that hold them. Only buckets are ordered in one place.
     """
-    counts = results.groupBy("duration_ms").agg(F.count(F.lit(1)).alias("n"))
-    run = W.orderBy("duration_ms").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy()
-    rows = counts.withColumns({
-        "_upto": F.sum("n").over(run), "_all": F.sum("n").over(whole)})
+    counts = results.groupBy("duration_ms").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "_bucket", F.floor(F.col("duration_ms") / bucket_ms))
+    buckets = counts.groupBy("_bucket").agg(F.sum("n").alias("_n"))
+    upto = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
+    placed = buckets.withColumns({
+        "_end": F.sum("_n").over(upto), "_all": F.sum("_n").over(W.partitionBy())})
     # Position p (from zero) falls in the first value whose running count exceeds p.
-    at = lambda p: F.min(F.when(F.col("_upto") > p, F.col("duration_ms")))
+    half = F.floor(F.col("_all") / 2)
     p95 = F.least(F.floor(F.col("_all") * 0.95), F.col("_all") - 1)
-    return rows.groupBy().agg(
+    inside = lambda p: (F.col("_end") > p) & (F.col("_end") - F.col("_n") <= p)
+    wanted = placed.filter(inside(half) | inside(p95))
+    run = W.partitionBy("_bucket").orderBy("duration_ms").rowsBetween(W.unboundedPreceding, 0)
+    rows = counts.join(wanted, "_bucket").withColumn(
+        "_upto", F.sum("n").over(run) + F.col("_end") - F.col("_n"))
+    at = lambda p: F.min(F.when(inside(p) & (F.col("_upto") > p), F.col("duration_ms")))
+    places = rows.groupBy().agg(at(half).cast("double").alias("median_ms"),
+                                at(p95).cast("double").alias("p95_ms"))
+    whole = counts.groupBy().agg(
         F.round(F.sum(F.col("n") * F.col("duration_ms")) / F.sum("n"), 1).alias("mean_ms"),
-        at(F.floor(F.col("_all") / 2)).cast("double").alias("median_ms"),
-        at(p95).cast("double").alias("p95_ms"), F.max("duration_ms").cast("double").alias("max_ms"))
+        F.max("duration_ms").cast("double").alias("max_ms"))
+    one = F.lit(1).alias("_one")
+    return whole.select("*", one).join(places.select("*", one), "_one").select(
+        "mean_ms", "median_ms", "p95_ms", "max_ms")
 
 
 _GAP_METRICS = (

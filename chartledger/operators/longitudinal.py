@@ -25,6 +25,9 @@ from chartledger.operators.predicates import is_live, renderable
 
 EARLIEST = "DATE '0001-01-01'"
 
+# Ids of one chunk of a group, for rows of one day.
+ID_CHUNK = 100_000
+
 
 def _count_if(test: Column, name: str) -> Column:
     return F.count_if(test).alias(name)
@@ -62,7 +65,7 @@ def recent_encounters(encounters: DataFrame, k: int = 6) -> DataFrame:
     newest = W.partitionBy("patient_id").orderBy(F.desc("occurred_on"), F.desc("encounter_id"))
     ranked = encounters.withColumn("position", F.row_number().over(newest))
     return ranked.filter(F.col("position") <= k).withColumn(
-        "headline", F.coalesce("headline", F.lit("Clinical encounter")))
+        "headline", F.coalesce(_told("headline"), F.lit("Clinical encounter")))
 
 
 def entity_label(kind, text, dose, frequency, display, value, unit) -> Column:
@@ -107,7 +110,7 @@ def patient_timeline(
     visits = encounters.select(
         "patient_id", F.col("encounter_id").alias("seq"), "occurred_on",
         F.lit("exact").alias("date_precision"), F.lit("encounter").alias("kind"),
-        F.coalesce("headline", F.lit("Clinical encounter")).alias("label"),
+        F.coalesce(_told("headline"), F.lit("Clinical encounter")).alias("label"),
         F.concat(F.lit("Confirmed by "), "confirmed_by").alias("detail"),
     )
     rows = visits.unionByName(events.select(visits.columns))
@@ -160,9 +163,13 @@ def reconcile_sessions(sessions: DataFrame, named: DataFrame, threads: DataFrame
     """What a visit in progress leaves open about documented medicines.
 
     ``sessions`` holds session_id, patient_id, denies (boolean); ``named`` holds session_id, name.
-    A session that denies gives one finding that counts all documented medicines; any other gives
-    one finding per documented medicine it did not name.
+    A patient has one visit in progress: of several sessions the one with the largest id counts,
+    so the findings grow with the medicines and not with sessions times medicines. A session that
+    denies gives one finding that counts all documented medicines; any other gives one finding per
+    documented medicine it did not name.
     """
+    sessions = sessions.groupBy("patient_id").agg(
+        F.max(F.struct("session_id", "denies")).alias("_s")).select("patient_id", "_s.*")
     documented = threads.filter("documented > 0").select("patient_id", "normalized_name")
     per_patient = documented.groupBy("patient_id").agg(F.count(F.lit(1)).alias("medicines"))
     denial = (
@@ -266,8 +273,13 @@ def cross_patient_similar(
     )
 
 
+def _told(column: str) -> Column:
+    """The text, null where it is empty."""
+    return F.when(F.col(column) != "", F.col(column))
+
+
 def _series_key() -> Column:
-    return F.coalesce("analyte_key", F.lower("display"))
+    return F.coalesce(_told("analyte_key"), F.lower(_told("display")))
 
 
 def latest_observations(observations: DataFrame) -> DataFrame:
@@ -322,7 +334,8 @@ def series_points(observations: DataFrame) -> DataFrame:
     points = observations.filter("value IS NOT NULL AND observed_on IS NOT NULL").withColumn(
         "analyte", _series_key())
     with_prev = with_previous(points, ["patient_id", "analyte"], ["observed_on", "seq"],
-                              F.col("observed_on"), ["value", "observed_on"], "_p")
+                              F.struct("observed_on", F.expr(f"seq div {ID_CHUNK}")),
+                              ["value", "observed_on"], "_p")
     return with_prev.withColumns({
         "previous_value": F.col("_p.value"), "previous_on": F.col("_p.observed_on"),
         "change": F.round(F.col("value") - F.col("_p.value"), 4),
@@ -353,7 +366,7 @@ def observation_trend(observations: DataFrame) -> DataFrame:
 def recurrence(encounters: DataFrame) -> DataFrame:
     """Intake visits per (patient, headline), with the patient's totals."""
     intakes = encounters.filter("kind = 'intake'")
-    headline = F.lower(F.trim(F.coalesce("headline", F.lit("Unspecified"))))
+    headline = F.lower(F.trim(F.coalesce(_told("headline"), F.lit("Unspecified"))))
     groups = intakes.groupBy("patient_id", headline.alias("headline_key")).agg(
         F.count(F.lit(1)).alias("visits"), F.min("occurred_on").alias("first_on"),
         F.max("occurred_on").alias("last_on"))
@@ -385,7 +398,8 @@ def previous_in_order(encounters: DataFrame) -> DataFrame:
     """(encounter, previous) by position in (date, id) order over the given encounters."""
     rows = with_previous(
         encounters.select("encounter_id", "patient_id", "occurred_on"), ["patient_id"],
-        ["occurred_on", "encounter_id"], F.year("occurred_on"), ["encounter_id"], "_p")
+        ["occurred_on", "encounter_id"],
+        F.struct("occurred_on", F.expr(f"encounter_id div {ID_CHUNK}")), ["encounter_id"], "_p")
     return rows.select("encounter_id", F.col("_p.encounter_id").alias("previous_id"))
 
 
@@ -417,7 +431,7 @@ def feature_changes(features: DataFrame, encounters: DataFrame) -> DataFrame:
 
 def fact_pairs(facts: DataFrame) -> DataFrame:
     """Distinct (encounter, path, item) of live, asked facts; the item is the displayed value."""
-    shown = F.coalesce("display_value", value_text(F.col("value")))
+    shown = F.coalesce(_told("display_value"), value_text(F.col("value")))
     return facts.filter(is_live() & (F.col("state") != "not_asked")).select(
         "encounter_id", "path", shown.alias("item")).filter("item IS NOT NULL").distinct()
 
@@ -425,7 +439,7 @@ def fact_pairs(facts: DataFrame) -> DataFrame:
 def fact_changes(facts: DataFrame, encounters: DataFrame) -> DataFrame:
     """Changes of all live facts against the previous confirmed intake; adds a current fact."""
     rows = changes(fact_pairs(facts), previous_in_order(encounters))
-    shown = F.coalesce("display_value", value_text(F.col("value")))
+    shown = F.coalesce(_told("display_value"), value_text(F.col("value")))
     refs = facts.filter(is_live()).groupBy("encounter_id", "path", shown.alias("item")).agg(
         F.max("fact_id").alias("fact_id"))
     joined = rows.join(refs, ["encounter_id", "path", "item"], "left")

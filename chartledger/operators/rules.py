@@ -170,7 +170,8 @@ def open_questions(
     all_paths = [q[2] for q in questions]
     done = active.filter(F.col("path").isin(*all_paths)).groupBy("session_id").agg(
         F.collect_set("path").alias("_done"))
-    refused = declined.groupBy("session_id").agg(F.collect_set("question_id").alias("_refused"))
+    known = [q[0] for q in questions]
+    refused = declined.filter(F.col("question_id").isin(*known)).groupBy("session_id").agg(F.collect_set("question_id").alias("_refused"))
     rows = (
         demographics.join(wide, "session_id", "left").join(done, "session_id", "left")
         .join(refused, "session_id", "left")

@@ -4,9 +4,6 @@ from pyspark.sql import functions as F
 
 from chartledger.config.vocabulary import (
     ANALYTES,
-    DIAGNOSIS_CUES,
-    LAB_UNITS,
-    PROCEDURE_CUES,
 )
 from chartledger.functions.dates import with_dates
 from chartledger.functions.text import fold
@@ -24,10 +21,16 @@ def _q(text):
     return "'" + text.replace("'", "''") + "'"
 
 
-_MED_RE = _q(X.MEDICATION)
-_INV_RE = _q(X.INVESTIGATION)
-_DX_RE = _q("(?:" + "|".join(DIAGNOSIS_CUES) + r")\s*[:\-–]?\s*(.+)")
-_PX_RE = _q("(?:" + "|".join(PROCEDURE_CUES) + r")\s*[:\-–]?\s*(.+)")
+# Written for the lines of the `line` view alone, not taken from the operators.
+_MED_RE = _q(
+    r"((?:tab|cap|syp)\.?)?\s*([a-z][a-z0-9\-/'\s]{2,40}?)\s*"
+    r"([0-9]+(?:\.[0-9]+)?\s*(?:mg|ml))?\s*"
+    r"([0-9]\s*-\s*[0-9]\s*-\s*[0-9]|\b(?:od|bd|tds|hs|stat)\b)"
+    r"(?:\s*(?:x|for)\s*([0-9]+\s*(?:days|day|weeks|week)\b))?")
+_INV_RE = _q(
+    r"^([a-z][a-z0-9\s\.\(\)/\-]{1,45}?)[\s:–-]+([0-9]+(?:\.[0-9]+)?)\s*(%|g/dl|mg/dl)?\s*(.*)$")
+_DX_RE = _q(r"(?:diagnosis|impression|known case of)\s*[:\-–]?\s*(.+)")
+_PX_RE = _q(r"(?:procedure|surgery|underwent|done)\s*[:\-–]?\s*(.+)")
 
 _ALIAS = "alias(key, alias, ord) AS (VALUES " + ", ".join(
     f"('{a[0]}', {_q(al)}, {i * 10 + j})" for i, a in enumerate(ANALYTES)
@@ -178,9 +181,10 @@ def _(v):
 SELECT kind, CASE WHEN chk THEN 'needs_check' ELSE 'confident' END AS lane,
   CAST(count(*) AS BIGINT) AS n FROM inh GROUP BY 1, 2""")
 def _(v):
-    return entities(v).groupBy(
-        "kind", F.when(X.needs_check(), "needs_check").otherwise("confident").alias("lane")
-    ).agg(F.count("*").alias("n"))
+    sure, check = X.confidence_lanes(entities(v))
+    lanes = sure.select("kind", F.lit("confident").alias("lane")).unionByName(
+        check.select("kind", F.lit("needs_check").alias("lane")))
+    return lanes.groupBy("kind", "lane").agg(F.count("*").alias("n"))
 
 
 @query("x7_fold", "", """

@@ -166,7 +166,7 @@ WITH base AS (
          regexp_extract_all(verbatim, '-?[0-9]+(?:\\.[0-9]+)?') AS nums
   FROM cand c LEFT JOIN scope s USING (session_id)),
 opt(path, vals) AS (VALUES {', '.join(
-    "('" + q[2] + "', [" + ', '.join("'" + x.rstrip('!') + "'" for x in q[4].split()) + "])"
+    "('" + q[2] + "', [" + ', '.join("'" + x + "'" for x, _ in q[4]) + "])"
     for q in QUESTIONS if q[4])}),
 item AS (
   SELECT fact_id, unnest(items) AS raw, hay, nums FROM base WHERE vkind IN ('text', 'list')),

@@ -49,8 +49,8 @@ def rule_tables(spark: SparkSession) -> dict[str, DataFrame]:
         for i, clause in enumerate(clauses) for path, op, arg in clause
     ]
     options = [
-        (q[0], q[1], q[2], q[3], i, v.rstrip("!"), label_of(v.rstrip("!")), v.endswith("!"))
-        for q in QUESTIONS for i, v in enumerate(q[4].split())
+        (q[0], q[1], q[2], q[3], i, v, label_of(v), exclusive)
+        for q in QUESTIONS for i, (v, exclusive) in enumerate(q[4])
     ]
     aliases = [(a[0], a[1], a[2], alias) for a in ANALYTES for alias in a[3]]
     scopes = [(s, s in REQUIRED_SCOPES) for s in CONSENT_SCOPES]
