@@ -124,17 +124,13 @@ def timing(results: DataFrame, bucket_ms: int = 1000) -> DataFrame:
     inside = lambda p: (F.col("_end") > p) & (F.col("_end") - F.col("_n") <= p)
     wanted = placed.filter(inside(half) | inside(p95))
     run = W.partitionBy("_bucket").orderBy("duration_ms").rowsBetween(W.unboundedPreceding, 0)
-    rows = counts.join(wanted, "_bucket").withColumn(
+    rows = counts.join(wanted, "_bucket", "left").withColumn(
         "_upto", F.sum("n").over(run) + F.col("_end") - F.col("_n"))
     at = lambda p: F.min(F.when(inside(p) & (F.col("_upto") > p), F.col("duration_ms")))
-    places = rows.groupBy().agg(at(half).cast("double").alias("median_ms"),
-                                at(p95).cast("double").alias("p95_ms"))
-    whole = counts.groupBy().agg(
+    return rows.groupBy().agg(
         F.round(F.sum(F.col("n") * F.col("duration_ms")) / F.sum("n"), 1).alias("mean_ms"),
+        at(half).cast("double").alias("median_ms"), at(p95).cast("double").alias("p95_ms"),
         F.max("duration_ms").cast("double").alias("max_ms"))
-    one = F.lit(1).alias("_one")
-    return whole.select("*", one).join(places.select("*", one), "_one").select(
-        "mean_ms", "median_ms", "p95_ms", "max_ms")
 
 
 _GAP_METRICS = (
