@@ -403,25 +403,24 @@ def previous_in_order(encounters: DataFrame) -> DataFrame:
     return rows.select("encounter_id", F.col("_p.encounter_id").alias("previous_id"))
 
 
-def changes(features: DataFrame, links: DataFrame) -> DataFrame:
+def changes(features: DataFrame, links: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """new, resolved or persisting for each (path, item) of a visit and the one before it.
 
-    Each side is labelled and both are reduced by key, so a visit is never paired with another.
-    A visit without an earlier one has nothing to compare and gives no rows.
+    Each visit's features are read once and told to the visits that they are the present or the
+    past of, then reduced by key; a visit is never paired with another. ``carried`` columns keep
+    their largest value at the present visit. A visit without an earlier one gives no rows.
     """
-    both = links.filter("previous_id IS NOT NULL")
-    now = features.join(both.select("encounter_id"), "encounter_id").select(
-        "encounter_id", "path", "item", F.lit(1).alias("_now"), F.lit(0).alias("_then"))
-    then = features.join(
-        both.select(F.col("encounter_id").alias("_e"), F.col("previous_id").alias("encounter_id")),
-        "encounter_id",
-    ).select(F.col("_e").alias("encounter_id"), "path", "item", F.lit(0).alias("_now"),
-             F.lit(1).alias("_then"))
-    sides = now.unionByName(then).groupBy("encounter_id", "path", "item").agg(
-        F.max("_now").alias("_now"), F.max("_then").alias("_then"))
-    label = F.when(F.expr("_now = 1 AND _then = 1"), "persisting").when(
-        F.col("_now") == 1, "new").otherwise("resolved")
-    return sides.select("encounter_id", "path", "item", label.alias("change"))
+    role = lambda column, now: F.struct(F.col(column).alias("_source"), F.lit(now).alias("_now"))
+    roles = links.filter("previous_id IS NOT NULL").select(
+        "encounter_id", F.inline(F.array(role("encounter_id", True), role("previous_id", False))))
+    now = F.col("_now")
+    sides = features.withColumnRenamed("encounter_id", "_source").join(roles, "_source").groupBy(
+        "encounter_id", "path", "item").agg(
+            F.bool_or(now).alias("_here"), F.bool_or(~now).alias("_before"),
+            *[F.max(F.when(now, F.col(c))).alias(c) for c in carried])
+    label = F.when(F.col("_here") & F.col("_before"), "persisting").when(
+        F.col("_here"), "new").otherwise("resolved")
+    return sides.select("encounter_id", "path", "item", label.alias("change"), *carried)
 
 
 def feature_changes(features: DataFrame, encounters: DataFrame) -> DataFrame:
@@ -430,21 +429,17 @@ def feature_changes(features: DataFrame, encounters: DataFrame) -> DataFrame:
 
 
 def fact_pairs(facts: DataFrame) -> DataFrame:
-    """Distinct (encounter, path, item) of live, asked facts; the item is the displayed value."""
+    """(encounter, path, item) of live, asked facts with a fact that shows it; the item is the
+    displayed value."""
     shown = F.coalesce(_told("display_value"), value_text(F.col("value")))
-    return facts.filter(is_live() & (F.col("state") != "not_asked")).select(
-        "encounter_id", "path", shown.alias("item")).filter("item IS NOT NULL").distinct()
+    return facts.filter(is_live()).groupBy("encounter_id", "path", shown.alias("item")).agg(
+        F.max("fact_id").alias("fact_id"), F.bool_or(F.col("state") != "not_asked").alias("_asked")
+    ).filter("_asked AND item IS NOT NULL").drop("_asked")
 
 
 def fact_changes(facts: DataFrame, encounters: DataFrame) -> DataFrame:
     """Changes of all live facts against the previous confirmed intake; adds a current fact."""
-    rows = changes(fact_pairs(facts), previous_in_order(encounters))
-    shown = F.coalesce(_told("display_value"), value_text(F.col("value")))
-    refs = facts.filter(is_live()).groupBy("encounter_id", "path", shown.alias("item")).agg(
-        F.max("fact_id").alias("fact_id"))
-    joined = rows.join(refs, ["encounter_id", "path", "item"], "left")
-    return joined.withColumn(
-        "fact_id", F.when(F.col("change") != "resolved", F.col("fact_id")))
+    return changes(fact_pairs(facts), previous_in_order(encounters), ("fact_id",))
 
 
 def visit_gaps(facts: DataFrame) -> DataFrame:

@@ -59,10 +59,22 @@ def term_matches(terms: DataFrame, concepts: DataFrame) -> DataFrame:
 
 
 def lookup_terms(terms: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame:
-    """The k best concepts per distinct term: by rank, then concept order."""
+    """The k best concepts per distinct term: by rank, then concept order.
+
+    Exact matches come first, by an equi-join; containment is searched only for terms that have
+    fewer than k of them.
+    """
+    keys = terms.select(normalise_term(F.col("term")).alias("term_key")).distinct().filter(
+        F.length("term_key") >= 3)
+    exact = keys.join(
+        concepts.withColumn("term_key", normalise_term(F.col("display"))), "term_key").select(
+            "term_key", "concept_id", "code", "display", F.lit(0).alias("rank"))
+    enough = exact.groupBy("term_key").agg(F.count(F.lit(1)).alias("_n")).filter(
+        F.col("_n") >= k).select("term_key")
+    rest = keys.join(enough, "term_key", "left_anti").withColumnRenamed("term_key", "term")
+    found = term_matches(rest, concepts).unionByName(exact.join(enough, "term_key", "left_semi"))
     best = W.partitionBy("term_key").orderBy("rank", "concept_id")
-    return term_matches(terms, concepts).withColumn("position", F.row_number().over(best)).filter(
-        F.col("position") <= k)
+    return found.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k)
 
 
 def code_terms(terms: DataFrame, concepts: DataFrame) -> DataFrame:
