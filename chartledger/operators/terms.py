@@ -72,7 +72,7 @@ def lookup_terms(terms: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame
     enough = exact.groupBy("term_key").agg(F.count(F.lit(1)).alias("_n")).filter(
         F.col("_n") >= k).select("term_key")
     rest = keys.join(enough, "term_key", "left_anti").withColumnRenamed("term_key", "term")
-    found = term_matches(rest, concepts).unionByName(exact.join(enough, "term_key", "left_semi"))
+    found = exact.unionByName(term_matches(rest, concepts).filter(F.col("rank") > 0))
     best = W.partitionBy("term_key").orderBy("rank", "concept_id")
     return found.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k)
 

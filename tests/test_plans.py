@@ -22,3 +22,9 @@ def test_plan(spark, name):
     if name not in REDUCED_FIRST:
         assert "SinglePartition" not in re.sub(
             r"Exchange SinglePartition[^\n]*\n[^\n]*HashAggregate", "", plan) or "Window" not in plan
+
+
+@pytest.mark.parametrize("name, scans", [("g13_feature_changes", 4), ("g14_fact_changes", 3)])
+def test_inputs_are_read_once(spark, name, scans):
+    plan = BATCH[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= scans
