@@ -137,8 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         return None
     x = np.stack([np.frombuffer(v, dtype=np.float32) for v in rows["vector"]])
     y = rows["label"].to_numpy(dtype=np.float32)
-    gram = x.T.astype(np.float64) @ x
-    values, base = np.linalg.eigh(gram)
+    values, base = np.linalg.eigh((x.T @ x).astype(np.float64))
     projection = base[:, np.argsort(values)[::-1][:LATENT]].astype(np.float32)
     # References stand for all labelled documents of their label.
     drawn = {k: max(1, int((y == k).sum())) for k in (0, 1)}
