@@ -41,6 +41,7 @@ UNICODE_ONE = re.compile(
     r"(?:\\u|%u)([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[0-9xXA-Fa-f]+;)")
 BASE64_RUN = re.compile(
     r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64_PART = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 
 # A compressed layer may unfold to at most this many bytes; beyond, the layer is scanned as far as
 # it was unfolded and the text is marked. Bounds the memory that a hostile text can take.
@@ -162,41 +163,54 @@ def _readable(raw: bytes) -> str | None:
         else None
 
 
+def _decoded(layer: Layer, start: int, run: str) -> tuple[Layer | None, bool]:
+    """The layer that a base64 run holds as text, at once or compressed; whether it was cut."""
+    places = [start + i for i, c in enumerate(run) if c not in "\r\n="]
+    clean = run.replace("\r", "").replace("\n", "").rstrip("=")
+    clean = clean[:len(clean) - (len(clean) % 4 == 1)]
+    normal = clean.replace("-", "+").replace("_", "/")
+    try:
+        raw = base64.b64decode(normal + "=" * (-len(normal) % 4))
+    except (binascii.Error, ValueError):
+        return None, False
+    text = _readable(raw)
+    if text is not None:
+        starts, ends, at = [], [], 0
+        for c in text:
+            size = len(c.encode("utf-8"))
+            first, last = places[at * 8 // 6], places[((at + size) * 8 - 1) // 6]
+            s, e = layer.source(first, last + 1)
+            starts.append(s)
+            ends.append(e)
+            at += size
+        return Layer(text, np.array(starts), np.array(ends)), False
+    cut, unfolded = False, None
+    while (more := _unfold(raw)) is not None:
+        raw, unfolded, cut = more[0], more[0], cut or more[1]
+    if not unfolded:
+        return None, cut
+    text = unfolded.decode("utf-8", "replace")
+    s, e = layer.source(start, start + len(run))
+    n = len(text)
+    return Layer(text, np.broadcast_to(np.int64(s), n), np.broadcast_to(np.int64(e), n)), cut
+
+
 def _base64(layer: Layer) -> tuple[list[Layer], bool]:
-    """A layer for each base64 run that decodes to text, at once or through compression."""
+    """A layer for each base64 run that decodes to text. A run that does not as a whole is tried
+    between its signs, since a path or a name may stand before the encoded part."""
     out, cut = [], False
     for m in BASE64_RUN.finditer(layer.text):
-        run = m[0]
-        places = [m.start() + i for i, c in enumerate(run) if c not in "\r\n="]
-        clean = run.replace("\r", "").replace("\n", "").rstrip("=")
-        clean = clean[:len(clean) - (len(clean) % 4 == 1)]
-        normal = clean.replace("-", "+").replace("_", "/")
-        try:
-            raw = base64.b64decode(normal + "=" * (-len(normal) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        whole = layer.source(m.start(), m.end())
-        depth_text, folded = _readable(raw), raw
-        if depth_text is not None:
-            starts, ends, at = [], [], 0
-            for c in depth_text:
-                size = len(c.encode("utf-8"))
-                first, last = places[at * 8 // 6], places[((at + size) * 8 - 1) // 6]
-                s, e = layer.source(first, last + 1)
-                starts.append(s)
-                ends.append(e)
-                at += size
-            out.append(Layer(depth_text, np.array(starts), np.array(ends)))
+        found, was_cut = _decoded(layer, m.start(), m[0])
+        cut = cut or was_cut
+        if found is not None:
+            out.append(found)
             continue
-        compressed = False
-        while (more := _unfold(folded)) is not None:
-            folded, compressed = more[0], True
-            cut = cut or more[1]
-        text = folded.decode("utf-8", "replace") if compressed else None
-        if text:
-            n = len(text)
-            out.append(Layer(text, np.broadcast_to(np.int64(whole[0]), n),
-                             np.broadcast_to(np.int64(whole[1]), n)))
+        for part in BASE64_PART.finditer(m[0]):
+            if part[0] != m[0]:
+                found, was_cut = _decoded(layer, m.start() + part.start(), part[0])
+                cut = cut or was_cut
+                if found is not None:
+                    out.append(found)
     return out, cut
 
 

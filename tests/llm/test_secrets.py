@@ -83,6 +83,8 @@ def test_nested_layers_map_to_the_original():
     for packed in (gzip.compress(SECRET.encode() * 3), zlib.compress(SECRET.encode() * 3)):
         run = base64.b64encode(packed).decode().rstrip("=")
         assert spans(f"z: {run}") == f"assign:3:{3 + len(run)}"
+    assert spans(f"https://a.example/some/path/{inner}") == (
+        f"assign:28:{28 + len(inner.rstrip('='))}")
     deep = base64.b64encode(base64.b64encode(gzip.compress(url.encode() * 2))).decode()
     assert spans(f"({deep})") == f"assign:1:{1 + len(deep.rstrip('='))}"
 
