@@ -261,6 +261,25 @@ def _(v):
     return A.record_shape(v.patient, v.encounter, v.efact, v.evidence, v.med, v.obs)
 
 
+@query("a10_shape_difference", "encounter", """
+WITH b AS (SELECT patient_id, count(*) AS n FROM encounter GROUP BY 1),
+a AS (SELECT patient_id, count(*) AS n FROM encounter WHERE encounter_id % 50 <> 7 GROUP BY 1)
+SELECT b.patient_id, CAST(b.n AS BIGINT) AS n, 'before' AS side FROM b LEFT JOIN a USING (patient_id)
+WHERE a.n IS NULL OR a.n <> b.n
+UNION ALL SELECT a.patient_id, CAST(a.n AS BIGINT), 'after' FROM a JOIN b USING (patient_id)
+WHERE a.n <> b.n""")
+def _(v):
+    shape = lambda rows: rows.groupBy("patient_id").agg(F.count("*").alias("n"))
+    return A.shape_difference(shape(v.encounter), shape(v.encounter.filter(
+        "encounter_id % 50 <> 7"))).select("patient_id", "n", "side")
+
+
+@query("a7_purge", "session", """
+SELECT session_ref FROM session WHERE patient_id % 5 <> 0""")
+def _(v):
+    return A.purge(v.session, v.session.filter("patient_id % 5 = 0")).select("session_ref")
+
+
 # ---- terminology: one system in two versions, concepts from the part table
 
 _CONCEPT = """

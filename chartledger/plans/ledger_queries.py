@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from chartledger.config.rules import QUESTIONS
 from chartledger.functions.text import mask_identifier
+from chartledger.functions.conditions import condition
 from chartledger.functions.values import make_value, value_text
 from chartledger.operators import ledger as L
 from chartledger.operators import predicates as P
@@ -47,6 +48,30 @@ def live_paths(v):
     return L.active_facts(facts(v))
 
 
+_TESTS = (
+    ("eq", "back"), ("ne", "back"), ("in", ["back", "sudden", "fever"]), ("not_in", ["none"]),
+    ("contains", "weight"), ("gte", 7), ("lt", 8), ("recorded", True), ("not_recorded", True),
+)
+
+
+@query("p1_condition", "sfact", """
+WITH v AS (SELECT fact_id, vkind, vs, string_split(vs, '|') AS items, try_cast(vs AS DOUBLE) AS n
+  FROM sfact)
+SELECT fact_id,
+  vkind = 'text' AND vs = 'back' AS eq,
+  NOT (vkind = 'text' AND vs = 'back') AS ne,
+  len(list_intersect(items, ['back', 'sudden', 'fever'])) > 0 AS "in",
+  NOT list_contains(items, 'none') AS not_in,
+  len(list_filter(items, lambda x: contains(lower(x), 'weight'))) > 0 AS "contains",
+  vkind IN ('text', 'number') AND coalesce(n >= 7, false) AS gte,
+  vkind IN ('text', 'number') AND coalesce(n < 8, false) AS lt,
+  true AS recorded, false AS not_recorded FROM v""")
+def _(v):
+    rows = v.sfact.withColumn("value", make_value(F.col("vkind"), F.col("vs")))
+    return rows.select("fact_id", *[
+        condition(("p", op, arg), lambda _p: "value").alias(op) for op, arg in _TESTS])
+
+
 @query("p2_live_facts", "efact", """
 SELECT state, path, CAST(count(*) AS BIGINT) AS n FROM efact
 WHERE superseded_by IS NULL AND invalidated_reason IS NULL GROUP BY state, path""")
@@ -101,6 +126,17 @@ def _(v):
     return P.apply_purpose(rows, "clinician", "RESEARCH", "fact.read", ["patient_id"], [])
 
 
+@query("p7_staff", "session", """
+SELECT 'v' || session_ref AS viewer FROM session
+WHERE patient_id % 4 IN (0, 1)""")
+def _(v):
+    role = F.expr("CASE patient_id % 4 WHEN 0 THEN 'clinician' WHEN 1 THEN 'auditor' "
+                  "WHEN 2 THEN 'patient' ELSE 'anonymous' END")
+    viewers = v.session.select(F.concat(F.lit("v"), "session_ref").alias("viewer"),
+                               role.alias("role"))
+    return P.sees_everything(viewers).select("viewer")
+
+
 @query("p7_owned_rows", "patient session", """
 SELECT 'p' || a.patient_ref AS viewer, s.session_ref FROM session s
 JOIN patient a ON a.patient_id = s.patient_id
@@ -371,6 +407,14 @@ def _(v):
     return survivors.select("fact_id", "superseded_by")
 
 
+@query("l11_ended_sessions", "scope", """
+SELECT session_id FROM scope WHERE length(session_id) % 3 = 0""")
+def _(v):
+    gone = F.expr("CASE WHEN length(session_id) % 3 = 0 THEN 'history' ELSE 'voice' END")
+    rev = scopes(v).withColumn("revoked", F.array(gone))
+    return L.revoke_scopes(v.sfact, rev)[2].select("session_id")
+
+
 @query("l11_purged_counts", "sfact scope", _REVOKED + """
 SELECT session_id, CAST(count(*) AS BIGINT) AS purged FROM held WHERE hit GROUP BY 1""")
 def _(v):
