@@ -330,9 +330,10 @@ def observation_series(observations: DataFrame) -> DataFrame:
 
 
 def series_points(observations: DataFrame) -> DataFrame:
-    """Every dated number with the one before it in its series."""
+    """Every dated number with the one before it in its series. A number without a patient or a
+    name belongs to no series."""
     points = observations.filter("value IS NOT NULL AND observed_on IS NOT NULL").withColumn(
-        "analyte", _series_key())
+        "analyte", _series_key()).filter("patient_id IS NOT NULL AND analyte IS NOT NULL")
     with_prev = with_previous(points, ["patient_id", "analyte"], ["observed_on", "seq"],
                               F.struct("observed_on", F.expr(f"seq div {ID_CHUNK}")),
                               ["value", "observed_on"], "_p")

@@ -26,10 +26,12 @@ def entity_facts(entities: DataFrame, seq_chunk: int = SEQ_CHUNK) -> DataFrame:
     """Extracted entities as document-tier candidate facts at ``group[i].field``.
 
     Entries are numbered per document and group in reading order (`seq`). Reads doc_id, seq, kind,
-    label, dose, frequency_raw, route, value, observed_on and source_text.
+    label, dose, frequency_raw, route, value, observed_on and source_text. Entities of other kinds
+    have no group and give no fact.
     """
     group = F.create_map(*[F.lit(x) for k, (g, _f) in ENTITY_GROUPS.items() for x in (k, g)])
-    rows = entities.withColumn("_group", F.try_element_at(group, F.col("kind")))
+    rows = entities.withColumn("_group", F.try_element_at(group, F.col("kind"))).filter(
+        "doc_id IS NOT NULL AND _group IS NOT NULL")
     rows = with_previous(rows, ["doc_id", "_group"], ["seq"], F.expr(f"seq div {seq_chunk}"),
                          ["seq"], "_p", position="_i").drop("_p")
     kind = F.col("kind")
