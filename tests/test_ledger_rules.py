@@ -36,7 +36,7 @@ REASONS = [
     ({"tier": "document"}, "document_span_needed"), ({"span_kind": "document"}, "utterance_needed"),
     ({"tier": "confirmed", "question_id": None}, "question_needed"),
     ({"path": "hpi.sight"}, "unknown_path"), ({"path": "medications[47].name"}, None),
-    ({"path": "medications[48].name"}, "unknown_path"),
+    ({"path": "medications[4800].name"}, None), ({"path": "medications[one].name"}, "unknown_path"),
     ({"scope": "voice"}, "scope_not_granted"), ({"scope": "history"}, None),
     ({"coded": True, "verbatim": "chhaati"}, None),
     ({"coded": True, "text": "elbow"}, "not_in_vocabulary"),
