@@ -7,7 +7,7 @@ import numpy as np
 SHINGLE = 5
 RANKS = 128
 BANDS = 32
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
