@@ -16,9 +16,11 @@ of a shard in the whole stream follows.
 """
 
 import struct
-import unicodedata
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ from chartledger.llm.common import scratch_path, text_or_empty, written
 
 END_ID = 1
 BLOCK_IDS = 65_536
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 250_000
 
 BLOCK_SCHEMA = T.StructType([
     T.StructField("shard", T.IntegerType()),
@@ -49,93 +51,102 @@ BLOCK_SCHEMA = T.StructType([
 ])
 
 
+def id_bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class WordIds(dict):
+    """Ids of text pieces without white space, as bytes; a piece is encoded when first asked for.
+
+    ``older`` is the generation before: pieces found there move here, so frequent ones stay.
+    """
+
+    def __init__(self, library, older: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.library, self.merge, self.older = library, library.model.tokenize, older
+        # Bytes that the vocabulary writes as themselves; the others follow from 256.
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encoded(piece)
+        self[piece] = ids
+        return ids
+
+    def encoded(self, piece: str) -> bytes:
+        last = piece[-1]
+        if last in ".,!" and piece[-2:-1].isalpha():
+            return self[piece[:-1]] + self[last]
+        # Latin letters alone are one word to the vocabulary's rules: lower case, then merging.
+        # A dotted capital I has no single lower-case letter.
+        if piece.isalpha() and max(piece) < "\u0180" and "\u0130" not in piece:
+            word = piece.lower()
+            if not word.isascii():
+                word = word.encode("utf-8").decode("latin-1").translate(self.letters)
+            return id_bytes([t.id for t in self.merge(word)])
+        found = self.library.encode(piece, add_special_tokens=False)
+        return id_bytes(found.ids)
+
+
 class WordEncoder:
     """Encodes texts by the tokenizers library, each distinct word once.
 
     The vocabulary's own rules cut at white space and drop it, so the ids of a text are the ids of
     the pieces between blanks and line ends, one after the other. Pieces seen before come from a
-    bounded cache. New pieces of letters alone go to the library as one text: each is one word
-    there and ends with a word-end token, by which the ids are dealt back. All others go to it
-    one by one.
+    cache of two generations of at most ``words`` pieces and one run of texts. New pieces of Latin
+    letters go straight to the library's merging model, all others through the whole library.
     """
 
     def __init__(self, path: str, words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        ends = np.zeros(size, dtype=bool)
-        for token, i in self.library.get_vocab(with_added_tokens=True).items():
-            ends[i] = token.endswith("</w>")
-        self.ends, self.words = ends, words
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _one_by_one(self, pieces: list[str]) -> None:
-        found = self.library.encode_batch(pieces, add_special_tokens=False)
-        for piece, e in zip(pieces, found, strict=True):
-            self.known[piece] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if p.isalpha() and unicodedata.is_normalized("NFC", p)]
-        ids = np.array(
-            self.library.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(plain):
-            raw, start = ids.tobytes(), 0
-            for piece, cut in zip(plain, (cuts * 4).tolist(), strict=True):
-                self.known[piece] = raw[start:cut]
-                start = cut
-        else:
-            self._one_by_one(plain)
-        plain = set(plain)
-        self._one_by_one([p for p in pieces if p not in plain])
-
-    def _learn_all(self, pieces: set[str]) -> None:
-        """A word with one mark after it is the word's ids and the mark's."""
-        known = self.known
-        bare = {p[:-1] if len(p) > 1 and p[-1] in ".,!" and p[-2].isalpha() else p
-                for p in pieces}
-        bare |= {p[-1] for p in pieces if p[-1] in ".,!"}
-        new = sorted(bare.difference(known))
-        for i in range(0, len(new), 20_000):
-            self._learn(new[i:i + 20_000])
-        for p in pieces:
-            if p not in known:
-                known[p] = known[p[:-1]] + known[p[-1]]
+        self.library, self.words = Tokenizer.from_file(path), words
+        self.known = WordIds(self.library, {})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for pieces in cut:
-            new.update(pieces)
         if len(self.known) > self.words:
-            self.known = {"": b""}
-        new.difference_update(self.known)
-        if new:
-            self._learn_all(new)
+            self.known.older = {}
+            self.known = WordIds(self.library, self.known)
         known = self.known.__getitem__
-        return [b"".join(map(known, pieces)) for pieces in cut]
+        return [b"".join(map(known, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a Python worker: words learnt by one task serve the next."""
+    return WordEncoder(path)
 
 
 def pack_planes(ids: np.ndarray, kind: str, compress) -> list[bytes]:
     """A block's ids as compressed planes, lowest bits first."""
-    raw = np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4)
+    ids = np.ascontiguousarray(ids, dtype="<u4")
     if kind == "byte":
+        raw = ids.view(np.uint8).reshape(-1, 4)
         return [compress(np.ascontiguousarray(raw[:, i]).tobytes()) for i in range(4)]
-    bits = np.unpackbits(raw, axis=1, bitorder="little")
-    return [compress(np.packbits(bits[:, i], bitorder="little").tobytes()) for i in range(32)]
+    used = int(ids.max(initial=0)).bit_length()
+    planes = [compress(np.packbits((ids >> np.uint32(i)) & np.uint32(1) != 0,
+                                   bitorder="little").tobytes()) for i in range(used)]
+    # Planes above the highest bit in use are alike: all zero.
+    return planes + [compress(bytes(-(-len(ids) // 8)))] * (32 - used)
 
 
 def unpack_planes(planes: list[bytes], n: int, decompress) -> np.ndarray:
     """The ids of a block of either kind."""
     parts = [np.frombuffer(decompress(p), dtype=np.uint8) for p in planes]
     if len(parts) == 4:
-        raw = np.stack(parts, axis=1)
-    else:
-        bits = np.stack([np.unpackbits(p, count=n, bitorder="little") for p in parts], axis=1)
-        raw = np.packbits(bits, axis=1, bitorder="little")
-    return np.ascontiguousarray(raw).view("<u4").reshape(-1)
+        return np.ascontiguousarray(np.stack(parts, axis=1)).view("<u4").reshape(-1)
+    ids = np.zeros(n, dtype="<u4")
+    for i, part in enumerate(parts):
+        if part.any():
+            ids |= np.unpackbits(part, count=n, bitorder="little").astype("<u4") << np.uint32(i)
+    return ids
 
 
 def _slices(texts: list, chars: int = 2_000_000) -> Iterator[slice]:
@@ -158,7 +169,7 @@ def block_writer(path: str, kind: str, block_ids: int, end_id: int):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder, compress = WordEncoder(path), zstandard.ZstdCompressor(level=3).compress
+        encoder, compress = word_encoder(path), zstandard.ZstdCompressor(level=3).compress
         end = struct.pack("<I", end_id)
         schema = pa.schema([
             ("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()),
