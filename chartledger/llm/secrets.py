@@ -7,7 +7,6 @@ it came from, so a secret found in any depth is reported where it stands in the
 """
 
 import base64
-import binascii
 import html
 import re
 import zlib
@@ -43,6 +42,14 @@ BASE64_RUN = re.compile(
     r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
 BASE64_PART = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 
+# The shortest secret, token=abcdef, has twelve ASCII characters in a row, and what is encoded is
+# longer. Bytes without such a stretch, plain or with NULs between the letters, hold none.
+PLAIN = re.compile(rb"[\t\r\n\x20-\x7e]{12}")
+WIDE = re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00{1,3}){11}")
+LETTERS_ONLY = re.compile(r"[^A-Za-z0-9+/_-]")
+LETTER = np.array([chr(i) in "+/_-" or chr(i).isalnum() for i in range(128)])
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+
 # A compressed layer may unfold to at most this many bytes; beyond, the layer is scanned as far as
 # it was unfolded and the text is marked. Bounds the memory that a hostile text can take.
 UNFOLD_BYTES = 64_000_000
@@ -89,6 +96,13 @@ class Layer:
         return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends))
 
 
+def _sizes(text: str) -> np.ndarray:
+    """The number of bytes of each character of a text that was decoded with surrogateescape."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    size = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    return np.where((codes >= 0xDC80) & (codes <= 0xDCFF), 1, size)
+
+
 def _url(layer: Layer) -> list[Layer]:
     """The layer with all its percent sequences decoded; bytes that are no UTF-8 stay."""
     if "%" not in layer.text:
@@ -96,16 +110,19 @@ def _url(layer: Layer) -> list[Layer]:
     runs = []
     for m in URL_RUN.finditer(layer.text):
         raw = bytes.fromhex(m[0].replace("%", ""))
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        starts, ends, at = [], [], m.start()
-        for c in text:
-            starts.append(at)
-            at += 3 * len(c.encode("utf-8"))
-            ends.append(at)
-        runs.append((m.start(), m.end(), text, starts, ends))
+        text, starts, ends, at = [], [], [], m.start()
+        for c in raw.decode("utf-8", "surrogateescape"):
+            if "\udc80" <= c <= "\udcff":
+                text.append(layer.text[at:at + 3])
+                starts += range(at, at + 3)
+                ends += range(at + 1, at + 4)
+                at += 3
+            else:
+                text.append(c)
+                starts.append(at)
+                at += 3 * len(c.encode("utf-8"))
+                ends.append(at)
+        runs.append((m.start(), m.end(), "".join(text), starts, ends))
     return [layer.replaced(runs)] if runs else []
 
 
@@ -154,63 +171,94 @@ def _unfold(raw: bytes) -> tuple[bytes, bool] | None:
     return out, not tool.eof and bool(tool.unconsumed_tail)
 
 
-def _readable(raw: bytes) -> str | None:
+def _texts(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[Layer]:
+    """The texts that bytes may stand for; bytes that are no UTF-8 become a character each."""
+    if PLAIN.search(raw):
+        text = raw.decode("utf-8", "surrogateescape")
+        size = _sizes(text)
+        last = np.cumsum(size)
+        yield Layer(text, starts[last - size], ends[last - 1])
+    ways = set()
+    for m in WIDE.finditer(raw):
+        width = 4 if raw[m.start() + 2] == 0 else 2
+        # A NUL before the first letter: the high bytes come first.
+        big = m.start() >= width - 1 and not any(raw[m.start() - width + 1:m.start()])
+        ways.add((">" if big else "<", width, (m.start() - (width - 1 if big else 0)) % width))
+    for order, width, skip in sorted(ways):
+        units = np.frombuffer(raw, f"{order}u{width}", (len(raw) - skip) // width, skip)
+        # Units that are no character become one each, so that all have their width.
+        text = np.where(units > 0x10FFFF, 0xFFFD, units).astype("<u4").tobytes().decode(
+            "utf-32-le", "surrogatepass")
+        first = skip + width * np.arange(len(text))
+        yield Layer(text, starts[first], ends[first + width - 1])
+
+
+def _is_text(raw: bytes) -> bool:
+    """Whether all of the bytes are a text without control characters."""
     try:
-        text = raw.decode("utf-8")
+        return bool(raw) and not CONTROL.search(raw.decode("utf-8"))
     except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) == len(text) \
-        else None
-
-
-def _decoded(layer: Layer, start: int, run: str) -> tuple[Layer | None, bool]:
-    """The layer that a base64 run holds as text, at once or compressed; whether it was cut."""
-    places = [start + i for i, c in enumerate(run) if c not in "\r\n="]
-    clean = run.replace("\r", "").replace("\n", "").rstrip("=")
-    clean = clean[:len(clean) - (len(clean) % 4 == 1)]
-    normal = clean.replace("-", "+").replace("_", "/")
-    try:
-        raw = base64.b64decode(normal + "=" * (-len(normal) % 4))
-    except (binascii.Error, ValueError):
-        return None, False
-    text = _readable(raw)
-    if text is not None:
-        starts, ends, at = [], [], 0
-        for c in text:
-            size = len(c.encode("utf-8"))
-            first, last = places[at * 8 // 6], places[((at + size) * 8 - 1) // 6]
-            s, e = layer.source(first, last + 1)
-            starts.append(s)
-            ends.append(e)
-            at += size
-        return Layer(text, np.array(starts), np.array(ends)), False
-    cut, unfolded = False, None
-    while (more := _unfold(raw)) is not None:
-        raw, unfolded, cut = more[0], more[0], cut or more[1]
-    if not unfolded:
-        return None, cut
-    text = unfolded.decode("utf-8", "replace")
-    s, e = layer.source(start, start + len(run))
-    n = len(text)
-    return Layer(text, np.broadcast_to(np.int64(s), n), np.broadcast_to(np.int64(e), n)), cut
+        return False
+
+
+class Run:
+    """Base64 letters of a layer, with other characters between them taken out."""
+
+    def __init__(self, layer: Layer, start: int, run: str):
+        codes = np.frombuffer(run.encode("ascii"), np.uint8)
+        self.layer = layer
+        self.places = start + np.flatnonzero(LETTER[codes])
+        self.end = start + len(run)
+        self.letters = LETTERS_ONLY.sub("", run).replace("-", "+").replace("_", "/")
+
+    def decoded(self, k: int) -> bytes:
+        """The bytes of the letters from the k-th on."""
+        n = len(self.letters) - k
+        n -= n % 4 == 1
+        return base64.b64decode(self.letters[k:k + n] + "=" * (-n % 4)) if n > 0 else b""
+
+    def spans(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the n bytes of the letters from the k-th on come from."""
+        at = np.arange(n)
+        first, last = self.places[k + at * 8 // 6], self.places[k + (at * 8 + 7) // 6]
+        if self.layer.start is None:
+            return first, last + 1
+        return self.layer.start[first], self.layer.end[last]
+
+
+def _base64_layers(run: Run, k: int, raw: bytes) -> tuple[list[Layer], bool]:
+    """The layers in the bytes of a run from its k-th letter on; whether one was cut."""
+    out, cut, unfolded, packed = [], False, None, raw
+    while (more := _unfold(packed)) is not None:
+        packed, unfolded, cut = more[0], more[0], cut or more[1]
+    if unfolded:
+        text = unfolded.decode("utf-8", "replace")
+        s, e = run.layer.source(int(run.places[k]), run.end)
+        n = len(text)
+        out.append(Layer(text, np.broadcast_to(np.int64(s), n), np.broadcast_to(np.int64(e), n)))
+    elif PLAIN.search(raw) or WIDE.search(raw):
+        out += _texts(raw, *run.spans(k, len(raw)))
+    return out, cut
 
 
 def _base64(layer: Layer) -> tuple[list[Layer], bool]:
-    """A layer for each base64 run that decodes to text. A run that does not as a whole is tried
-    between its signs, since a path or a name may stand before the encoded part."""
+    """A layer for each base64 run that decodes to text. A run that does not as a whole is also
+    tried between its signs, since a path or a name may stand before the encoded part."""
     out, cut = [], False
     for m in BASE64_RUN.finditer(layer.text):
-        found, was_cut = _decoded(layer, m.start(), m[0])
+        run = Run(layer, m.start(), m[0])
+        raw = run.decoded(0)
+        found, was_cut = _base64_layers(run, 0, raw)
         cut = cut or was_cut
-        if found is not None:
-            out.append(found)
+        out += found
+        if found and _is_text(raw):
             continue
         for part in BASE64_PART.finditer(m[0]):
             if part[0] != m[0]:
-                found, was_cut = _decoded(layer, m.start() + part.start(), part[0])
+                inner = Run(layer, m.start() + part.start(), part[0])
+                found, was_cut = _base64_layers(inner, 0, inner.decoded(0))
                 cut = cut or was_cut
-                if found is not None:
-                    out.append(found)
+                out += found
     return out, cut
 
 

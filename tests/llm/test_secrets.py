@@ -113,3 +113,25 @@ def test_nulls_empty_repeated_and_long_rows(spark):
     assert told[None] == "" and told[1] == "" and told[2] == f"assign:0:{len(SECRET)}"
     assert told[3] == f"assign:300000:{300000 + len(SECRET)}"
     assert secrets.secret_spans(docs.limit(0)).count() == 0
+
+
+def coded(raw):
+    return base64.b64encode(raw).decode().rstrip("=")
+
+
+def test_a_character_that_is_not_printable_loses_no_layer():
+    for other in (" ", "　", "﻿", "​", "­", "\0", "\x1b"):
+        run = coded(f"note{other}{SECRET}".encode())
+        (start, kind, end), = secrets.scan(f"x {run}")[1]
+        assert kind == 0 and 2 < start < end == 2 + len(run)
+    for raw in (b"note\xff" + SECRET.encode(), SECRET.encode() + b"\xe9 more", b"\xc3" + SECRET.encode()):
+        assert "assign" in spans(coded(raw))
+    for code in ("utf-16", "utf-16-le", "utf-16-be", "utf-32-le"):
+        run = coded(("note é " + SECRET).encode(code))
+        assert len(secrets.scan(run)[1]) == 1 and "assign" in spans(run)
+
+
+def test_a_percent_byte_that_is_no_utf8_stays_alone():
+    full = "".join(f"%{b:02X}" for b in SECRET.encode())
+    assert spans(f"%E9{full}%FF") == f"assign:3:{3 + len(full)}"
+    assert spans(f"%C3%A9%E9{full}") == f"assign:9:{9 + len(full)}"
