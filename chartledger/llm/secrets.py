@@ -38,8 +38,10 @@ UNICODE_RUN = re.compile(
     r"|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 UNICODE_ONE = re.compile(
     r"(?:\\u|%u)([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[0-9xXA-Fa-f]+;)")
-BASE64_RUN = re.compile(
-    r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Lines that are base64 letters only, with what stands before the first and after the last of them.
+BASE64_LINES = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)+={0,2}")
 BASE64_PART = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 
 # The shortest secret, token=abcdef, has twelve ASCII characters in a row, and what is encoded is
@@ -48,6 +50,8 @@ PLAIN = re.compile(rb"[\t\r\n\x20-\x7e]{12}")
 WIDE = re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00{1,3}){11}")
 LETTERS_ONLY = re.compile(r"[^A-Za-z0-9+/_-]")
 LETTER = np.array([chr(i) in "+/_-" or chr(i).isalnum() for i in range(128)])
+# How compressed streams begin; they are searched in all decoded bytes.
+PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 # A compressed layer may unfold to at most this many bytes; beyond, the layer is scanned as far as
@@ -228,37 +232,83 @@ class Run:
 
 def _base64_layers(run: Run, k: int, raw: bytes) -> tuple[list[Layer], bool]:
     """The layers in the bytes of a run from its k-th letter on; whether one was cut."""
-    out, cut, unfolded, packed = [], False, None, raw
-    while (more := _unfold(packed)) is not None:
-        packed, unfolded, cut = more[0], more[0], cut or more[1]
-    if unfolded:
-        text = unfolded.decode("utf-8", "replace")
-        s, e = run.layer.source(int(run.places[k]), run.end)
-        n = len(text)
-        out.append(Layer(text, np.broadcast_to(np.int64(s), n), np.broadcast_to(np.int64(e), n)))
-    elif PLAIN.search(raw) or WIDE.search(raw):
+    out, cut = [], False
+    for m in PACKED.finditer(raw):
+        packed, unfolded = raw[m.start():], None
+        while (more := _unfold(packed)) is not None:
+            packed, unfolded, cut = more[0], more[0], cut or more[1]
+        if unfolded:
+            text = unfolded.decode("utf-8", "replace")
+            s, e = run.layer.source(int(run.places[k + m.start() * 8 // 6]), run.end)
+            n = len(text)
+            out.append(
+                Layer(text, np.broadcast_to(np.int64(s), n), np.broadcast_to(np.int64(e), n)))
+    if PLAIN.search(raw) or WIDE.search(raw):
         out += _texts(raw, *run.spans(k, len(raw)))
     return out, cut
 
 
+def _lines(text: str) -> Iterator[tuple[int, str, str | None]]:
+    """Base64 letters over lines of any width: start, letters with the line ends, and the part of
+    them that has one width, if it is not all."""
+    if "\n" not in text:
+        return
+    for m in BASE64_LINES.finditer(text):
+        lines = m[0].split("\n")
+        width = [len(line.strip()) for line in lines]
+        if len(lines) == 2 and width[0] < 16 or sum(width) < 16:
+            continue
+        first = 0 if width[0] == width[1] else 1
+        last = first + 1
+        while last < len(lines) and width[last] == width[first]:
+            last += 1
+        last += last < len(lines) and width[last] < width[first]
+        whole = first == 0 and last == len(lines)
+        yield m.start(), m[0], None if whole else "\n".join(lines[first:last])
+
+
 def _base64(layer: Layer) -> tuple[list[Layer], bool]:
-    """A layer for each base64 run that decodes to text. A run that does not as a whole is also
-    tried between its signs, since a path or a name may stand before the encoded part."""
-    out, cut = [], False
-    for m in BASE64_RUN.finditer(layer.text):
-        run = Run(layer, m.start(), m[0])
+    """A layer for each base64 run that decodes to text.
+
+    A run that does not as a whole is read from each of its first four letters on, since a path, a
+    name or any other letters may stand before the encoded part: one of the four has the letters
+    of that part in their places, wherever it begins. Its parts between signs are tried as well,
+    for spans that do not reach beyond them. Lines of letters are joined, whatever their width.
+    """
+    out, cut, done = [], False, 0
+
+    def read(start: int, text: str, ways: int) -> bool:
+        """Adds the layers; tells whether the run is a text as a whole."""
+        nonlocal cut
+        run = Run(layer, start, text)
         raw = run.decoded(0)
-        found, was_cut = _base64_layers(run, 0, raw)
-        cut = cut or was_cut
-        out += found
-        if found and _is_text(raw):
+        whole = _is_text(raw)
+        if ways or whole:
+            for k in range(1 if whole else ways):
+                found, was_cut = _base64_layers(run, k, run.decoded(k))
+                out.extend(found)
+                cut = cut or was_cut
+        return whole
+
+    joined_lines = []
+    for start, text, same in _lines(layer.text):
+        if read(start, text, 0):
+            joined_lines.append((start, start + len(text)))
+            continue
+        if same is not None:
+            at = start + text.index(same)
+            if read(at, same, 0):
+                joined_lines.append((at, at + len(same)))
+        read(start, text, 4)
+    joined_lines.append((len(layer.text) + 1, 0))
+    for m in BASE64_RUN.finditer(layer.text):
+        while joined_lines[done][1] and joined_lines[done][1] <= m.start():
+            done += 1
+        if joined_lines[done][0] <= m.start() or read(m.start(), m[0], 4):
             continue
         for part in BASE64_PART.finditer(m[0]):
             if part[0] != m[0]:
-                inner = Run(layer, m.start() + part.start(), part[0])
-                found, was_cut = _base64_layers(inner, 0, inner.decoded(0))
-                cut = cut or was_cut
-                out += found
+                read(m.start() + part.start(), part[0], 0)
     return out, cut
 
 

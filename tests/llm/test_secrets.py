@@ -135,3 +135,20 @@ def test_a_percent_byte_that_is_no_utf8_stays_alone():
     full = "".join(f"%{b:02X}" for b in SECRET.encode())
     assert spans(f"%E9{full}%FF") == f"assign:3:{3 + len(full)}"
     assert spans(f"%C3%A9%E9{full}") == f"assign:9:{9 + len(full)}"
+
+
+def test_encoded_parts_are_found_behind_any_letters_and_over_lines_of_any_width():
+    text = "note über résumé – " * 3 + SECRET
+    for prefix in ("a/", "cfg/", "x+y/", "name-", "ab_cd_e"):
+        for packed in (text.encode(), gzip.compress(text.encode()), zlib.compress(text.encode())):
+            assert "assign" in spans(prefix + coded(packed)), (prefix, packed)
+    plain = "some words that stand before it, and more of them: " * 2 + SECRET + " and after it"
+    for packed in (plain.encode(), text.encode(), gzip.compress(plain.encode())):
+        run = coded(packed)
+        for width in (12, 20, 40, 64, 76, 80, 120):
+            for indent in ("", "  ", "\t"):
+                for end in ("\n", "\r\n"):
+                    folded = (end + indent).join(
+                        run[i:i + width] for i in range(0, len(run), width))
+                    assert "assign" in spans(f"key: {folded}"), (width, indent, end)
+                    assert "assign" in spans(f"data{end}{indent}{folded}{end}the end")
