@@ -7,14 +7,17 @@ it came from, so a secret found in any depth is reported where it stands in the
 """
 
 import base64
+import bz2
 import html
+import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b, sha256
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,14 +52,56 @@ BASE64_PART = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 PLAIN = re.compile(rb"[\t\r\n\x20-\x7e]{12}")
 WIDE = re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00{1,3}){11}")
 LETTERS_ONLY = re.compile(r"[^A-Za-z0-9+/_-]")
+SIGN = re.compile(r"[+/_-]")
 LETTER = np.array([chr(i) in "+/_-" or chr(i).isalnum() for i in range(128)])
 # How compressed streams begin; they are searched in all decoded bytes.
-PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+PACKED = re.compile(
+    rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x5d\x00\x00|\x28\xb5\x2f\xfd")
+HEAD_BYTES = 6
+# The same, and the bytes that follow, written as percent sequences or as escapes, each with the
+# plain letters between those.
+HEADS = (b"\x1f\x8b\x08", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\0", b"\x5d\0\0",
+         b"\x28\xb5\x2f\xfd")
+URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|[!-~]")
+ESCAPE_LETTERS = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
+ESCAPE_BYTE = re.compile(
+    r"(?:\\x|[\\%]u00|\\U000000)([0-9A-Fa-f]{2})|&#0*([0-9]{1,3});|&#[xX]0*([0-9A-Fa-f]{1,2});"
+    r"|\\([0-3][0-7]{2})|\\([abfnrtv0\\'\"/])|([\x00-\xff])")
+
+
+def _url_head(code: int) -> str:
+    digits = "".join(f"[{d}{d.upper()}]" for d in f"{code:02x}")
+    return f"(?:%{digits}|{re.escape(chr(code))})" if 0x21 <= code < 0x7F else f"%{digits}"
+
+
+def _escape_head(code: int) -> str:
+    digits = "".join(f"[{d}{d.upper()}]" for d in f"{code:02x}")
+    letter = "".join(rf"|\\{c}" for c, x in ESCAPE_LETTERS.items() if x == code)
+    return (rf"(?:{re.escape(chr(code))}|(?:\\x|[\\%]u00|\\U000000){digits}|&#0*{code};"
+            rf"|&#[xX]0*{digits.replace('[00]', '0?', 1)};|\\{code:03o}{letter})")
+
+
+URL_PACKED, ESCAPE_PACKED = (
+    re.compile("|".join("".join(map(one, head)) for head in HEADS))
+    for one in (_url_head, _escape_head))
+# What all of those begin with, which is found faster.
+URL_FIRST = re.compile(r"%(?:1[fF]|78|42|[fF][dD]|5[dD]|28)|x[%^]|B[Z%]|\]%|\(%")
+ESCAPE_FIRST = re.compile(
+    r"\\[xuU0-3]|%u|&#|x[\\%&^\x01\x9c\xda]|B[Z\\%&]|\x1f[\x8b\\%&]|\xfd[7\\%&]|\][\x00\\%&]"
+    r"|\([\xb5\\%&]")
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 # A compressed layer may unfold to at most this many bytes; beyond, the layer is scanned as far as
 # it was unfolded and the text is marked. Bounds the memory that a hostile text can take.
 UNFOLD_BYTES = 64_000_000
+# Compressed bytes are given to their tool in steps of this size.
+STEP_BYTES = 4096
+# Dictionaries of xz and lzma streams beyond this size are not unfolded; zstandard's own bound for
+# its windows is the same.
+LZMA_BYTES = 1 << 27
+SHORTEST = 12
+UNFOLD_ERRORS = (zlib.error, lzma.LZMAError, zstandard.ZstdError, OSError, EOFError, MemoryError)
+ZLIB = type(zlib.decompressobj())
 
 
 def own_spans(text: str) -> list[tuple[int, int, int]]:
@@ -159,20 +204,200 @@ def _unicode(layer: Layer) -> list[Layer]:
     return [layer.replaced(runs)] if runs else []
 
 
-def _unfold(raw: bytes) -> tuple[bytes, bool] | None:
-    """The content of a gzip or zlib stream, and whether it was cut at the bound."""
-    if raw[:2] == b"\x1f\x8b":
-        bits = 31
-    elif raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0:
-        bits = 15
+def _tool(head: bytes):
+    """What unfolds the compressed stream that begins so, if one does."""
+    if head[:3] == b"\x1f\x8b\x08":
+        return zlib.decompressobj(31)
+    if head[:1] == b"x" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=LZMA_BYTES)
+    if head[:3] == b"\x5d\0\0":
+        return lzma.LZMADecompressor(lzma.FORMAT_ALONE, memlimit=LZMA_BYTES)
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+def _fed(tool, step: bytes) -> Iterator[bytes]:
+    """What comes out for the next bytes, also where they are damaged: up to the damage."""
+    if hasattr(tool, "needs_input"):
+        for i in range(len(step)):
+            if tool.eof:
+                return
+            out = tool.decompress(step[i:i + 1], STEP_BYTES)
+            yield out
+            while not tool.eof and not tool.needs_input:
+                yield tool.decompress(b"", STEP_BYTES)
+    elif isinstance(tool, ZLIB):
+        spare = tool.copy()
+        try:
+            out = tool.decompress(step)
+        except zlib.error:
+            for i in range(len(step)):
+                yield spare.decompress(step[i:i + 1])
+        else:
+            yield out
     else:
-        return None
-    tool = zlib.decompressobj(bits)
-    try:
-        out = tool.decompress(raw, UNFOLD_BYTES)
-    except zlib.error:
-        return None
-    return out, not tool.eof and bool(tool.unconsumed_tail)
+        for i in range(len(step)):
+            if tool.eof:
+                return
+            yield tool.decompress(step[i:i + 1])
+
+
+class Members:
+    """The content of compressed members that follow each other, in pieces of bounded size, up to
+    the first bytes that begin none or are damaged. ``bare``: the first is deflate without header.
+    """
+
+    def __init__(self, chunks: Iterable[bytes], bare: bool = False):
+        self.chunks, self.bare = iter(chunks), bare
+        self.used, self.whole, self.damaged = 0, False, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        data, bare = b"", self.bare
+        while True:
+            while len(data) < HEAD_BYTES and (more := next(self.chunks, None)) is not None:
+                data += more
+            tool = zlib.decompressobj(-15) if bare else _tool(data)
+            if tool is None:
+                return
+            bare, begun = False, self.used
+            while not tool.eof:
+                if not data:
+                    data = next(self.chunks, b"")
+                    if not data:
+                        return
+                # Of the tools that take single bytes, no more is given than is used.
+                size = STEP_BYTES if isinstance(tool, ZLIB) else 1
+                step, data = data[:size], data[size:]
+                try:
+                    yield from _fed(tool, step)
+                except UNFOLD_ERRORS:
+                    self.damaged = True
+                    return
+                self.used += len(step)
+            self.used -= len(tool.unused_data)
+            data = tool.unused_data + data
+            self.whole = True
+            if self.used == begun:
+                return
+
+
+def _chunks(raw: bytes, at: int) -> Iterator[bytes]:
+    for i in range(at, len(raw), STEP_BYTES):
+        yield raw[i:i + STEP_BYTES]
+
+
+def _held(pieces: Iterable[bytes]) -> tuple[bytes, bool]:
+    """The pieces as one, at most so many bytes of them as the bound says; whether there are more."""
+    out, size = [], 0
+    for piece in pieces:
+        out.append(piece)
+        size += len(piece)
+        if size > UNFOLD_BYTES:
+            return b"".join(out)[:UNFOLD_BYTES], True
+    return b"".join(out), False
+
+
+class Content:
+    """Bytes that all stand at one place of the original: those of a compressed stream."""
+
+    def __init__(self, raw: bytes, start: int, end: int):
+        self.raw, self.start, self.end = raw, start, end
+
+    def layers(self) -> tuple[list, bool]:
+        n = len(self.raw)
+        out = list(_texts(self.raw, np.broadcast_to(np.int64(self.start), n),
+                          np.broadcast_to(np.int64(self.end), n)))
+        more, cut = _packed(self.raw, lambda a, b: (self.start, self.end))
+        return out + more, cut
+
+
+def _packed(raw: bytes, place: Callable[[int, int], tuple[int, int]],
+            bare: Iterable[int] = ()) -> tuple[list[Content], bool]:
+    """The contents of the compressed streams in the bytes, wherever they begin, and of deflate
+    without a header at the given places; whether one was cut. ``place`` gives the original span
+    of the bytes a to b."""
+    out, cut, at = [], False, 0
+
+    def add(first: int, members: Members) -> None:
+        nonlocal cut
+        content, was_cut = _held(members)
+        cut = cut or was_cut
+        if len(content) >= SHORTEST:
+            last = first + members.used if members.whole and not members.damaged else len(raw)
+            out.append(Content(content, *place(first, last)))
+
+    while m := PACKED.search(raw, at):
+        members = Members(_chunks(raw, m.start()))
+        add(m.start(), members)
+        at = m.start() + (members.used if members.whole else 1)
+    if not out:
+        for first in bare:
+            add(first, Members(_chunks(raw, first), bare=True))
+    return out, cut
+
+
+def _url_code(one: re.Match) -> int:
+    return int(one[1], 16) if one[1] else ord(one[0])
+
+
+def _form_code(one: re.Match) -> int:
+    return 0x20 if one[0] == "+" else _url_code(one)
+
+
+def _escape_code(one: re.Match) -> int:
+    if one[1] or one[3]:
+        return int(one[1] or one[3], 16)
+    if one[2]:
+        return int(one[2]) & 255
+    if one[4]:
+        return int(one[4], 8)
+    return ESCAPE_LETTERS.get(one[5], ord(one[5])) if one[5] else ord(one[6])
+
+
+def _written(text: str, at: int, byte: re.Pattern, code: Callable[[re.Match], int],
+             ends: list[int]) -> Iterator[bytes]:
+    """The bytes that the text writes from a place on, and where each of them ends."""
+    raw, size = bytearray(), 64
+    for one in byte.finditer(text, at):
+        if one.start() != at:
+            break
+        at = one.end()
+        raw.append(code(one))
+        ends.append(at)
+        if len(raw) == size:
+            yield bytes(raw)
+            raw, size = bytearray(), STEP_BYTES
+    yield bytes(raw)
+
+
+def _written_bytes(layer: Layer) -> tuple[list[Content], bool]:
+    """The contents of compressed bytes that the layer writes as percent sequences or escapes."""
+    out, cut, text = [], False, layer.text
+    for mark, begin, head, byte, code in (
+            ("%", URL_FIRST, URL_PACKED, URL_BYTE, _url_code),
+            ("+", URL_FIRST, URL_PACKED, URL_BYTE, _form_code),
+            ("", ESCAPE_FIRST, ESCAPE_PACKED, ESCAPE_BYTE, _escape_code)):
+        if mark not in text or mark and "%" not in text:
+            continue
+        done = 0
+        for m in begin.finditer(text):
+            if m.start() < done or not head.match(text, m.start()):
+                continue
+            ends = []
+            members = Members(_written(text, m.start(), byte, code, ends))
+            content, was_cut = _held(members)
+            cut = cut or was_cut
+            if len(content) >= SHORTEST:
+                known = members.whole and not members.damaged
+                last = ends[members.used - 1 if known else -1]
+                out.append(Content(content, *layer.source(m.start(), last)))
+                done = last if known else done
+    return out, cut
 
 
 def _texts(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[Layer]:
@@ -213,7 +438,9 @@ class Run:
         self.layer = layer
         self.places = start + np.flatnonzero(LETTER[codes])
         self.end = start + len(run)
-        self.letters = LETTERS_ONLY.sub("", run).replace("-", "+").replace("_", "/")
+        self.letters = LETTERS_ONLY.sub("", run)
+        self.behind = [m.end() for m in SIGN.finditer(self.letters)]
+        self.letters = self.letters.replace("-", "+").replace("_", "/")
 
     def decoded(self, k: int) -> bytes:
         """The bytes of the letters from the k-th on."""
@@ -230,19 +457,15 @@ class Run:
         return self.layer.start[first], self.layer.end[last]
 
 
-def _base64_layers(run: Run, k: int, raw: bytes) -> tuple[list[Layer], bool]:
+def _base64_layers(run: Run, k: int, raw: bytes) -> tuple[list, bool]:
     """The layers in the bytes of a run from its k-th letter on; whether one was cut."""
-    out, cut = [], False
-    for m in PACKED.finditer(raw):
-        packed, unfolded = raw[m.start():], None
-        while (more := _unfold(packed)) is not None:
-            packed, unfolded, cut = more[0], more[0], cut or more[1]
-        if unfolded:
-            text = unfolded.decode("utf-8", "replace")
-            s, e = run.layer.source(int(run.places[k + m.start() * 8 // 6]), run.end)
-            n = len(text)
-            out.append(
-                Layer(text, np.broadcast_to(np.int64(s), n), np.broadcast_to(np.int64(e), n)))
+    def place(a: int, b: int) -> tuple[int, int]:
+        last = run.end if b == len(raw) else int(run.places[k + (b * 8 - 1) // 6]) + 1
+        return run.layer.source(int(run.places[k + a * 8 // 6]), last)
+
+    # Deflate without a header may begin at the first letter, or behind a sign.
+    bare = [(i - k) * 3 // 4 for i in [0, *run.behind] if i >= k and (i - k) % 4 == 0]
+    out, cut = _packed(raw, place, [i for i in bare if i < len(raw)])
     if PLAIN.search(raw) or WIDE.search(raw):
         out += _texts(raw, *run.spans(k, len(raw)))
     return out, cut
@@ -320,24 +543,37 @@ def scan(text: str) -> tuple[list, list, int, bool]:
     base = own_spans(text)
     spans, seen, layers, cut = set(base), set(), 0, False
     work = [Layer(text)]
+
+    def add(content: bytes, place: tuple[int, int], child: Layer | Content) -> None:
+        # A content that was already seen at the same place is a cycle or a second way there.
+        mark = blake2b(content, digest_size=16)
+        mark.update(repr((type(child).__name__, place)).encode())
+        if mark.digest() not in seen:
+            seen.add(mark.digest())
+            work.append(child)
+
     while work:
         layer = work.pop()
-        layers += 1
-        if layer.start is not None:
-            for a, kind, b in own_spans(layer.text):
-                start, end = layer.source(a, b)
-                spans.add((start, kind, end))
-        inner, was_cut = _base64(layer)
+        if isinstance(layer, Content):
+            children, was_cut = layer.layers()
+        else:
+            layers += 1
+            if layer.start is not None:
+                for a, kind, b in own_spans(layer.text):
+                    start, end = layer.source(a, b)
+                    spans.add((start, kind, end))
+            inner, was_cut = _base64(layer)
+            written, written_cut = _written_bytes(layer)
+            was_cut = was_cut or written_cut
+            children = [c for c in [*_url(layer), *_unicode(layer), *inner, *written]
+                        if isinstance(c, Content) or c.text and c.text != layer.text]
         cut = cut or was_cut
-        for child in [*_url(layer), *_unicode(layer), *inner]:
-            if not child.text or child.text == layer.text:
-                continue
-            # A content that was already seen at the same place is a cycle or a second way there.
-            mark = blake2b(child.text.encode("utf-8", "surrogatepass"), digest_size=16)
-            mark.update(repr(child.source(0, len(child.text))).encode())
-            if mark.digest() not in seen:
-                seen.add(mark.digest())
-                work.append(child)
+        for child in children:
+            if isinstance(child, Content):
+                add(child.raw, (child.start, child.end), child)
+            else:
+                add(child.text.encode("utf-8", "surrogatepass"),
+                    child.source(0, len(child.text)), child)
     return sorted(base), sorted(spans), layers, cut
 
 

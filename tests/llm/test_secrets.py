@@ -152,3 +152,32 @@ def test_encoded_parts_are_found_behind_any_letters_and_over_lines_of_any_width(
                         run[i:i + width] for i in range(0, len(run), width))
                     assert "assign" in spans(f"key: {folded}"), (width, indent, end)
                     assert "assign" in spans(f"data{end}{indent}{folded}{end}the end")
+
+
+def test_all_members_formats_and_damaged_streams_are_unfolded():
+    import bz2
+    import lzma
+    from urllib.parse import quote, quote_plus
+
+    import zstandard
+
+    noise = " ".join(hashlib.sha256(bytes([i])).hexdigest()[:20] for i in range(90))
+    one, two = noise.encode(), SECRET.encode()
+    bare = zlib.compressobj(9, zlib.DEFLATED, -15)
+    packs = [gzip.compress(one) + gzip.compress(two), zlib.compress(one) + zlib.compress(two),
+             gzip.compress(one) + bz2.compress(two), bz2.compress(two), lzma.compress(two),
+             lzma.compress(two, lzma.FORMAT_ALONE), zstandard.compress(two),
+             zstandard.compress(one) + zstandard.compress(two),
+             bare.compress(two * 3) + bare.flush(), gzip.compress(gzip.compress(two)),
+             bz2.compress(lzma.compress(two))]
+    for pack in packs:
+        assert "assign" in spans(coded(pack)), pack
+    whole = gzip.compress(two + b" " + one)
+    for damaged in (whole[:-8] + bytes(8), whole[:len(whole) // 2],
+                    whole[:600] + b"\xff" * 40 + whole[640:]):
+        assert "assign" in spans(coded(damaged))
+    for pack in packs[:8]:
+        for text in ("".join(f"%{b:02x}" for b in pack), quote(pack), quote_plus(pack),
+                     "".join(f"\\x{b:02x}" for b in pack), repr(pack),
+                     "".join(f"\\u{b:04x}" for b in pack), "".join(f"&#{b};" for b in pack)):
+            assert "assign" in spans(f"data: {text} end"), text
