@@ -62,11 +62,17 @@ HEAD_BYTES = 6
 # plain letters between those.
 HEADS = (b"\x1f\x8b\x08", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\0", b"\x5d\0\0",
          b"\x28\xb5\x2f\xfd")
+URL_SEQUENCE = re.compile(rb"%([0-9A-Fa-f]{2})")
+FORM_SEQUENCE = re.compile(rb"%([0-9A-Fa-f]{2})|\+")
+UNICODE_SEQUENCE = re.compile(UNICODE_ONE.pattern.encode())
 URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|[!-~]")
 ESCAPE_LETTERS = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
 ESCAPE_BYTE = re.compile(
     r"(?:\\x|[\\%]u00|\\U000000)([0-9A-Fa-f]{2})|&#0*([0-9]{1,3});|&#[xX]0*([0-9A-Fa-f]{1,2});"
     r"|\\([0-3][0-7]{2})|\\([abfnrtv0\\'\"/])|([\x00-\xff])")
+ESCAPE_SEQUENCE = re.compile(ESCAPE_BYTE.pattern.rpartition("|")[0].encode())
+NO_LETTERS = bytes(i for i in range(256) if not (chr(i) in "+/_-" or chr(i).isalnum() and i < 128))
+TO_SIGNS = bytes.maketrans(b"-_", b"+/")
 
 
 def _url_head(code: int) -> str:
@@ -91,15 +97,25 @@ ESCAPE_FIRST = re.compile(
     r"|\([\xb5\\%&]")
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
-# A compressed layer may unfold to at most this many bytes; beyond, the layer is scanned as far as
-# it was unfolded and the text is marked. Bounds the memory that a hostile text can take.
+# Contents up to this size are held in memory. Longer ones are read in pieces, as often as it takes.
+HELD_BYTES = 4_000_000
+# A text with a content beyond this size is marked.
 UNFOLD_BYTES = 64_000_000
+# So far a compressed stream inside a long content is followed before it is read on its own.
+LOOK_BYTES = 1 << 16
+# Matches end within so many characters once repeated spaces are one; so do open escapes.
+TAIL = 64
+SPACES = re.compile(r"\x20{2,}")
+# Behind these no base64 letters, nor lines of them, go on.
+BORDER = r"(?:[^A-Za-z0-9+/_=\s-]|[A-Za-z0-9+/_=-][\x20\t](?=\S))"
+FIRST_BORDER, LAST_BORDER = re.compile(BORDER), re.compile(f".*{BORDER}", re.DOTALL)
 # Compressed bytes are given to their tool in steps of this size.
 STEP_BYTES = 4096
 # Dictionaries of xz and lzma streams beyond this size are not unfolded; zstandard's own bound for
 # its windows is the same.
 LZMA_BYTES = 1 << 27
 SHORTEST = 12
+READABLE = b"\t\r\n" + bytes(range(0x20, 0x7F)) + bytes(range(0xA0, 0xF5))
 UNFOLD_ERRORS = (zlib.error, lzma.LZMAError, zstandard.ZstdError, OSError, EOFError, MemoryError)
 ZLIB = type(zlib.decompressobj())
 
@@ -254,7 +270,7 @@ class Members:
 
     def __init__(self, chunks: Iterable[bytes], bare: bool = False):
         self.chunks, self.bare = iter(chunks), bare
-        self.used, self.whole, self.damaged = 0, False, False
+        self.used, self.whole, self.damaged, self.starved = 0, False, False, False
 
     def __iter__(self) -> Iterator[bytes]:
         data, bare = b"", self.bare
@@ -263,12 +279,14 @@ class Members:
                 data += more
             tool = zlib.decompressobj(-15) if bare else _tool(data)
             if tool is None:
+                self.starved = len(data) < HEAD_BYTES
                 return
             bare, begun = False, self.used
             while not tool.eof:
                 if not data:
                     data = next(self.chunks, b"")
                     if not data:
+                        self.starved = True
                         return
                 # Of the tools that take single bytes, no more is given than is used.
                 size = STEP_BYTES if isinstance(tool, ZLIB) else 1
@@ -291,15 +309,28 @@ def _chunks(raw: bytes, at: int) -> Iterator[bytes]:
         yield raw[i:i + STEP_BYTES]
 
 
-def _held(pieces: Iterable[bytes]) -> tuple[bytes, bool]:
-    """The pieces as one, at most so many bytes of them as the bound says; whether there are more."""
+def _held(pieces: Iterable[bytes]) -> bytes | None:
+    """The pieces as one; None if they are too long for memory."""
     out, size = [], 0
     for piece in pieces:
         out.append(piece)
         size += len(piece)
-        if size > UNFOLD_BYTES:
-            return b"".join(out)[:UNFOLD_BYTES], True
-    return b"".join(out), False
+        if size > HELD_BYTES:
+            return None
+    return b"".join(out)
+
+
+def _credible(content: bytes, members: Members, head: bytes, first: bool, size: int) -> bool:
+    """Whether the content comes from a compressed stream and not from bytes that begin as one by
+    chance: two bytes of a zlib header, or deflate without any, are no proof. A stream that ends
+    with its checksum is one, and so is what begins the bytes, or uses them up, or gives a text."""
+    if len(content) < SHORTEST:
+        return False
+    if head and (len(head) > 2 and head != b"\x5d\0\0" or members.whole or first):
+        return True
+    if not head and members.whole and not members.damaged and members.used == size:
+        return True
+    return len(set(content)) >= 10 and 20 * len(content.translate(None, READABLE)) < len(content)
 
 
 class Content:
@@ -308,37 +339,207 @@ class Content:
     def __init__(self, raw: bytes, start: int, end: int):
         self.raw, self.start, self.end = raw, start, end
 
-    def layers(self) -> tuple[list, bool]:
+    def layers(self) -> list:
         n = len(self.raw)
         out = list(_texts(self.raw, np.broadcast_to(np.int64(self.start), n),
                           np.broadcast_to(np.int64(self.end), n)))
-        more, cut = _packed(self.raw, lambda a, b: (self.start, self.end))
-        return out + more, cut
+        return out + _packed(self.raw, lambda a, b: (self.start, self.end))
+
+
+def _grouped(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The same bytes in pieces of about 1 MB."""
+    out, size = [], 0
+    for piece in pieces:
+        out.append(piece)
+        size += len(piece)
+        if size >= 1 << 20:
+            yield b"".join(out)
+            out, size = [], 0
+    yield b"".join(out)
+
+
+def _behind(pieces: Iterable[bytes], first: int, last: int | None = None) -> Iterator[bytes]:
+    """The bytes from the first to before the last."""
+    at = 0
+    for piece in pieces:
+        if last is not None and at >= last:
+            return
+        if at + len(piece) > first:
+            yield piece[max(0, first - at):None if last is None else last - at]
+        at += len(piece)
+
+
+def _letters_decoded(pieces: Iterable[bytes], k: int) -> Iterator[bytes]:
+    """The bytes of the base64 letters from the k-th on."""
+    rest, skip = b"", k
+    for piece in pieces:
+        letters = piece.translate(TO_SIGNS, NO_LETTERS)
+        skipped = min(skip, len(letters))
+        skip -= skipped
+        rest += letters[skipped:]
+        n = len(rest) - len(rest) % 4
+        yield base64.b64decode(rest[:n])
+        rest = rest[n:]
+    if len(rest) > 1:
+        yield base64.b64decode(rest + b"=" * (-len(rest) % 4))
+
+
+def _substituted(pieces: Iterable[bytes], one: re.Pattern,
+                 code: Callable[[re.Match], bytes]) -> Iterator[bytes]:
+    """The bytes with sequences decoded; one that is open at the end of a piece waits."""
+    rest = b""
+    for piece in pieces:
+        rest += piece
+        at = max(rest.rfind(mark, -12) for mark in (b"%", b"&", b"\\"))
+        at = len(rest) if at < 0 else at
+        # A backslash that may be escaped waits with the one before it.
+        at -= (at - len(rest[:at].rstrip(b"\\"))) % 2 if rest[at:at + 1] == b"\\" else 0
+        yield one.sub(code, rest[:at])
+        rest = rest[at:]
+    yield one.sub(code, rest)
+
+
+def _url_byte(one: re.Match) -> bytes:
+    return b" " if one[0] == b"+" else bytes([int(one[1], 16)])
+
+
+def _unicode_byte(one: re.Match) -> bytes:
+    if one[4]:
+        digits = one[4][2:-1]
+        code = int(digits[1:], 16) if digits[:1] in b"xX" else int(digits)
+    else:
+        code = int(one[1] or one[2] or one[3], 16)
+    return bytes([code]) if code < 256 else b"?"
+
+
+def _escape_byte(one: re.Match) -> bytes:
+    return bytes([_escape_code(ESCAPE_BYTE.match(one[0].decode("latin-1")))])
+
+
+class Stream:
+    """A content too long for memory, all at one place of the original. ``again`` makes its pieces
+    anew for each pass. ``form``: only its compressed parts are looked for.
+
+    Since every secret in it has the same span, only the kinds are told. Its letters stand for
+    themselves, bytes beyond ASCII for characters that no secret has.
+    """
+
+    def __init__(self, again: Callable[[], Iterable[bytes]], start: int, end: int,
+                 form: bool = False):
+        self.again, self.start, self.end, self.form = again, start, end, form
+
+    def made(self, how: Callable[[Iterable[bytes]], Iterable[bytes]], form: bool = False):
+        again = self.again
+        return Stream(lambda: how(again()), self.start, self.end, form)
+
+    def read(self, inside: Callable[[list], None]) -> tuple[set[int], list["Stream"], int, bytes]:
+        """The kinds of its own secrets, the streams in it, its length and digest. What fits in
+        memory is given to ``inside`` at once."""
+        kinds, streams, size, mark = set(), [], 0, blake2b(digest_size=16)
+        tail, near, url, form, escape, wide = "", b"", False, False, False, False
+        window, window_at, hold, hold_at, long_from = b"", 0, "", 0, None
+
+        def packed(last: bool) -> int:
+            """Follows the compressed streams in the window; gives the first place not searched."""
+            at, stop = 0, len(window) - (0 if last else LOOK_BYTES)
+            while (m := PACKED.search(window, at)) and m.start() < stop:
+                first = m.start()
+                members = Members(_chunks(window, first))
+                content = _held(members)
+                at = first + (members.used if members.whole else 1)
+                if content is None or members.starved and not last:
+                    streams.append(self.made(
+                        lambda pieces, n=window_at + first: Members(_behind(pieces, n))))
+                elif _credible(content, members, m[0], window_at + first == 0, 0):
+                    inside([Content(content, self.start, self.end)])
+            return max(at, stop, 0)
+
+        def runs(text: str) -> None:
+            n = len(text)
+            inside(_base64(Layer(text, np.broadcast_to(np.int64(self.start), n),
+                                 np.broadcast_to(np.int64(self.end), n))))
+
+        def long_run(last: int) -> None:
+            for k in range(4):
+                streams.append(self.made(lambda pieces, a=long_from, k=k: _letters_decoded(
+                    _behind(pieces, a, last), k)))
+
+        for piece in _grouped(self.again()):
+            size += len(piece)
+            mark.update(piece)
+            window += piece
+            if len(window) > 2 * LOOK_BYTES:
+                done = packed(last=False)
+                window, window_at = window[done:], window_at + done
+            if self.form:
+                continue
+            text = piece.decode("latin-1")
+            told = SPACES.sub(" ", tail + text)
+            kinds.update(kind for _, kind, _ in own_spans(told))
+            tail, edge = told[-TAIL:], near + piece
+            url = url or b"%" in edge and bool(URL_SEQUENCE.search(edge))
+            form = form or b"+" in piece
+            escape = escape or any(mark in edge for mark in (b"\\", b"%u", b"&#")) and bool(
+                UNICODE_SEQUENCE.search(edge))
+            wide = wide or b"\0" in edge and bool(WIDE.search(edge))
+            near = edge[-TAIL:]
+            hold += text
+            if long_from is not None:
+                if border := FIRST_BORDER.search(hold):
+                    long_run(hold_at + border.end())
+                    hold, hold_at, long_from = hold[border.end():], hold_at + border.end(), None
+                else:
+                    hold, hold_at = hold[-2:], hold_at + len(hold[:-2])
+            if long_from is None and len(hold) > HELD_BYTES:
+                if border := LAST_BORDER.match(hold):
+                    runs(hold[:border.end()])
+                    hold, hold_at = hold[border.end():], hold_at + border.end()
+                if len(hold) > HELD_BYTES:
+                    long_from = hold_at
+                    hold, hold_at = hold[-2:], hold_at + len(hold[:-2])
+        packed(last=True)
+        if long_from is not None:
+            long_run(size)
+        else:
+            runs(hold)
+        if url:
+            streams.append(self.made(lambda p: _substituted(p, URL_SEQUENCE, _url_byte)))
+            if form:
+                streams.append(self.made(lambda p: _substituted(p, FORM_SEQUENCE, _url_byte), True))
+        if escape:
+            streams.append(self.made(lambda p: _substituted(p, UNICODE_SEQUENCE, _unicode_byte)))
+            streams.append(
+                self.made(lambda p: _substituted(p, ESCAPE_SEQUENCE, _escape_byte), True))
+        if wide:
+            streams.append(self.made(lambda p: (x.replace(b"\0", b"") for x in p)))
+        return kinds, streams, size, mark.digest()
 
 
 def _packed(raw: bytes, place: Callable[[int, int], tuple[int, int]],
-            bare: Iterable[int] = ()) -> tuple[list[Content], bool]:
+            bare: Iterable[int] = ()) -> list[Content | Stream]:
     """The contents of the compressed streams in the bytes, wherever they begin, and of deflate
-    without a header at the given places; whether one was cut. ``place`` gives the original span
-    of the bytes a to b."""
-    out, cut, at = [], False, 0
-
-    def add(first: int, members: Members) -> None:
-        nonlocal cut
-        content, was_cut = _held(members)
-        cut = cut or was_cut
-        if len(content) >= SHORTEST:
+    without a header at the given places. ``place`` gives the original span of the bytes a to b."""
+    out, at = [], 0
+
+    def add(first: int, head: bytes) -> Members:
+        def again() -> Members:
+            return Members(_chunks(raw, first), not head)
+        members = again()
+        content = _held(members)
+        if content is None:
+            out.append(Stream(again, *place(first, len(raw))))
+        elif _credible(content, members, head, first == 0, len(raw) - first):
             last = first + members.used if members.whole and not members.damaged else len(raw)
             out.append(Content(content, *place(first, last)))
+        return members
 
     while m := PACKED.search(raw, at):
-        members = Members(_chunks(raw, m.start()))
-        add(m.start(), members)
+        members = add(m.start(), m[0])
         at = m.start() + (members.used if members.whole else 1)
     if not out:
         for first in bare:
-            add(first, Members(_chunks(raw, first), bare=True))
-    return out, cut
+            add(first, b"")
+    return out
 
 
 def _url_code(one: re.Match) -> int:
@@ -375,9 +576,9 @@ def _written(text: str, at: int, byte: re.Pattern, code: Callable[[re.Match], in
     yield bytes(raw)
 
 
-def _written_bytes(layer: Layer) -> tuple[list[Content], bool]:
+def _written_bytes(layer: Layer) -> list[Content | Stream]:
     """The contents of compressed bytes that the layer writes as percent sequences or escapes."""
-    out, cut, text = [], False, layer.text
+    out, text = [], layer.text
     for mark, begin, head, byte, code in (
             ("%", URL_FIRST, URL_PACKED, URL_BYTE, _url_code),
             ("+", URL_FIRST, URL_PACKED, URL_BYTE, _form_code),
@@ -388,16 +589,24 @@ def _written_bytes(layer: Layer) -> tuple[list[Content], bool]:
         for m in begin.finditer(text):
             if m.start() < done or not head.match(text, m.start()):
                 continue
-            ends = []
-            members = Members(_written(text, m.start(), byte, code, ends))
-            content, was_cut = _held(members)
-            cut = cut or was_cut
-            if len(content) >= SHORTEST:
+            ends, first = [], m.start()
+            begun = PACKED.match(next(_written(text, first, byte, code, [])))
+            if not begun:
+                continue
+            members = Members(_written(text, first, byte, code, ends))
+            content = _held(members)
+            if content is None:
+                def again(first=first, byte=byte, code=code) -> Members:
+                    return Members(_written(text, first, byte, code, []))
+                for _ in _written(text, first, byte, code, ends := []):
+                    pass
+                out.append(Stream(again, *layer.source(first, ends[-1])))
+            elif _credible(content, members, begun[0], False, 0):
                 known = members.whole and not members.damaged
                 last = ends[members.used - 1 if known else -1]
-                out.append(Content(content, *layer.source(m.start(), last)))
+                out.append(Content(content, *layer.source(first, last)))
                 done = last if known else done
-    return out, cut
+    return out
 
 
 def _texts(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[Layer]:
@@ -457,18 +666,18 @@ class Run:
         return self.layer.start[first], self.layer.end[last]
 
 
-def _base64_layers(run: Run, k: int, raw: bytes) -> tuple[list, bool]:
-    """The layers in the bytes of a run from its k-th letter on; whether one was cut."""
+def _base64_layers(run: Run, k: int, raw: bytes) -> list:
+    """The layers in the bytes of a run from its k-th letter on."""
     def place(a: int, b: int) -> tuple[int, int]:
         last = run.end if b == len(raw) else int(run.places[k + (b * 8 - 1) // 6]) + 1
         return run.layer.source(int(run.places[k + a * 8 // 6]), last)
 
     # Deflate without a header may begin at the first letter, or behind a sign.
     bare = [(i - k) * 3 // 4 for i in [0, *run.behind] if i >= k and (i - k) % 4 == 0]
-    out, cut = _packed(raw, place, [i for i in bare if i < len(raw)])
+    out = _packed(raw, place, [i for i in bare if i < len(raw)])
     if PLAIN.search(raw) or WIDE.search(raw):
         out += _texts(raw, *run.spans(k, len(raw)))
-    return out, cut
+    return out
 
 
 def _lines(text: str) -> Iterator[tuple[int, str, str | None]]:
@@ -490,7 +699,7 @@ def _lines(text: str) -> Iterator[tuple[int, str, str | None]]:
         yield m.start(), m[0], None if whole else "\n".join(lines[first:last])
 
 
-def _base64(layer: Layer) -> tuple[list[Layer], bool]:
+def _base64(layer: Layer) -> list:
     """A layer for each base64 run that decodes to text.
 
     A run that does not as a whole is read from each of its first four letters on, since a path, a
@@ -498,19 +707,16 @@ def _base64(layer: Layer) -> tuple[list[Layer], bool]:
     of that part in their places, wherever it begins. Its parts between signs are tried as well,
     for spans that do not reach beyond them. Lines of letters are joined, whatever their width.
     """
-    out, cut, done = [], False, 0
+    out, done = [], 0
 
     def read(start: int, text: str, ways: int) -> bool:
         """Adds the layers; tells whether the run is a text as a whole."""
-        nonlocal cut
         run = Run(layer, start, text)
         raw = run.decoded(0)
         whole = _is_text(raw)
         if ways or whole:
             for k in range(1 if whole else ways):
-                found, was_cut = _base64_layers(run, k, run.decoded(k))
-                out.extend(found)
-                cut = cut or was_cut
+                out.extend(_base64_layers(run, k, run.decoded(k)))
         return whole
 
     joined_lines = []
@@ -532,48 +738,62 @@ def _base64(layer: Layer) -> tuple[list[Layer], bool]:
         for part in BASE64_PART.finditer(m[0]):
             if part[0] != m[0]:
                 read(m.start() + part.start(), part[0], 0)
-    return out, cut
+    return out
 
 
 def scan(text: str) -> tuple[list, list, int, bool]:
-    """Own spans of the text, spans of all layers, number of layers, whether one was cut short.
+    """Own spans of the text, spans of all layers, number of layers, whether one was so long that
+    it was cut in pieces, which are all read.
 
     Spans are (start, kind number, end) in the original, sorted.
     """
     base = own_spans(text)
-    spans, seen, layers, cut = set(base), set(), 0, False
-    work = [Layer(text)]
-
-    def add(content: bytes, place: tuple[int, int], child: Layer | Content) -> None:
-        # A content that was already seen at the same place is a cycle or a second way there.
-        mark = blake2b(content, digest_size=16)
-        mark.update(repr((type(child).__name__, place)).encode())
-        if mark.digest() not in seen:
-            seen.add(mark.digest())
-            work.append(child)
-
-    while work:
-        layer = work.pop()
-        if isinstance(layer, Content):
-            children, was_cut = layer.layers()
-        else:
-            layers += 1
-            if layer.start is not None:
-                for a, kind, b in own_spans(layer.text):
-                    start, end = layer.source(a, b)
-                    spans.add((start, kind, end))
-            inner, was_cut = _base64(layer)
-            written, written_cut = _written_bytes(layer)
-            was_cut = was_cut or written_cut
-            children = [c for c in [*_url(layer), *_unicode(layer), *inner, *written]
-                        if isinstance(c, Content) or c.text and c.text != layer.text]
-        cut = cut or was_cut
-        for child in children:
-            if isinstance(child, Content):
-                add(child.raw, (child.start, child.end), child)
+    spans, streams_seen, layers, cut = set(base), set(), 0, False
+
+    def drain(work: list) -> None:
+        nonlocal layers, cut
+        seen = set()
+        while work:
+            layer = work.pop()
+            if isinstance(layer, Stream):
+                layers += 1
+                kinds, children, size, mark = layer.read(drain)
+                cut = cut or size > UNFOLD_BYTES
+                spans.update((layer.start, kind, layer.end) for kind in kinds)
+                mark = (mark, layer.start, layer.end, layer.form)
+                if mark not in streams_seen:
+                    streams_seen.add(mark)
+                    work += children
+                continue
+            if isinstance(layer, Content):
+                children = layer.layers()
             else:
-                add(child.text.encode("utf-8", "surrogatepass"),
-                    child.source(0, len(child.text)), child)
+                layers += 1
+                if layer.start is not None:
+                    for a, kind, b in own_spans(layer.text):
+                        start, end = layer.source(a, b)
+                        spans.add((start, kind, end))
+                children = [*_url(layer), *_unicode(layer), *_base64(layer),
+                            *_written_bytes(layer)]
+            for child in children:
+                if isinstance(child, Layer):
+                    if not child.text or child.text == getattr(layer, "text", None):
+                        continue
+                    content = child.text.encode("utf-8", "surrogatepass")
+                    place = child.source(0, len(child.text))
+                elif isinstance(child, Content):
+                    content, place = child.raw, (child.start, child.end)
+                else:
+                    work.append(child)
+                    continue
+                # A content that was already seen at the same place is a cycle or a second way there.
+                mark = blake2b(content, digest_size=16)
+                mark.update(repr((type(child).__name__, place)).encode())
+                if mark.digest() not in seen:
+                    seen.add(mark.digest())
+                    work.append(child)
+
+    drain([Layer(text)])
     return sorted(base), sorted(spans), layers, cut
 
 
@@ -605,8 +825,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no spans. Null ids and repeated rows are passed through, each row on
     its own. Spans of all depths are one set: of the same kind and place, one is listed. Other
-    columns are not read. ``cut`` tells that a compressed layer unfolded beyond 64 MB and was
-    scanned to that length.
+    columns are not read. ``cut`` tells that a compressed layer unfolded beyond 64 MB, so that it
+    was cut in pieces; all of them are scanned.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInPandas(_scan_batches, SCHEMA)

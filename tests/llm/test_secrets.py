@@ -181,3 +181,26 @@ def test_all_members_formats_and_damaged_streams_are_unfolded():
                      "".join(f"\\x{b:02x}" for b in pack), repr(pack),
                      "".join(f"\\u{b:04x}" for b in pack), "".join(f"&#{b};" for b in pack)):
             assert "assign" in spans(f"data: {text} end"), text
+
+
+def test_long_contents_are_read_to_their_end_in_pieces(monkeypatch):
+    import random
+
+    monkeypatch.setattr(secrets, "HELD_BYTES", 300_000)
+    draw = random.Random(1)
+    words = " ".join(draw.choice(["some", "words", "of, a", "text\n"]) for _ in range(260_000))
+    far = words + " "
+    assert len(far) > secrets.HELD_BYTES
+    letters = coded(zlib.compress(draw.randbytes(700_000) + SECRET.encode()))
+    for body in (SECRET, SECRET.replace("=", "%3D"), SECRET.replace("=", "\\u003d"), coded(SECRET.encode()),
+                 "password" + " " * 2_000_000 + "=hunter2secret",
+                 "".join(f"%{b:02x}" for b in gzip.compress(SECRET.encode())), letters):
+        run = coded(gzip.compress((far + body + "\n").encode()))
+        _, found, _, cut = secrets.scan(f"z: {run}")
+        assert (3, 0, 3 + len(run)) in found and not cut, body[:40]
+    inner = gzip.compress(SECRET.encode())
+    assert "assign" in spans(coded(zlib.compress(far.encode() + inner)))
+    monkeypatch.setattr(secrets, "UNFOLD_BYTES", 3_000_000)
+    bomb = coded(zlib.compress(b" " * (secrets.UNFOLD_BYTES + 10) + SECRET.encode()))
+    base, found, layers, cut = secrets.scan(bomb)
+    assert found == [(0, 0, len(bomb))] and cut
