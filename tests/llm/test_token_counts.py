@@ -54,6 +54,19 @@ def test_every_character_is_classed_as_the_library_does(counter, library):
     check(counter, library, texts)
 
 
+def test_every_code_point_has_the_class_of_the_library():
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cut, table = ByteLevel(add_prefix_space=False).pre_tokenize_str, C.character_classes()
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000:
+            # One by one, with other neighbours than the table was made with.
+            x = chr(c)
+            value = next((v for v, n in ((1, "b"), (2, "7"), (0, "?"))
+                          if len(cut(n + x + n)) == 1), 3)
+            assert table[c] == value, hex(c)
+
+
 def test_a_small_state_table_gives_the_same_counts(library):
     small = C.TokenCounter(tokenizer_path(BYTES))
     small.merges.max_states = 50
