@@ -7,8 +7,10 @@ from chartledger.llm import (
     chat,
     decontaminate,
     exact,
+    language,
     mixing,
     neardup,
+    negatives,
     quality,
     secrets,
     token_counts,
@@ -83,11 +85,22 @@ def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.turn_digests(chat.read_back(chat.format_conversations(turns.unionByName(more))))
 
 
+def op11_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op12_zone_map_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(
+            F.col("label")).alias("label"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_mix_sources, op2_secret_layers, op3_token_planes, op4_neighbour_quality,
         op5_decontaminate, op6_warc_salvage, op7_transducer_counts, op8_exact_blocks,
-        op9_super_minhash, op10_chat_round_trip,
+        op9_super_minhash, op10_chat_round_trip, op11_nearest_centroid, op12_zone_map_negatives,
     )
 }
 
@@ -238,6 +251,29 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGI
 FROM c
 """
 
+_NEGATIVES_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id,
+         CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id
+                               ORDER BY s.score DESC, s.id) AS INT) AS rank,
+       s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+  AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
 ORACLES = {
     "op1_mix_sources": _mix_sql(),
     "op5_decontaminate": _DECONTAMINATE_SQL,
@@ -245,4 +281,5 @@ ORACLES = {
     "op8_exact_blocks": _EXACT_SQL,
     "op9_super_minhash": _NEAR_SQL,
     "op10_chat_round_trip": _CHAT_SQL,
+    "op12_zone_map_negatives": _NEGATIVES_SQL,
 }
