@@ -11,6 +11,7 @@ from chartledger.llm import (
     mixing,
     neardup,
     negatives,
+    prefix_trie,
     quality,
     secrets,
     token_counts,
@@ -96,11 +97,19 @@ def op12_zone_map_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op13_parenthesis_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    return prefix_trie.conversation_trie(
+        read_table(spark, sf_dir, "conversations"), conv - conv % 20,
+        F.crc32(conv.cast("string").cast("binary")) % 4, 3)
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_mix_sources, op2_secret_layers, op3_token_planes, op4_neighbour_quality,
         op5_decontaminate, op6_warc_salvage, op7_transducer_counts, op8_exact_blocks,
-        op9_super_minhash, op10_chat_round_trip, op11_nearest_centroid, op12_zone_map_negatives,
+        op9_super_minhash, op10_chat_round_trip, op11_nearest_centroid,
+        op12_zone_map_negatives, op13_parenthesis_trie,
     )
 }
 
@@ -274,6 +283,48 @@ FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
 QUALIFY rank <= 3
 """
 
+_TRIE_SQL = """
+WITH o AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  -- head: the checksum that zlib calls crc32, of the id's decimal digits
+  SELECT conv_id, own, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(
+      string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, x: list_reduce(
+      list_prepend(xor(crc, x), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]),
+      lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT))
+                        ELSE v >> 1 END))) % 4 AS head
+  FROM o),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.own[1:h.head], []), h.own[h.head + 1:]) AS path
+  FROM h LEFT JOIN o b ON b.conv_id = h.base),
+m AS (
+  SELECT conv_id, len(path) AS len, d AS depth, path[1:d] AS node
+  FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM r)),
+n AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+      FILTER (WHERE len = depth), '')) AS ends_sha256
+  FROM m GROUP BY node, depth),
+k AS (SELECT node[1:depth - 1] AS up, count(*) AS n FROM n WHERE depth > 0 GROUP BY up),
+t AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children,
+    CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(
+      node[n.depth].t, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM n LEFT JOIN k ON k.up = n.node),
+u AS (
+  SELECT node[1:d] AS top, sum(saved) AS saved_tokens,
+         count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM t) GROUP BY top)
+SELECT t.conv_id, t.depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, u.n_leaves,
+       CAST(u.saved_tokens AS BIGINT) AS saved_tokens, t.ends_sha256
+FROM t JOIN u ON u.top = t.node
+LEFT JOIN t p ON t.depth > 0 AND p.depth = t.depth - 1 AND p.node = t.node[1:t.depth - 1]
+"""
+
 ORACLES = {
     "op1_mix_sources": _mix_sql(),
     "op5_decontaminate": _DECONTAMINATE_SQL,
@@ -282,4 +333,5 @@ ORACLES = {
     "op9_super_minhash": _NEAR_SQL,
     "op10_chat_round_trip": _CHAT_SQL,
     "op12_zone_map_negatives": _NEGATIVES_SQL,
+    "op13_parenthesis_trie": _TRIE_SQL,
 }
