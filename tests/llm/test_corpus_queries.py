@@ -15,8 +15,8 @@ def test_query(spark, name):
     assert rows > 0
 
 
-def test_names_cover_all_ten():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_names_cover_all_thirteen():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
