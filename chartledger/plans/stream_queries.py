@@ -82,8 +82,7 @@ _TOP = _WIDE + """
 def run_priority(v):
     folder = K.work_folder(v.spark, "k3")
     facts = candidate_stream(v).filter("vs IS NOT NULL")
-    wide, names = K.stream_values(facts)
-    K.start_priority(wide, names, folder).awaitTermination()
+    K.start_priority(*K.stream_values(facts), folder).awaitTermination()
     return folder
 
 
@@ -104,6 +103,14 @@ def _(v):
     return K.run_to_table(K.stream_queue(moves), f"{folder}/queue", "complete")
 
 
+def _ended(v, **form):
+    rows = event_stream(v).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = K.run_to_table(K.stream_expiry(rows, **form), K.work_folder(v.spark, "k4"))
+    return out.select("session_id", F.expr(
+        "rtrim('.', rtrim('0', date_format(started_at, 'yyyy-MM-dd HH:mm:ss.SSSSSS')))")
+        .alias("started_at"), "rows")
+
+
 @query("k4_stream_expiry", "ev", """
 WITH o AS (SELECT session_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 3600 SECOND THEN 0
      ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY ts)),
@@ -113,11 +120,23 @@ s AS (SELECT session_id, grp, min(ts) AS a, max(ts) + INTERVAL 3600 SECOND AS b,
 SELECT session_id, CAST(a AS VARCHAR) AS started_at, CAST(n AS BIGINT) AS "rows" FROM s
 WHERE b <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE""")
 def _(v):
-    rows = event_stream(v).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = K.run_to_table(K.stream_expiry(rows), K.work_folder(v.spark, "k4"))
-    return out.select("session_id", F.expr(
-        "rtrim('.', rtrim('0', date_format(started_at, 'yyyy-MM-dd HH:mm:ss.SSSSSS')))")
-        .alias("started_at"), "rows")
+    return _ended(v)
+
+
+# A session's first row opens a day; the first row behind that day opens the next one.
+@query("k4_fixed_expiry", "ev", """
+WITH RECURSIVE s(session_id, a) AS (
+  SELECT session_id, min(ts) FROM ev GROUP BY 1
+  UNION ALL
+  SELECT s.session_id, (SELECT min(ts) FROM ev WHERE ev.session_id = s.session_id
+    AND ev.ts >= s.a + INTERVAL 86400 SECOND) FROM s WHERE s.a IS NOT NULL)
+SELECT s.session_id, CAST(a AS VARCHAR) AS started_at, CAST(count(*) AS BIGINT) AS "rows"
+FROM s JOIN ev ON ev.session_id = s.session_id AND ev.ts >= s.a
+  AND ev.ts < s.a + INTERVAL 86400 SECOND
+WHERE a + INTERVAL 86400 SECOND <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE
+GROUP BY 1, 2""")
+def _(v):
+    return _ended(v, ttl_seconds=86400, fixed=True)
 
 
 @query("k6_stream_rates", "ev", """

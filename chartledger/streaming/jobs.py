@@ -14,10 +14,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chartledger.config.rules import ESCALATION_RULES
 from chartledger.config.vocabulary import PRIORITIES, SESSION_TTL_SECONDS
-from chartledger.functions.conditions import paths_in
 from chartledger.functions.evidence import span_digest
-from chartledger.operators.ledger import judge_facts, latest_values
-from chartledger.operators.rules import evaluate_wide, priority_number
+from chartledger.operators.ledger import judge_facts
+from chartledger.streaming.sessions import (
+    ExpiryProcessor,
+    PriorityProcessor,
+    RuleTable,
+    marked_facts,
+    use_rocks,
+)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -66,57 +71,40 @@ def stream_dedupe(facts: DataFrame, delay: str = "1 hour") -> DataFrame:
         ["session_id", "path", "digest"])
 
 
-def stream_values(facts: DataFrame, rules=ESCALATION_RULES) -> tuple[DataFrame, dict[str, str]]:
-    """The last value of every rule path per session, kept as streaming state.
+def stream_values(facts: DataFrame, rules=ESCALATION_RULES) -> tuple[DataFrame, RuleTable]:
+    """Facts with the numbers of the rule conditions their values meet, and the rules over those
+    numbers.
 
-    Every session with a fact has a row, also one that no rule reads anything of. Values at other
-    paths do not enter the state. The order of facts is (ts, seq), so a late fact never replaces a
-    newer one.
+    Every session with a fact goes on, also one that no rule reads anything of. The order of facts
+    is (ts, seq), so a late fact never replaces a newer one. Rows without a session are left out.
     """
-    paths = paths_in([c for r in rules for clause in r[3] for c in clause])
-    return latest_values(facts, ["session_id"], paths, ["ts", "seq"])
+    table = RuleTable(rules)
+    return marked_facts(facts, table), table
 
 
-def start_priority(
-    wide: DataFrame, names: dict[str, str], folder: str, rules=ESCALATION_RULES
-) -> StreamingQuery:
-    """Keep each session's priority: never lowered, one row per increase.
+def stream_priority(marked: DataFrame, table: RuleTable) -> DataFrame:
+    """Each session's priority, never lowered: one row per increase, the first one from null.
 
-    ``wide`` and ``names`` come from `stream_values`. Each batch evaluates the rules on the
-    sessions that changed and compares with the increases of earlier batches. A session adds at
-    most two rows to the table, and a retried batch replaces its own rows.
+    State is one row a session, as wide as the fixed list of rule paths.
     """
-    history = f"{folder}/priority"
-    schema = "session_id string, from_priority int, to_priority int, batch int"
+    use_rocks(marked)
+    return marked.groupBy("session_id").transformWithState(
+        PriorityProcessor(table), PriorityProcessor.OUT, "Append", "None")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        proposals = evaluate_wide(batch, names, rules)
-        number = F.when(F.col("fired"), priority_number(F.col("level"))).otherwise(0)
-        now = proposals.groupBy("session_id").agg(F.max(number).cast("int").alias("to_priority"))
-        if batch_id > 0:
-            seen = spark.read.schema(schema).option("basePath", history).parquet(history).filter(
-                F.col("batch") < batch_id)
-            before = seen.groupBy("session_id").agg(
-                F.max("to_priority").alias("from_priority"))
-            now = now.join(before, "session_id", "left")
-        else:
-            now = now.withColumn("from_priority", F.lit(None).cast("int"))
-        raised = now.filter("from_priority IS NULL OR to_priority > from_priority")
-        raised.select("session_id", "from_priority", "to_priority").write.mode(
-            "overwrite").parquet(f"{history}/batch={batch_id}")
 
+def start_priority(marked: DataFrame, table: RuleTable, folder: str) -> StreamingQuery:
+    """Append each session's increases to a table; ``marked`` and ``table`` are from
+    `stream_values`. Started again on the same folder, it goes on from its state."""
     return (
-        wide.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", f"{folder}/_state").trigger(availableNow=True).start()
+        stream_priority(marked, table).writeStream.format("parquet")
+        .option("path", f"{folder}/priority").option("checkpointLocation", f"{folder}/_state")
+        .trigger(availableNow=True).start()
     )
 
 
 def read_priorities(spark: SparkSession, folder: str) -> DataFrame:
     """The current priority of each session, from the table of increases."""
-    rows = spark.read.schema("session_id string, from_priority int, to_priority int, batch int"
-                             ).option("basePath", f"{folder}/priority").parquet(
-        f"{folder}/priority")
+    rows = spark.read.schema(PriorityProcessor.OUT).parquet(f"{folder}/priority")
     top = rows.groupBy("session_id").agg(F.max("to_priority").alias("_n"))
     names = F.array(*[F.lit(p) for p in PRIORITIES])
     return top.select("session_id", F.get(names, F.col("_n")).alias("priority"))
@@ -141,19 +129,22 @@ def stream_queue(increases: DataFrame) -> DataFrame:
 
 
 def stream_expiry(
-    events: DataFrame, ttl_seconds: int = SESSION_TTL_SECONDS, delay: str = "10 minutes"
+    events: DataFrame, ttl_seconds: int = SESSION_TTL_SECONDS, delay: str = "10 minutes",
+    fixed: bool = False,
 ) -> DataFrame:
-    """Sessions that ended by inactivity, once nothing on time can extend them; append mode.
+    """Sessions that ended, once nothing on time can extend them; append mode.
 
-    Rows later than the delay are dropped.
+    A session ends ``ttl_seconds`` after its last row or, with ``fixed``, after its first one; a
+    later row begins a new one. Rows later than the delay are dropped. A timer per session removes
+    its state at its end. Rows without a session or a time are left out.
     """
-    gap = F.session_window("ts", f"{ttl_seconds} seconds")
-    return (
-        events.withWatermark("ts", delay).groupBy("session_id", gap)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select("session_id", F.col("session_window.start").alias("started_at"),
-                F.col("session_window.end").alias("expired_at"), "rows")
-    )
+    use_rocks(events)
+    rows = events.filter("session_id IS NOT NULL AND ts IS NOT NULL").select("session_id", "ts")
+    ended = rows.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts")).groupBy(
+        "session_id").transformWithState(
+            ExpiryProcessor(ttl_seconds, fixed), ExpiryProcessor.OUT, "Append", "EventTime")
+    return ended.select("session_id", F.timestamp_micros("started_at").alias("started_at"),
+                        F.timestamp_micros("expired_at").alias("expired_at"), "rows")
 
 
 def stream_rates(routed: DataFrame, window: str = "1 hour", delay: str = "10 minutes"
