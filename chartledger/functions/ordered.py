@@ -4,7 +4,8 @@ A plain window over a key sorts every row of that key in a single task. When one
 large part of the table that does not scale. The helpers here cut a key into consecutive chunks,
 work inside each chunk, reduce each chunk to one row, and carry values from chunk to chunk over
 those small summaries. The caller names a chunk expression that never decreases along the order,
-for example ``seq div 1000000`` or the day of a timestamp; the result is the same for any choice.
+for example ``seq div 1000000``, the day of a timestamp or `range_chunk`; the result is the same
+for any choice.
 
 Group keys must not be null.
 """
@@ -15,6 +16,34 @@ from pyspark.sql import functions as F
 
 _CHUNK, _CARRY, _HERE = "_chunk", "_carry", "_here"
 
+# Cuts of `range_chunk` at most; a row is placed among them by a search of 8 comparisons.
+MOST_CUTS = 256
+
+
+def range_chunk(df: DataFrame, column: str, chunks: int | None = None) -> Column:
+    """A chunk expression taken from the data: ranges of a whole-number column that hold about
+    equally many rows, as many as there are shuffle partitions (`MOST_CUTS` at most).
+
+    For order columns whose values may lie far apart or close together (times, hashes), where a
+    fixed step would give a chunk per row or one for all. Reads the column once, for its quantiles.
+    """
+    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / min(n, MOST_CUTS) for i in range(1, min(n, MOST_CUTS))]
+    if not shares:
+        return F.lit(0)
+    found = df.agg(F.percentile_approx(F.col(column).cast("long"), shares, 10_000)).first()[0]
+    cuts = sorted(set(found or []))
+
+    def place(low: int, high: int) -> str:
+        # The number of cuts at or below the value, known to be within [low, high].
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return (f"CASE WHEN `{column}` < {cuts[middle]} THEN {place(low, middle)} "
+                f"ELSE {place(middle + 1, high)} END")
+
+    return F.expr(place(0, len(cuts)))
+
 
 def _keys(group):
     return [*group, _CHUNK]

@@ -1,7 +1,11 @@
 """Audit chains, provenance completeness, retention plans and record counts."""
 
-from functools import reduce
+import hashlib
+import json
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,29 +16,29 @@ from chartledger.config.vocabulary import (
     GENESIS_HASH,
     GUEST_PREFIX,
 )
-from chartledger.functions.ordered import with_previous
-
-ID_CHUNK = 1_000_000
+from chartledger.functions.ordered import range_chunk, with_previous
 
 
 def row_hash(previous: Column, payload: Column) -> Column:
-    return F.sha2(F.concat(previous, payload), 256)
+    """The hash of a row behind another one; a null payload counts as empty."""
+    return F.sha2(F.concat(previous, F.coalesce(payload, F.lit(""))), 256)
 
 
 def verify_chain(
-    events: DataFrame, keys: list[str] | None = None, id_chunk: int = ID_CHUNK
+    events: DataFrame, keys: list[str] | None = None, id_chunk: int | None = None
 ) -> DataFrame:
     """One row per chain: is it intact, and where does it break first?
 
     ``events`` holds id, prev_hash, hash and payload (the canonical text the hash covers). Without
     ``keys`` the whole table is one chain. A row breaks the chain when it does not name the stored
     hash before it (link) or its content no longer gives its hash (content). Each check needs only
-    the stored hash of the row before, so rows are checked in parallel: ids are cut into chunks,
-    and only one row per chunk travels between them.
+    the stored hash of the row before, so rows are checked in parallel: ids are cut into ranges
+    of about equally many rows, whatever their values (or, with ``id_chunk``, into steps of that
+    many ids), and only one row per range travels between them.
     """
     keys = keys or []
-    rows = with_previous(events, keys, ["id"], F.expr(f"id div {id_chunk}"), ["hash"], "_p",
-                         position="_at")
+    chunk = F.expr(f"id div {id_chunk}") if id_chunk else range_chunk(events, "id")
+    rows = with_previous(events, keys, ["id"], chunk, ["hash"], "_p", position="_at")
     before = F.coalesce(F.col("_p.hash"), F.lit(GENESIS_HASH))
     kind = F.when(~F.col("prev_hash").eqNullSafe(before), "link").when(
         ~row_hash(before, F.col("payload")).eqNullSafe(F.col("hash")), "content")
@@ -49,37 +53,60 @@ def verify_chain(
     )
 
 
-def seal_rows(events: DataFrame, keys: list[str], rows_per_segment: int = 1000) -> DataFrame:
+def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add prev_hash and hash to rows sorted by chain; only the last hash is carried along."""
+    chain = last = None
+    for batch in batches:
+        before, made = [], []
+        for own, start, payload in zip(*[batch[c].to_pylist() for c in (
+                "_chain", "_start", "payload")], strict=True):
+            if own != chain:
+                chain, last = own, start
+            before.append(last)
+            last = hashlib.sha256((last + (payload or "")).encode()).hexdigest()
+            made.append(last)
+        names = [n for n in batch.schema.names if n not in ("_chain", "_start")]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch[n] for n in names], pa.array(before, pa.string()), pa.array(made, pa.string())],
+            names=[*names, "prev_hash", "hash"])
+
+
+def seal_rows(events: DataFrame, keys: list[str], rows_per_segment: int | None = 1000,
+              tails: DataFrame | None = None) -> DataFrame:
     """Link rows into one hash chain per (keys, segment); adds segment, prev_hash and hash.
 
-    One chain over everything cannot be extended in parallel. A segment is a run of
-    ``rows_per_segment`` consecutive ids, so the rows folded together are few by construction.
+    A segment is a run of ``rows_per_segment`` consecutive ids; with None a chain has one segment,
+    of any length. Chains are worked out side by side, each in one pass over its sorted rows with
+    the last hash in hand, so a long chain takes time but no memory. Rows of equal ids are links of
+    their own, in the order of their payloads. ``tails`` (keys, segment, hash) are the ends of
+    chains sealed before, which these rows go on from. As many rows come back as were given.
     """
-    segment = F.expr(f"id div {rows_per_segment}")
-    start = F.struct(
-        F.lit(GENESIS_HASH).alias("last"),
-        F.array().cast("array<struct<id:bigint,prev_hash:string,hash:string>>").alias("rows"),
-    )
-
-    def link(acc, row):
-        made = row_hash(acc["last"], row["payload"])
-        entry = F.struct(row["id"].alias("id"), acc["last"].alias("prev_hash"),
-                         made.alias("hash"))
-        return F.struct(made.alias("last"), F.concat(acc["rows"], F.array(entry)).alias("rows"))
-
-    folded = (
-        events.withColumn("segment", segment).groupBy(*keys, "segment")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("long").alias("id"),
-                                                  "payload"))).alias("_r"))
-        .select(*keys, "segment", F.aggregate("_r", start, link)["rows"].alias("_r"))
-        .select(*keys, "segment", F.inline("_r"))
-    )
-    plain = [c for c in events.columns if c not in {*keys, "prev_hash", "hash", "segment"}]
-    # Chains of different keys may use the same ids; null keys are a chain as well.
-    named = folded.withColumnsRenamed({k: f"_{k}" for k in [*keys, "id"]})
-    same = [events[k].eqNullSafe(named[f"_{k}"]) for k in keys] + [events["id"] == named["_id"]]
-    return events.select(*keys, *plain).join(named, reduce(lambda a, b: a & b, same)).drop(
-        *[f"_{k}" for k in [*keys, "id"]])
+    segment = F.expr(f"id div {rows_per_segment}") if rows_per_segment else F.lit(0).cast("long")
+    rows = events.drop("prev_hash", "hash", "segment").withColumn("segment", segment)
+    chain = [*keys, "segment"]
+    start = F.lit(GENESIS_HASH)
+    if tails is not None:
+        ends = tails.select(*[F.col(c).alias(f"_{c}") for c in [*chain, "hash"]])
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in chain]
+        rows = rows.join(ends, same, "left").drop(*[f"_{c}" for c in chain])
+        start = F.coalesce("_hash", start)
+    rows = rows.withColumn("_chain", F.to_json(F.struct(*chain), {"ignoreNullFields": "false"}))
+    rows = rows.withColumn("_start", start).drop("_hash")
+    plain = [c for c in rows.columns if c not in ("_chain", "_start")]
+    schema = T.StructType([*rows.select(*plain).schema.fields, T.StructField(
+        "prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
+    dealt = rows.repartition(*chain).sortWithinPartitions("_chain", "id", "payload")
+    return dealt.mapInArrow(_link_batches, schema)
+
+
+def chain_tails(sealed: DataFrame, keys: list[str]) -> DataFrame:
+    """The end of each sealed chain: keys, segment, hash. It is the one hash that no row of the
+    chain names as the hash before it."""
+    chain = [*keys, "segment"]
+    made = sealed.select(*chain, "hash", F.lit(1).alias("_n"))
+    named = sealed.select(*chain, F.col("prev_hash").alias("hash"), F.lit(-1).alias("_n"))
+    return made.unionByName(named).groupBy(*chain, "hash").agg(F.sum("_n").alias("_n")).filter(
+        "_n = 1").drop("_n")
 
 
 def segment_digests(events: DataFrame, keys: list[str], rows_per_segment: int = 1000) -> DataFrame:
@@ -108,9 +135,41 @@ def verify_segments(
     return both.select(*keys, "segment", status.alias("status"))
 
 
+REDACTED = "<redacted>"
+
+
+def scrub_json(text: str | None, forbidden=frozenset(AUDIT_REDACTED_KEYS)) -> str | None:
+    """`scrub_column` for a JSON text, at any depth: canonical JSON with sorted keys.
+
+    A bare string, and a text that is no JSON, cannot be vouched for and is redacted whole.
+    """
+    if text is None:
+        return None
+
+    def clean(value):
+        if isinstance(value, dict):
+            return {k: REDACTED if k in forbidden else clean(v) for k, v in value.items()}
+        return f"<{len(value)} item(s)>" if isinstance(value, list) else value
+
+    try:
+        value = json.loads(text)
+        told = REDACTED if isinstance(value, str) else clean(value)
+    except (ValueError, RecursionError):
+        told = REDACTED
+    return json.dumps(told, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def _scrubbed_texts(forbidden):
+    @F.pandas_udf("string")
+    def scrubbed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: scrub_json(t, forbidden))
+
+    return scrubbed
+
+
 def scrub_column(col: Column, dtype: T.DataType, forbidden=AUDIT_REDACTED_KEYS) -> Column:
     """Rewrite a struct or map column: forbidden keys redacted, lists replaced by their size."""
-    redacted = F.lit("<redacted>")
+    redacted = F.lit(REDACTED)
     if isinstance(dtype, T.StructType):
         fields = []
         for field in dtype.fields:
@@ -136,9 +195,22 @@ def scrub_column(col: Column, dtype: T.DataType, forbidden=AUDIT_REDACTED_KEYS)
 
 
 def scrub_audit(events: DataFrame, columns: list[str]) -> DataFrame:
-    """Scrub payload columns before anything is hashed or stored."""
-    return events.withColumns(
-        {c: scrub_column(F.col(c), events.schema[c].dataType) for c in columns})
+    """Scrub payload columns before anything is hashed or stored.
+
+    Structs and maps are rewritten by their types. A text column holds JSON, as stored payloads do,
+    and is rewritten at any depth by `scrub_json`. A list column becomes its size. Columns of
+    other types cannot hold keys to redact and are refused.
+    """
+    rewritten = {}
+    for c in columns:
+        dtype = events.schema[c].dataType
+        if isinstance(dtype, T.StringType):
+            rewritten[c] = _scrubbed_texts(frozenset(AUDIT_REDACTED_KEYS))(F.col(c))
+        elif isinstance(dtype, (T.StructType, T.MapType, T.ArrayType)):
+            rewritten[c] = scrub_column(F.col(c), dtype)
+        else:
+            raise TypeError(f"column {c} of type {dtype.simpleString()} cannot be scrubbed")
+    return events.withColumns(rewritten)
 
 
 def audit_trail(encounters: DataFrame, events: DataFrame) -> DataFrame:

@@ -290,8 +290,9 @@ def revoke_scopes(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(survivors, purged, ended sessions) after scopes were withdrawn.
 
-    ``revocations`` holds session_id, revoked (array) and granted (array). Survivors get their
-    supersession computed afresh, since a fact that superseded another may be gone.
+    ``revocations`` holds session_id, revoked (array) and granted (array). Survivors are
+    deduplicated by their spans, where ``facts`` has them, and get their supersession computed
+    afresh: a fact that came first with a span, or superseded another, may be gone.
     """
     asked = revocations.select("session_id", "revoked", "granted")
     held = facts.join(asked, "session_id", "left")
@@ -305,7 +306,10 @@ def revoke_scopes(
         | (taken("ayush") & F.col("path").startswith("ayush."))
     )
     drop = [c for c in ("revoked", "granted", "superseded_by") if c in held.columns]
-    survivors = supersede(held.filter(~hit).drop(*drop))
+    kept = held.filter(~hit).drop(*drop)
+    if "span" in kept.columns:
+        kept = dedupe_spans(kept).drop("digest")
+    survivors = supersede(kept)
     left = F.array_except("granted", "revoked")
     needed = F.array(*[F.lit(s) for s in REQUIRED_SCOPES])
     ended = asked.filter(~F.arrays_overlap(left, needed)).select("session_id")

@@ -66,19 +66,21 @@ def repeating_groups(
     """One row per entry of ``group[i].field`` with the latest active value of each field.
 
     Also the fact behind the entry's first field and the document it came from, if any. One
-    aggregation over a fixed list of fields; entries without a number are left out.
+    aggregation over a fixed list of fields; entries without a number are left out. `entry` is a
+    whole number of up to 38 digits, or of any length as `entry_text`, without leading zeros.
     """
     fields = ENTRY_GROUPS[group]
     parts = rf"^{group}\[(\d+)\]\.([a-z_]+)$"
     rows = facts.filter(F.col("path").startswith(f"{group}[")).withColumns({
-        "entry": F.regexp_extract("path", parts, 1).try_cast("int"),
+        "entry_text": F.regexp_replace(F.regexp_extract("path", parts, 1), r"^0+(?=\d)", ""),
         "_field": F.regexp_extract("path", parts, 2),
-    }).filter("entry IS NOT NULL")
+    }).filter("entry_text <> ''")
     rank = F.struct(*order)
     pick = lambda f, col: F.max_by(F.when(F.col("_field") == f, col),
                                    F.when(F.col("_field") == f, rank))
     document = F.col("document_id") if "document_id" in facts.columns else F.lit(None).cast("string")
-    return rows.groupBy(*keys, "entry").agg(
+    return rows.groupBy(*keys, "entry_text").agg(
+        F.first(F.col("entry_text").try_cast("decimal(38,0)")).alias("entry"),
         *[pick(f, value_text(F.col("value"))).alias(f) for f in fields],
         pick(fields[0], F.col("fact_id")).alias("source_fact"),
         pick(fields[0], document).alias("source_document"),

@@ -101,6 +101,51 @@ def _(v):
         "chain", "segment", "id", "prev_hash", "hash")
 
 
+# Three rows of an id in a chain, chains without a key, each gone on from half-way.
+@query("a2_extend_chain", "audit", f"""
+WITH RECURSIVE pay AS (
+  SELECT x.chain, CAST(floor(id / {SEGMENT}) AS BIGINT) AS run, id,
+    CASE WHEN x.copy = 2 THEN NULL ELSE actor || x.copy END AS payload
+  FROM audit, (VALUES ('one', 0), ('one', 1), ('one', 2), (NULL, 0)) x(chain, copy)),
+num AS (SELECT *, row_number() OVER (PARTITION BY chain, run ORDER BY id,
+   payload NULLS FIRST) AS n FROM pay),
+sealed AS (
+  SELECT chain, run, n, id, '{GENESIS}' AS prev_hash,
+    sha256('{GENESIS}' || coalesce(payload, '')) AS hash FROM num WHERE n = 1
+  UNION ALL SELECT m.chain, m.run, m.n, m.id, s.hash, sha256(s.hash || coalesce(m.payload, ''))
+  FROM sealed s JOIN num m ON m.chain IS NOT DISTINCT FROM s.chain AND m.run = s.run
+    AND m.n = s.n + 1)
+SELECT chain, run, id, prev_hash, hash FROM sealed""")
+def _(v):
+    copies = F.explode(F.expr(
+        "array(struct('one' AS chain, 0 AS copy), struct('one' AS chain, 1 AS copy), "
+        "struct('one' AS chain, 2 AS copy), struct(CAST(NULL AS STRING) AS chain, 0 AS copy))"))
+    rows = v.audit.select("id", "actor", copies.alias("c")).select(
+        "c.chain", F.expr(f"id div {SEGMENT}").alias("run"), "id",
+        F.when(F.col("c.copy") < 2, F.concat("actor", F.col("c.copy").cast("string"))).alias(
+            "payload"))
+    half = F.expr(f"id % {SEGMENT} < {SEGMENT // 2}")
+    keys = ["chain", "run"]
+    early = A.seal_rows(rows.filter(half), keys, None)
+    late = A.seal_rows(rows.filter(~half), keys, None, A.chain_tails(early, keys))
+    return early.unionByName(late).select("chain", "run", "id", "prev_hash", "hash")
+
+
+# Ids far apart, as hashes or times are: chunks come from the data. One row is changed.
+@query("a1_sparse_ids", "audit", """
+WITH n AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(max(id) // 2 AS BIGINT) AS middle FROM audit)
+SELECT 'whole' AS chain, true AS intact, n AS checked FROM n
+UNION ALL SELECT 'changed', false, middle FROM n""")
+def _(v):
+    step = 1_000_000_007_000
+    sealed = A.seal_rows(audit_rows(v).withColumn("id", F.col("id") * step), [], None)
+    middle = v.audit.agg(F.expr("max(id) div 2")).first()[0] * step
+    changed = sealed.withColumn("payload", F.when(
+        F.col("id") == middle, "changed").otherwise(F.col("payload")))
+    return A.verify_chain(sealed).select(F.lit("whole").alias("chain"), "intact", "checked").union(
+        A.verify_chain(changed).select(F.lit("changed"), "intact", "checked"))
+
+
 _DIGESTS = """
 WITH d AS (SELECT consent_ref, CAST(floor(id / 1000) AS BIGINT) AS segment, id,
    sha256(actor || '|' || action || '|' || detail) AS h,
@@ -139,6 +184,22 @@ def _(v):
     return A.scrub_audit(rows, ["payload"]).select("id", F.to_json("payload").alias("payload"))
 
 
+# Stored payloads are JSON texts: keys and lists at every depth.
+@query("a3_scrub_json", "audit", """
+SELECT id, CASE id % 5
+  WHEN 0 THEN '{"actor":"' || actor || '","inner":{"deep":{"k":"' || detail
+    || '","text":"<redacted>"},"list":"<2 item(s)>"},"name":"<redacted>","tags":"<3 item(s)>"}'
+  WHEN 1 THEN '{"n":1.5,"none":null,"ok":true,"summary":"<redacted>"}'
+  WHEN 2 THEN '"<redacted>"' WHEN 3 THEN '"<1 item(s)>"' END AS payload FROM audit""")
+def _(v):
+    rows = v.audit.select("id", F.expr("""CASE id % 5
+        WHEN 0 THEN '{"tags": [1, {"name": 2}, []], "name": {"a": 1}, "actor": "' || actor
+          || '", "inner": {"list": ["x", "y"], "deep": {"text": "t", "k": "' || detail || '"}}}'
+        WHEN 1 THEN '{"summary": [1], "ok": true, "n": 1.5, "none": null}'
+        WHEN 2 THEN 'no json: ' || detail WHEN 3 THEN '[{"text": 1}]' END""").alias("payload"))
+    return A.scrub_audit(rows, ["payload"])
+
+
 @query("a4_audit_trail", "encounter audit", """
 SELECT encounter_id, id, actor, action FROM encounter e JOIN audit a
 ON a.consent_ref = e.consent_ref WHERE e.consent_ref IS NOT NULL""")

@@ -407,6 +407,25 @@ def _(v):
     return survivors.select("fact_id", "superseded_by")
 
 
+# Candidates as they were told, copies of a span included: the first survivor of a span stays.
+@query("l11_revoke_copies", "cand scope", _JUDGED + """, rev AS (
+  SELECT session_id, CASE WHEN length(session_id) % 2 = 0 THEN 'documents' ELSE 'voice' END
+    AS revoked FROM scope),""" + _DIGEST.replace(
+    "FROM judged j WHERE reason IS NULL", """FROM judged j LEFT JOIN rev r USING (session_id)
+  WHERE reason IS NULL AND NOT coalesce(r.revoked = 'documents' AND j.tier = 'document'
+    OR r.revoked = 'voice' AND j.modality = 'speech', false)""") + """
+SELECT a.fact_id, (SELECT min_by(b.fact_id, b.seq) FROM ded b WHERE b.session_id = a.session_id
+      AND b.path = a.path AND b.seq > a.seq AND b.supersede) AS superseded_by
+FROM ded a""")
+def _(v):
+    gone = F.expr("CASE WHEN length(session_id) % 2 = 0 THEN 'documents' ELSE 'voice' END")
+    kept, _lost = L.admit_facts(candidates(v), scopes(v))
+    told = kept.withColumn("modality", F.col("span.modality"))
+    survivors, _purged, _ended = L.revoke_scopes(told, scopes(v).withColumn(
+        "revoked", F.array(gone)))
+    return survivors.select("fact_id", "superseded_by")
+
+
 @query("l11_ended_sessions", "scope", """
 SELECT session_id FROM scope WHERE length(session_id) % 3 = 0""")
 def _(v):

@@ -49,7 +49,7 @@ SELECT doc_id, CAST(i AS INT) AS entry, label AS name, CASE WHEN dose <> '' THEN
   freq AS frequency, route FROM num WHERE kind = 'medication'""")
 def _(v):
     return M.repeating_groups(doc_facts(v), "medications", ["doc_id"], ["seq"]).select(
-        "doc_id", "entry", "name", "dose", "frequency", "route")
+        "doc_id", F.col("entry").cast("int").alias("entry"), "name", "dose", "frequency", "route")
 
 
 _TERM_SQL = "CASE c " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in CONDITION_TERMS.items()) + " END"

@@ -125,7 +125,11 @@ def export_gate(encounters: DataFrame, consents: DataFrame, decisions: DataFrame
         "encounter_id", F.lit(True).alias("_confirmed")).distinct()
     share = consents.select(
         "consent_ref", (F.col("active") & F.array_contains("granted", SHARE_SCOPE)).alias("_share"))
-    rows = encounters.join(confirmed, "encounter_id", "left").join(share, "consent_ref", "left")
+    rows = encounters.join(confirmed, "encounter_id", "left")
+    # Encounters without a consent share nothing and stay out of the join, so they are no hot key.
+    given = rows.filter("consent_ref IS NOT NULL").join(share, "consent_ref", "left")
+    rows = given.unionByName(rows.filter("consent_ref IS NULL").withColumn(
+        "_share", F.lit(False)))
     named = F.coalesce(F.col("confirmed_by") != "", F.lit(False))
     status = (
         F.when(F.col("_confirmed").isNull() | ~named, "refused")

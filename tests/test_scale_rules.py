@@ -93,3 +93,60 @@ def test_an_observation_keeps_what_its_report_prints(spark):
     assert str(derived["observed_on"]) == "2019-01-01"
     assert derived["range_source"] == "reference_table"
     assert bare["observed_on"] is None and bare["range_flag"] == "high"
+
+
+def test_chunks_follow_the_data(spark):
+    """Ids as far apart as hashes: no more chunks than shuffle partitions, in the order of ids."""
+    from chartledger.functions.ordered import range_chunk
+
+    rows = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(2 ** 60)).alias("id"))
+    placed = rows.withColumn("chunk", range_chunk(rows, "id")).groupBy("chunk").agg(
+        F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).orderBy(
+            "chunk").collect()
+    assert len(placed) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(a["high"] < b["low"] for a, b in zip(placed, placed[1:], strict=False))
+    assert max(r["n"] for r in placed) < 2 * 5000 / len(placed)
+    one = spark.createDataFrame([(7,)] * 9, "id long")
+    assert one.select(range_chunk(one, "id").alias("c")).distinct().count() == 1
+    none = one.limit(0)
+    assert none.select(range_chunk(none, "id")).count() == 0
+
+
+def test_a_chain_of_any_length_keeps_its_rows_and_columns(spark):
+    rows = spark.range(4000).select(
+        F.lit(None).cast("string").alias("k"), (F.col("id") % 1300).alias("id"),
+        F.concat(F.lit("p"), F.col("id").cast("string")).alias("payload"),
+        F.current_timestamp().alias("ts"), F.array("id").alias("more"))
+    sealed = governance.seal_rows(rows, ["k"], None)
+    assert sealed.count() == 4000 and set(sealed.columns) == {
+        "k", "id", "payload", "ts", "more", "segment", "prev_hash", "hash"}
+    ends = governance.chain_tails(sealed, ["k"])
+    assert ends.count() == 1
+    more = governance.seal_rows(rows.filter("id < 5"), ["k"], None, ends)
+    first = more.filter(F.col("prev_hash") == ends.first()["hash"])
+    assert first.count() == 1 and more.count() == rows.filter("id < 5").count()
+
+
+def test_texts_without_structure_are_redacted_and_other_types_refused(spark):
+    import pytest
+
+    assert governance.scrub_json("[" * 100_000) == '"<redacted>"'
+    assert governance.scrub_json('{"a": {"name": 1, "b": [[]]}}') == (
+        '{"a":{"b":"<1 item(s)>","name":"<redacted>"}}')
+    assert governance.scrub_json(None) is None and governance.scrub_json("7") == "7"
+    with pytest.raises(TypeError):
+        governance.scrub_audit(spark.range(1), ["id"])
+
+
+def test_an_entry_number_of_any_length_keeps_its_group(spark):
+    rows = spark.createDataFrame(
+        [("d", 1, "medications[3000000000].name", "a"), ("d", 2, "medications[3000000000].dose", "1"),
+         ("d", 3, "medications[007].name", "b"), ("d", 4, "medications[7].dose", "2"),
+         ("d", 5, f"medications[{'9' * 50}].name", "c")],
+        "doc_id string, seq long, path string, shown string").select(
+            "doc_id", "seq", "path", F.concat(F.lit("f"), F.col("seq").cast("string")).alias("fact_id"),
+            make_value(F.lit("text"), F.col("shown")).alias("value"))
+    got = {r["entry_text"]: (r["entry"], r["name"], r["dose"]) for r in promotion.repeating_groups(
+        rows, "medications", ["doc_id"], ["seq"]).collect()}
+    assert got == {"3000000000": (3_000_000_000, "a", "1"), "7": (7, "b", "2"),
+                   "9" * 50: (None, "c", None)}
