@@ -46,7 +46,8 @@ def test_vote_equals_brute_force():
     rng = np.random.default_rng(5)
     x = rng.random((60, quality.WIDTH)).astype(np.float32)
     refs = quality.unit(rng.standard_normal((300, quality.LATENT)).astype(np.float32))
-    model = quality.Model(rng.standard_normal((quality.WIDTH, quality.LATENT)).astype(np.float32),
+    model = quality.Model(np.ones(quality.WORDS, np.float32),
+                          rng.standard_normal((quality.WIDTH, quality.LATENT)).astype(np.float32),
                           refs, (rng.random(300) > 0.5).astype(np.float32),
                           np.ones(300, np.float32))
     got = quality.vote(model, x, block=7)
@@ -69,3 +70,99 @@ def test_nulls_empty_texts_no_labels_and_clashing_columns(spark):
     kept = quality.accepted(spark, docs, some)
     assert kept.columns == docs.columns
     assert quality.quality_scores(spark, docs.limit(0), some).count() == 0
+
+
+def by_hand(docs, told, sample_ids):
+    """The whole query in plain loops: features a text at a time, then the vote of the nearest."""
+    import numpy as np
+
+    tool = quality.Features()
+    seen = np.zeros(quality.WORDS)
+    for text in docs.values():
+        seen += tool.word_counts([text])[0] > 0
+    idf = (np.log((1 + len(docs)) / (1 + seen)) + 1).astype(np.float32)
+    vector = {i: tool.vectors([t], idf)[0] for i, t in docs.items()}
+    x = np.stack([vector[i].astype(np.float16).astype(np.float32) for i in sample_ids])
+    _u, _s, right = np.linalg.svd(x, full_matrices=False)
+    base = right[:quality.LATENT].T
+    refs = [x[k] @ base for k in range(len(x))]
+    out = {}
+    for i in docs:
+        z = vector[i] @ base
+        cosine = [float(z @ r / np.linalg.norm(z) / np.linalg.norm(r)) for r in refs]
+        near = sorted(range(len(refs)), key=lambda k: (-cosine[k], k))[:quality.NEIGHBOURS]
+        power = [max(cosine[k], 1e-3) ** 8 for k in near]
+        out[i] = sum(p * told[sample_ids[k]] for p, k in zip(power, near, strict=True)) / sum(power)
+    return out
+
+
+def test_whole_query_equals_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in table("documents")}
+    told = {r["doc_id"]: r["quality"] for r in table("labels")}
+    ids = sorted(i for i in told if i in docs and zlib.crc32(str(i).encode()) % 5)
+    want = by_hand(docs, told, ids)
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op4_neighbour_quality"](spark, SF_DIR).collect()}
+    assert set(got) == set(want)
+    # The subspace iteration ends within rounding of the exact decomposition.
+    far = [i for i in got if abs(got[i] - want[i]) > 0.05]
+    assert len(far) <= 0.02 * len(got)
+    assert sum((got[i] >= 0.3) != (want[i] >= 0.3) for i in got) <= 1
+
+
+def test_leading_directions_span_those_of_the_exact_decomposition():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = (rng.standard_normal((200, 90)) * 0.8 ** np.arange(90)).astype(np.float32)
+    got = quality.leading_directions(x, 6)
+    want = np.linalg.svd(x, full_matrices=False)[2][:6].T
+    assert np.allclose(np.linalg.svd(got.T @ want)[1], 1, atol=1e-3)
+
+
+def test_quality_that_shows_in_words_alone_is_learnt(spark):
+    """Rows of equal shapes: the same word lengths and marks, other words."""
+    import random
+
+    rng = random.Random(2)
+    good = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+    bad = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+    rows, told = [], []
+    for i in range(300):
+        words = good if i % 2 else bad
+        rows.append((i, " ".join(rng.choice(words) for _ in range(40)) + "."))
+        told.append((i, i % 2, 0))
+    tool = quality.Features()
+    shapes = tool.shapes([t for _i, t in rows])[:, :quality._TRIGRAMS]
+    assert abs(shapes - shapes[0]).max() < 0.05
+    got = {r["doc_id"]: r for r in quality.quality_scores(
+        spark, documents(spark, rows), labels(spark, told)).collect()}
+    held = [i for i in got if got[i]["held_out"]]
+    right = sum((got[i]["score"] >= 0.5) == (i % 2 == 1) for i in held)
+    assert len(held) > 30 and right >= 0.95 * len(held)
+
+
+def test_a_vector_depends_on_its_text_alone():
+    import numpy as np
+
+    tool, idf = quality.Features(), np.ones(quality.WORDS, np.float32)
+    texts = ["One text. Two!", "", "XYZ 12", "one text", "ß é ÄÖ", "!?"]
+    whole = tool.vectors(texts, idf)
+    for i, text in enumerate(texts):
+        assert (tool.vectors([text], idf)[0] == whole[i]).all()
+        assert (tool.vectors([text, "ABC"], idf)[0] == whole[i]).all()
+    counts = tool.word_counts(["the cat the CAT sat", "cat tac"])
+    assert sorted(counts[0][counts[0] > 0].tolist()) == [1, 2, 2]
+    assert (counts[1] > 0).sum() == 2
+
+
+def test_one_row_per_sampled_id_and_very_long_texts(spark):
+    rows = [(1, "good words here again")] * 3000 + [(1, "other words"), (2, "BAD!! " * 400_000),
+                                                   (3, "word " * 400_000), (4, None)]
+    docs = documents(spark, rows)
+    told = labels(spark, [(1, 1, 0), (2, 0, 0), (3, 1, 0), (4, 0, 0), (6, 1, 0)])
+    chosen, _counts = quality.labelled_sample(told)
+    model = quality.fit(docs, told)
+    assert len(model.labels) == chosen.filter("doc_id < 5").count() <= 4
+    got = quality.quality_scores(spark, docs, told)
+    assert got.count() == len(rows)
+    assert len({r["score"] for r in got.filter("doc_id = 1").collect()}) <= 2
