@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from chartledger.streaming.jobs import work_folder
 
-# Rows up to which a table of short rows (under about 200 bytes each) may be broadcast: 40 MB.
+# Rows, and bytes of all rows together, up to which a table may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 40_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,13 +40,25 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if it is proven to hold at most ``rows`` rows.
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame with a broadcast hint if it is proven to hold at most ``rows`` rows of ``size``
+    bytes in all (measured as JSON).
 
-    Give it a written table: it is counted. Beyond the bound the hint is left out, and the join
+    Give it a written table: it is counted. Beyond the bounds the hint is left out, and the join
     is a sort-merge join whose hot partitions adaptive execution splits.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    told = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).cast("long")).alias("size"))
+    found = told.first()
+    return F.broadcast(df) if found["n"] <= rows and (found["size"] or 0) <= size else df
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a written table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hex_to_long(hex_text: Column, digits: int) -> Column:

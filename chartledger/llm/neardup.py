@@ -7,9 +7,13 @@
    class (a star), so the links of a bucket of copies grow with its size and not with its square.
 4. Components of the verified links are found by label propagation with pointer jumping.
 5. Buckets that still hold several components may hide a link between members other than the
-   first. Their members are split into blocks, and a task counts the common shingles of one pair
-   of blocks as a matrix product, in memory: of the links it finds between components, only a
-   spanning forest leaves the task. Nothing is capped, and no pair of documents is ever a row.
+   first. Sets with similarity 0.75 share a shingle among the first quarter of each in any common
+   order; the order here is rarest first, by a sketch of counts of fixed size. Members of open
+   buckets that share such a shingle and lie in different components are cut into blocks of
+   bounded size, and a task counts the common shingles of one pair of blocks as a matrix product;
+   of the links it finds between components, only a spanning forest leaves the task. Pairs of
+   blocks of one component, or of sizes too far apart, are not compared. Nothing is capped, and no
+   pair of documents is ever a row.
 6. Components are found once more.
 
 Similarities are exact over full sets of 64-bit shingle hashes.
@@ -20,18 +24,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from chartledger.functions.ordered import salted_join
 from chartledger.llm import shingles as S
-from chartledger.llm.common import small_side, text_or_empty, written
+from chartledger.llm.common import discard, small_side, text_or_empty, written
 
 # Linked: HUNDREDTHS * intersection >= LEAST * union.
 HUNDREDTHS, LEAST = 100, 75
-# Members of a block of a bucket, and columns of a matrix product.
-BLOCK = 256
+# Shingles of a block of members (one longer set is a block of its own), columns of a matrix
+# product, and cells of the sketch of shingle counts.
+BLOCK_SHINGLES = 65_536
 COLUMNS = 4096
+CELLS = 1 << 18
+SLICE = 1 << 12
 
 SIGNATURES = "doc_id long, key long, n_shingles long, set_id binary, bands array<long>"
 
@@ -72,17 +79,6 @@ def linked(common: int, a: int, b: int) -> bool:
     return HUNDREDTHS * common >= LEAST * (a + b - common)
 
 
-@F.pandas_udf(T.BooleanType())
-def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = np.concatenate([s, t])
-        both.sort()
-        out.append(linked(int((both[1:] == both[:-1]).sum()), len(s), len(t)))
-    return pd.Series(out, dtype=bool)
-
-
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all sets of two lists, exact.
 
@@ -161,11 +157,14 @@ def components(links: DataFrame) -> DataFrame:
         lower = written(lower, "lower")
         jump = lower.select(
             F.col("rid").alias("component"), F.col("component").alias("further"))
+        discard(labels)
         new = written(lower.join(jump, "component").select(
             "rid", F.col("further").alias("component"),
             (F.col("further") != F.col("old")).alias("moved")), "labels")
         labels = new.drop("moved")
+        discard(lower)
         if not new.filter("moved").limit(1).count():
+            discard(both)
             return labels
 
 
@@ -198,35 +197,149 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
     return written(texts.mapInArrow(_set_batches, "rid long, members binary"), "sets")
 
 
+def _hub_links(hub: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    """The members of one part of a bucket that are linked with its first class."""
+    links = []
+    if len(hub) and len(members):
+        a, s = int(hub["hub"].iloc[0]), np.frombuffer(hub["set_a"].iloc[0], np.uint64)
+        for b, other in zip(members["b"], members["set_b"], strict=True):
+            t = np.frombuffer(other, np.uint64)
+            at = np.minimum(np.searchsorted(s, t), len(s) - 1)
+            if linked(int((s[at] == t).sum()), len(s), len(t)):
+                links.append((a, int(b)))
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+
 def star_links(members: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Verified links between the members and the first class of their buckets: a, b."""
+    """Verified links between the members and the first class of their buckets: a, b.
+
+    A first class's members are dealt into parts of about BLOCK_SHINGLES shingles; its own set is
+    sent once to each part.
+    """
     edges = members.filter("rid != hub").select(
         F.col("hub").alias("a"), F.col("rid").alias("b"), "n").distinct()
     hubs = sizes.select(F.col("rid").alias("a"), F.col("n").alias("n_a"))
-    fit = edges.join(hubs, "a").filter(
-        F.least("n", "n_a") * HUNDREDTHS >= F.greatest("n", "n_a") * LEAST).select("a", "b")
-    one = fit.join(sets.select(F.col("rid").alias("a"), F.col("members").alias("set_a")), "a")
-    two = one.join(sets.select(F.col("rid").alias("b"), F.col("members").alias("set_b")), "b")
-    return two.filter(_linked("set_a", "set_b")).select("a", "b")
+    fit = written(edges.join(hubs, "a").filter(
+        F.least("n", "n_a") * HUNDREDTHS >= F.greatest("n", "n_a") * LEAST).select(
+            "a", "b", "n"), "edges")
+    parts = fit.groupBy("a").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    dealt = salted_join(fit, parts, ["a"], "b").withColumn(
+        "part", F.pmod(F.xxhash64("b"), "parts"))
+    told = dealt.join(sets.select(F.col("rid").alias("b"), F.col("members").alias("set_b")), "b")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("place")
+    heads = parts.join(sets.select(F.col("rid").alias("a"), F.col("members").alias("set_a")), "a")
+    return heads.select(F.col("a").alias("hub"), every, "set_a").groupBy("hub", "place").cogroup(
+        told.select("a", "part", "b", "set_b").groupBy("a", "part")).applyInPandas(
+            _hub_links, "a long, b long")
+
+
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cells = np.zeros(CELLS, dtype=np.int64)
+    for batch in batches:
+        for members in batch["members"].to_pylist():
+            cells += np.bincount(_cell(np.frombuffer(members, np.uint64)), minlength=CELLS)
+    if cells.any():
+        slices = cells.reshape(-1, SLICE)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(slices)), pa.int32()), pa.array([x.tobytes() for x in slices])],
+            names=["slice", "counts"])
+
+
+def _cell(members: np.ndarray) -> np.ndarray:
+    return (members % np.uint64(CELLS)).astype(np.int64)
+
+
+def _added(group: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, np.int64) for x in group["counts"])
+    return pd.DataFrame([{"slice": int(group["slice"].iloc[0]), "counts": total.tobytes()}])
+
+
+def shingle_sketch(sets: DataFrame) -> np.ndarray:
+    """Counts of shingles by hash cell: CELLS numbers, whatever the input."""
+    schema = "slice int, counts binary"
+    told = sets.select("members").mapInArrow(_sketch_batches, schema).groupBy(
+        "slice").applyInPandas(_added, schema).collect()
+    cells = np.zeros(CELLS, dtype=np.int64)
+    for r in told:
+        cells[r["slice"] * SLICE:(r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
+    return cells
+
+
+def necessary_prefix(members: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of (count in the sketch, hash) that a linked set has one of,
+    without those that no other set holds."""
+    count = cells[_cell(members)]
+    n = len(members)
+    first = np.lexsort((members, count))[:n - -(-LEAST * n // HUNDREDTHS) + 1]
+    return members[first][count[first] > 1]
+
+
+def _prefix_batches(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [necessary_prefix(np.frombuffer(m, np.uint64), shared.value)
+                     for m in batch["members"].to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            tokens = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch[c].take(pa.array(at)) for c in ("rid", "component", "n")]
+                + [pa.array(tokens.view(np.int64))], names=["rid", "component", "n", "bucket"])
+
+    return run
+
+
+def open_members(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, in groups of a shared prefix shingle that
+    hold several too: bucket, rid, component, n."""
+    rows = written(_labelled(members.filter("n_members > 2").select(
+        "bucket", "rid", "n"), labels), "labelled")
+    ends = [F.min("component").alias("low"), F.max("component").alias("high")]
+    several = rows.groupBy("bucket").agg(*ends).filter("low != high").select("bucket")
+    asked = rows.join(several, "bucket", "left_semi").select("rid", "component", "n").distinct()
+    wanted = written(asked.join(sets, "rid"), "open-sets")
+    shared = wanted.sparkSession.sparkContext.broadcast(shingle_sketch(wanted))
+    tokens = written(wanted.mapInArrow(
+        _prefix_batches(shared), "rid long, component long, n long, bucket long"), "prefixes")
+    mark = F.xxhash64("rid", F.lit("prefix"))
+    groups = tokens.groupBy("bucket").agg(
+        *ends, F.count("*").alias("n_members"),
+        F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("m1"),
+        F.sum(F.shiftrightunsigned(mark, 32)).alias("m2")).filter("low != high")
+    # Groups of exactly the same members are one.
+    alone = groups.groupBy("low", "high", "n_members", "m1", "m2").agg(
+        F.min("bucket").alias("bucket")).select("bucket")
+    return written(tokens.join(alone, "bucket", "left_semi"), "open")
+
+
+def block_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their block of a bucket, and the pairs of blocks (bucket, i, j) that may hold a
+    link between components. A block is a run of members in the order of component and size."""
+    upto = Window.partitionBy("bucket").orderBy("component", "n", "rid").rowsBetween(
+        Window.unboundedPreceding, -1)
+    cut = written(rows.withColumn("block", F.floor(F.coalesce(
+        F.sum("n").over(upto), F.lit(0)) / BLOCK_SHINGLES).cast("int")), "blocks")
+    told = cut.groupBy("bucket", "block").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.min("n").alias("least"), F.max("n").alias("most"))
+    left = told.withColumnsRenamed({c: f"{c}_i" for c in ("block", "low", "high", "least", "most")})
+    right = told.withColumnsRenamed({c: f"{c}_j" for c in ("block", "low", "high", "least", "most")})
+    apart = (F.col("low_i") != F.col("high_i")) | (F.col("low_j") != F.col("high_j")) | (
+        F.col("low_i") != F.col("low_j"))
+    near = (F.col("most_i") * HUNDREDTHS >= F.col("least_j") * LEAST) & (
+        F.col("most_j") * HUNDREDTHS >= F.col("least_i") * LEAST)
+    pairs = left.join(right, "bucket").filter("block_i <= block_j").filter(apart & near)
+    return cut, pairs.select("bucket", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
 
 
 def block_links(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Links between components within the buckets that hold several: a, b."""
-    rows = written(_labelled(members.filter("n_members > 2").select(
-        "bucket", "rid", "n_members"), labels), "labelled")
-    open_buckets = rows.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).filter(
-            "low != high").select("bucket")
-    rows = rows.join(open_buckets, "bucket", "left_semi")
-    blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rid"), F.col("blocks").cast("long")).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.select("bucket", "rid", "component", "own", other.alias("other")).select(
-        "bucket", "rid", "component", F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"))
-    full = dealt.join(sets, "rid")
+    cut, pairs = block_pairs(open_members(members, sets, labels))
+    side = F.explode(F.array(
+        F.struct(F.col("i").alias("block"), F.lit(0).alias("side")),
+        F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("at")
+    sides = pairs.select("bucket", "i", "j", side).select("bucket", "i", "j", "at.*").filter(
+        "side = 0 OR i < j")
+    full = cut.drop("n").join(sides, ["bucket", "block"]).join(sets, "rid")
     return full.groupBy("bucket", "i", "j").applyInPandas(_block_links, "a long, b long")
 
 
@@ -255,9 +368,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
         labels = components(links.unionByName(more))
     named = written(_labelled(classes.select("rid", "set_id", F.col("at.doc_id").alias("first")),
                               labels), "named")
+    for table in (members, sets, links, more, labels):
+        discard(table)
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    found = named.join(smallest, "component").select("set_id", "component_id")
-    grouped = base.filter("set_id IS NOT NULL").join(found, "set_id").select(
+    found = written(named.join(smallest, "component").select("set_id", "component_id"), "found")
+    discard(named)
+    # A set may be that of a third of all rows: its row is sent to several places.
+    some = base.filter("set_id IS NOT NULL").withColumn("spread", F.xxhash64("doc_id", "key"))
+    grouped = salted_join(some, found, ["set_id"], "spread").select(
         "doc_id", "key", "n_shingles", "component_id")
     alone = base.filter("set_id IS NULL").select(
         "doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -266,11 +384,24 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def near_unique(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group, all columns as they are."""
+    """The rows of ``docs`` that stay, one row of each group, all columns as they are.
+
+    Rows that share doc_id and text are one document: of several, the one whose hash over all
+    columns is smallest stays.
+    """
     gone = small_side(written(near_groups(docs).filter("NOT kept").select(
         "doc_id", "key").distinct(), "dropped"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.col("doc_id").cast("long").alias("_id"),
                        F.xxhash64(text_or_empty()).alias("_key"))
     on = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))
-    return rows.join(gone, on, "left_anti").select("row.*")
+    kept = rows.join(gone, on, "left_anti")
+    again = written(rows.groupBy("_id", "_key").count().filter("count > 1").select(
+        F.col("_id").alias("doc_id"), F.col("_key").alias("key")), "repeated")
+    if not again.limit(1).count():
+        return kept.select("row.*")
+    again = small_side(again)
+    told = F.struct(F.xxhash64(F.to_json("row")), F.to_json("row"))
+    first = kept.join(again, on, "left_semi").groupBy("_id", "_key").agg(
+        F.min_by("row", told).alias("row"))
+    return kept.join(again, on, "left_anti").select("row.*").unionByName(first.select("row.*"))

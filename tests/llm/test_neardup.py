@@ -37,7 +37,7 @@ def test_equals_brute_force(spark):
 
 def test_blocks_find_links_that_stars_miss(spark, monkeypatch):
     rows = cases(2)
-    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 60)
     monkeypatch.setattr(neardup, "star_links", lambda members, sets, sizes: members.select(
         neardup.F.col("rid").alias("a"), neardup.F.col("hub").alias("b")).limit(0))
     assert told(documents(spark, rows)) == near_groups_by_hand(rows)
@@ -103,6 +103,50 @@ def test_nulls_repeats_and_the_filter(spark):
                      ("9", "5", False), ("None", "5", False), ("None", "None", True),
                      ("None", "None", True)]
     kept = neardup.near_unique(docs)
-    assert kept.columns == docs.columns and kept.count() == 6
+    assert kept.columns == docs.columns and kept.count() == 4
     assert neardup.near_groups(docs.limit(0)).count() == 0
     assert neardup.near_unique(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_repeated_rows_stays_whatever_its_other_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = documents(spark, [(5, text, "a"), (5, text, "b"), (5, text, "a"), (8, "z", "c")])
+    kept = neardup.near_unique(docs).collect()
+    assert sorted(r["doc_id"] for r in kept) == [5, 8]
+    again = neardup.near_unique(docs.repartition(3)).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, again))
+
+
+def test_linked_sets_share_a_necessary_shingle():
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 3, 7, 40, 200):
+        for _ in range(30):
+            base = rng.choice(10 ** 6, size + 60, replace=False).astype(np.uint64)
+            a = np.sort(base[:size])
+            gone = int(rng.integers(0, size // 4 + 1))
+            b = np.sort(np.concatenate([base[gone:size], base[size:size + int(
+                rng.integers(0, size // 8 + 1))]]))
+            cells = np.zeros(neardup.CELLS, dtype=np.int64)
+            for s in (a, b, base[:50]):
+                cells += np.bincount(neardup._cell(s), minlength=neardup.CELLS)
+            if neardup.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                assert len(np.intersect1d(neardup.necessary_prefix(a, cells),
+                                          neardup.necessary_prefix(b, cells)))
+
+
+def test_alike_texts_without_links_meet_in_few_blocks(spark):
+    """A family of texts that share half of their words in a row: one bucket, no link."""
+    shared = " ".join(f"common{i}" for i in range(60))
+    docs = documents(spark, [(i, shared + " " + " ".join(f"own{i}x{k}" for k in range(40)))
+                             for i in range(400)])
+    base = docs.select(neardup.F.col("doc_id").alias("rid"), "text").mapInArrow(
+        neardup._set_batches, "rid long, members binary")
+    sets = neardup.written(base, "sets-test")
+    members = sets.select(neardup.F.lit(1).cast("long").alias("bucket"), "rid",
+                          (neardup.F.octet_length("members") / 8).cast("long").alias("n"),
+                          neardup.F.lit(400).cast("long").alias("n_members"))
+    labels = spark.createDataFrame([], "rid long, component long")
+    # Of 400 x 399 / 2 pairs none is compared: no rare shingle is shared.
+    assert neardup.open_members(members, sets, labels).count() == 0
+    got = neardup.near_groups(docs)
+    assert got.filter("kept").count() == 400
