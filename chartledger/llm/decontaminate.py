@@ -91,10 +91,14 @@ def occurrences(docs: DataFrame, prefixes: DataFrame, sizes: list[int]) -> DataF
     side = small_side(table)
     found = document_shingles(docs, sizes, ["doc_id", "key"])
     if side is table:
-        # Too many windows to broadcast: send places alone, and words only of documents with hits.
-        places = found.drop("words").join(table, "shingle").select(
-            "doc_id", "key", "pos", "at", "window")
-        texts = docs.select("doc_id", "key", "words").dropDuplicates(["doc_id", "key"])
+        # Too many windows to broadcast: send places alone, and words only of documents with one.
+        places = written(found.drop("words").join(table, "shingle").select(
+            "doc_id", "key", "pos", "at", "window"), "places")
+        asked = small_side(written(places.select(
+            F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "places-of"))
+        told = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+        texts = docs.select("doc_id", "key", "words").join(asked, told, "left_semi")
+        texts = texts.dropDuplicates(["doc_id", "key"])
         on = places["doc_id"].eqNullSafe(texts["doc_id"]) & (places["key"] == texts["key"])
         joined = places.join(texts, on).select(
             places["doc_id"], places["key"], "words", "pos", "at", "window")
@@ -128,7 +132,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     documents give no rows, no items leave every document clean. Other columns are not read.
 
     The documents are read as they lie and never shuffled as text while the windows fit the
-    broadcast bound; beyond it, places are joined by shuffle. Only hits are grouped.
+    broadcast bound; beyond it, places are joined by shuffle, and then the words of the documents
+    that have places. Only hits are grouped.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("key"),
