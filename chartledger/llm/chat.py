@@ -7,12 +7,16 @@ Grammar of the output, from which it is parsed back:
 
 A backslash in a role or body stands for the character after it. Control strings are broken by a
 backslash inside them: ``<\\/turn>``, ``#\\## `` and, in roles, ``:\\ ``.
+
+Beside each formatted text stands its loss mask: the ranges of the bodies that are learnt from.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADER, COLON, END = "### ", ": ", "</turn>\n"
+# The role whose turns are learnt from.
+LEARNT = "assistant"
 _UNESCAPE = r"(?s)\\(.)"
 
 
@@ -68,7 +72,10 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """One formatted text per conversation: conv_id, formatted, turns (those it was made from).
+    """One formatted text per conversation: conv_id, formatted, mask, turns (those it was made from).
+
+    ``mask`` lists the ranges (start, from 0, and length, in characters of the formatted text) of
+    the bodies of ``LEARNT`` turns, as they are written there.
 
     Columns: conv_id, turn, role, text. Null roles and texts are empty. Turns are in the order of
     turn, role, text, null turns first; equal rows are all turns. Null conv_ids are one
@@ -81,18 +88,29 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         F.col("conv_id").alias("conv_id"), F.col("turn").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = format_turns(rows)
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(
+        Window.unboundedPreceding, -1)
+    out = format_turns(rows).withColumn("at", F.coalesce(
+        F.sum(F.length("out").cast("long")).over(before), F.lit(0)))
     gathered = out.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text", "out"))).alias("turns"))
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text", "out", "at"))).alias("turns"))
     # array_sort puts null turns first within the struct order.
     return gathered.select(
         "conv_id", F.concat_ws("", F.col("turns.out")).alias("formatted"),
+        F.transform(F.filter("turns", lambda t: t["role"] == LEARNT), _body_range).alias("mask"),
         F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
         .alias("turns"))
 
 
+def _body_range(turn: Column) -> Column:
+    """Where a turn's body lies; the role ``LEARNT`` is written as it is."""
+    head = len(HEADER) + len(LEARNT) + len(COLON)
+    return F.struct((turn["at"] + head).alias("start"),
+                    (F.length(turn["out"]) - head - len(END)).cast("long").alias("length"))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse the formatted texts and compare them with their source turns: conv_id, formatted,
+    """Parse the formatted texts and compare them with their source turns: conv_id, formatted, mask,
     turns as recovered. A conversation that differs fails the job."""
     got = formatted.withColumn("recovered", parsed(F.col("formatted")))
     same = F.col("recovered") == F.col("turns")
@@ -103,11 +121,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def turn_digests(conversations: DataFrame) -> DataFrame:
-    """What the training loss sees of each conversation, from the recovered turns."""
+    """What the training loss sees of each conversation: the formatted text under its mask."""
     told = F.concat_ws("", F.transform(
         "turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    loss = F.concat_ws("", F.transform(
-        F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]))
+    loss = F.concat_ws("", F.transform("mask", lambda m: unescaped(F.substr(
+        F.col("formatted"), (m["start"] + 1).cast("int"), m["length"].cast("int")))))
     return conversations.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
