@@ -8,12 +8,12 @@
 4. Components of the verified links are found by label propagation with pointer jumping.
 5. Buckets that still hold several components may hide a link between members other than the
    first. Sets with similarity 0.75 share a shingle among the first quarter of each in any common
-   order; the order here is rarest first, by a sketch of counts of fixed size. Members of open
-   buckets that share such a shingle and lie in different components are cut into blocks of
-   bounded size, and a task counts the common shingles of one pair of blocks as a matrix product;
-   of the links it finds between components, only a spanning forest leaves the task. Pairs of
-   blocks of one component, or of sizes too far apart, are not compared. Nothing is capped, and no
-   pair of documents is ever a row.
+   order; the order here is rarest first, by a sketch of counts of fixed size. Only members that
+   share such a shingle with another component go on. They are cut into blocks of bounded size, and
+   a task counts the common shingles of one pair of blocks as a matrix product; of the links it
+   finds between components, only a spanning forest leaves the task. Pairs of blocks of one
+   component, or of sizes too far apart, are not compared. Nothing is capped, and no pair of
+   documents is ever a row.
 6. Components are found once more.
 
 Similarities are exact over full sets of 64-bit shingle hashes.
@@ -289,26 +289,28 @@ def _prefix_batches(shared):
 
 
 def open_members(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, in groups of a shared prefix shingle that
-    hold several too: bucket, rid, component, n."""
+    """Members of buckets that hold several components, each of which shares a shingle of its
+    necessary prefix with a member of another component: bucket, rid, component, n.
+
+    A set that shares none is linked with nothing outside its component, however alike the texts
+    of its buckets are; only the others' sets are sent to be compared.
+    """
     rows = written(_labelled(members.filter("n_members > 2").select(
         "bucket", "rid", "n"), labels), "labelled")
     ends = [F.min("component").alias("low"), F.max("component").alias("high")]
     several = rows.groupBy("bucket").agg(*ends).filter("low != high").select("bucket")
-    asked = rows.join(several, "bucket", "left_semi").select("rid", "component", "n").distinct()
-    wanted = written(asked.join(sets, "rid"), "open-sets")
+    rows = rows.join(several, "bucket", "left_semi")
+    wanted = written(rows.select("rid", "component", "n").distinct().join(sets, "rid"), "open-sets")
     shared = wanted.sparkSession.sparkContext.broadcast(shingle_sketch(wanted))
     tokens = written(wanted.mapInArrow(
         _prefix_batches(shared), "rid long, component long, n long, bucket long"), "prefixes")
-    mark = F.xxhash64("rid", F.lit("prefix"))
-    groups = tokens.groupBy("bucket").agg(
-        *ends, F.count("*").alias("n_members"),
-        F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("m1"),
-        F.sum(F.shiftrightunsigned(mark, 32)).alias("m2")).filter("low != high")
-    # Groups of exactly the same members are one.
-    alone = groups.groupBy("low", "high", "n_members", "m1", "m2").agg(
-        F.min("bucket").alias("bucket")).select("bucket")
-    return written(tokens.join(alone, "bucket", "left_semi"), "open")
+    discard(wanted)
+    meeting = tokens.groupBy("bucket").agg(*ends).filter("low != high").select("bucket")
+    able = written(tokens.join(meeting, "bucket", "left_semi").select("rid").distinct(), "able")
+    discard(tokens)
+    left = rows.join(able, "rid", "left_semi")
+    still = left.groupBy("bucket").agg(*ends).filter("low != high").select("bucket")
+    return written(left.join(still, "bucket", "left_semi"), "open")
 
 
 def block_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
