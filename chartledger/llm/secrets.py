@@ -36,15 +36,26 @@ ACCESS_LENGTH = 20
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_RUN = re.compile(
-    r"(?:\\u[0-9A-Fa-f]{4}|%u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}"
-    r"|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
+# One escape: four, eight or two hex digits, a character reference (its semicolon may lack behind a
+# number), digits in braces, three octal digits.
 UNICODE_ONE = re.compile(
-    r"(?:\\u|%u)([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[0-9xXA-Fa-f]+;)")
+    r"(?:\\u|%u)([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
+    r"|(&#[0-9]{1,7};?|&#[xX][0-9A-Fa-f]{1,6};?|&[A-Za-z][A-Za-z0-9]{1,31};)"
+    r"|\\u\{([0-9A-Fa-f]{1,6})\}|\\([0-3][0-7]{2})")
+UNICODE_RUN = re.compile("(?:" + re.sub(r"\((?!\?)", "(?:", UNICODE_ONE.pattern) + ")+")
+# Escape signs that were escaped again and again, each in front of an escape; undone at once.
+URL_CHAIN = re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})")
+UNICODE_CHAIN = re.compile(
+    r"(\\)(?:u005[cC])+(?=u[0-9A-Fa-f]{4})|(&)(?:amp;)+(?=#?[A-Za-z0-9]{2,31};)"
+    r"|(&)(?:#38;)+(?=#[0-9xX])")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Line ends, also those written as two or four characters.
+LINE_END = re.compile(r"(?:\r\n?|\n|\\r\\n|\\n)[\x20\t]*")
+WRITTEN_END = re.compile(r"\\[rn]")
 # Lines that are base64 letters only, with what stands before the first and after the last of them.
 BASE64_LINES = re.compile(
-    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:\r\n?|\n|\\r\\n|\\n)[\x20\t]*+"
+    r"[A-Za-z0-9+/_-]++)+={0,2}")
 BASE64_PART = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 
 # The shortest secret, token=abcdef, has twelve ASCII characters in a row, and what is encoded is
@@ -168,10 +179,18 @@ def _sizes(text: str) -> np.ndarray:
     return np.where((codes >= 0xDC80) & (codes <= 0xDCFF), 1, size)
 
 
+def _unchained(layer: Layer, chain: re.Pattern, sign: Callable[[re.Match], str]) -> Layer:
+    """The layer with every chain of escaped escape signs as one sign, in a single pass."""
+    runs = [(m.start(), m.end(), sign(m), [m.start()], [m.end()])
+            for m in chain.finditer(layer.text)]
+    return layer.replaced(runs) if runs else layer
+
+
 def _url(layer: Layer) -> list[Layer]:
     """The layer with all its percent sequences decoded; bytes that are no UTF-8 stay."""
     if "%" not in layer.text:
         return []
+    layer = _unchained(layer, URL_CHAIN, lambda m: "%")
     runs = []
     for m in URL_RUN.finditer(layer.text):
         raw = bytes.fromhex(m[0].replace("%", ""))
@@ -193,16 +212,22 @@ def _url(layer: Layer) -> list[Layer]:
 
 def _unicode(layer: Layer) -> list[Layer]:
     """The layer with all its Unicode escapes and character references decoded."""
-    if "\\" not in layer.text and "&#" not in layer.text and "%u" not in layer.text:
+    if "\\" not in layer.text and "&" not in layer.text and "%u" not in layer.text:
         return []
+    layer = _unchained(layer, UNICODE_CHAIN, lambda m: m[1] or "&")
     runs = []
     for m in UNICODE_RUN.finditer(layer.text):
         text, starts, ends = [], [], []
         for one in UNICODE_ONE.finditer(layer.text, m.start(), m.end()):
             if one[4]:
                 c = html.unescape(one[4])
+                if c == one[4]:  # no name of a character
+                    text += c
+                    starts += range(one.start(), one.end())
+                    ends += range(one.start() + 1, one.end() + 1)
+                    continue
             else:
-                code = int(one[1] or one[2] or one[3], 16)
+                code = int(one[6], 8) if one[6] else int(one[1] or one[2] or one[3] or one[5], 16)
                 if code > 0x10FFFF:
                     c = one[0]
                 elif 0xDC00 <= code < 0xE000 and text and 0xD800 <= ord(text[-1]) < 0xDC00:
@@ -390,7 +415,7 @@ def _substituted(pieces: Iterable[bytes], one: re.Pattern,
     rest = b""
     for piece in pieces:
         rest += piece
-        at = max(rest.rfind(mark, -12) for mark in (b"%", b"&", b"\\"))
+        at = max(rest.rfind(mark, -36) for mark in (b"%", b"&", b"\\"))
         at = len(rest) if at < 0 else at
         # A backslash that may be escaped waits with the one before it.
         at -= (at - len(rest[:at].rstrip(b"\\"))) % 2 if rest[at:at + 1] == b"\\" else 0
@@ -405,10 +430,12 @@ def _url_byte(one: re.Match) -> bytes:
 
 def _unicode_byte(one: re.Match) -> bytes:
     if one[4]:
-        digits = one[4][2:-1]
-        code = int(digits[1:], 16) if digits[:1] in b"xX" else int(digits)
+        told = html.unescape(one[4].decode("ascii"))
+        if told.encode("utf-8", "replace") == one[4]:
+            return one[4]
+        code = ord(told) if len(told) == 1 else 256
     else:
-        code = int(one[1] or one[2] or one[3], 16)
+        code = int(one[6], 8) if one[6] else int(one[1] or one[2] or one[3] or one[5], 16)
     return bytes([code]) if code < 256 else b"?"
 
 
@@ -479,7 +506,7 @@ class Stream:
             tail, edge = told[-TAIL:], near + piece
             url = url or b"%" in edge and bool(URL_SEQUENCE.search(edge))
             form = form or b"+" in piece
-            escape = escape or any(mark in edge for mark in (b"\\", b"%u", b"&#")) and bool(
+            escape = escape or any(mark in edge for mark in (b"\\", b"%u", b"&")) and bool(
                 UNICODE_SEQUENCE.search(edge))
             wide = wide or b"\0" in edge and bool(WIDE.search(edge))
             near = edge[-TAIL:]
@@ -643,6 +670,7 @@ class Run:
     """Base64 letters of a layer, with other characters between them taken out."""
 
     def __init__(self, layer: Layer, start: int, run: str):
+        run = WRITTEN_END.sub("  ", run)  # its letters are none of the run's
         codes = np.frombuffer(run.encode("ascii"), np.uint8)
         self.layer = layer
         self.places = start + np.flatnonzero(LETTER[codes])
@@ -683,20 +711,22 @@ def _base64_layers(run: Run, k: int, raw: bytes) -> list:
 def _lines(text: str) -> Iterator[tuple[int, str, str | None]]:
     """Base64 letters over lines of any width: start, letters with the line ends, and the part of
     them that has one width, if it is not all."""
-    if "\n" not in text:
+    if "\n" not in text and "\r" not in text and "\\n" not in text:
         return
     for m in BASE64_LINES.finditer(text):
-        lines = m[0].split("\n")
-        width = [len(line.strip()) for line in lines]
-        if len(lines) == 2 and width[0] < 16 or sum(width) < 16:
+        ends = list(LINE_END.finditer(m[0]))
+        begin = [0, *[e.end() for e in ends]]
+        end = [*[e.start() for e in ends], len(m[0])]
+        width = [b - a for a, b in zip(begin, end, strict=True)]
+        if len(width) == 2 and width[0] < 16 or sum(width) < 16:
             continue
         first = 0 if width[0] == width[1] else 1
         last = first + 1
-        while last < len(lines) and width[last] == width[first]:
+        while last < len(width) and width[last] == width[first]:
             last += 1
-        last += last < len(lines) and width[last] < width[first]
-        whole = first == 0 and last == len(lines)
-        yield m.start(), m[0], None if whole else "\n".join(lines[first:last])
+        last += last < len(width) and width[last] < width[first]
+        whole = first == 0 and last == len(width)
+        yield m.start(), m[0], None if whole else m[0][begin[first]:end[last - 1]]
 
 
 def _base64(layer: Layer) -> list:

@@ -204,3 +204,40 @@ def test_long_contents_are_read_to_their_end_in_pieces(monkeypatch):
     bomb = coded(zlib.compress(b" " * (secrets.UNFOLD_BYTES + 10) + SECRET.encode()))
     base, found, layers, cut = secrets.scan(bomb)
     assert found == [(0, 0, len(bomb))] and cut
+
+
+def test_forms_of_escapes_and_lines():
+    """Each form hides the same secret; its span is that of the whole encoded stretch."""
+    import base64
+
+    secret = "password=hunter2secret"
+    coded = base64.b64encode(("some words before " + secret + " and behind").encode()).decode()
+    cut = [coded[i:i + 20] for i in range(0, len(coded), 20)]
+    forms = {
+        "braces": "".join(f"\\u{{{ord(c):x}}}" for c in secret),
+        "octal": "".join(f"\\{ord(c):03o}" for c in secret),
+        "no semicolon": "".join(f"&#{ord(c)}" for c in secret),
+        "name": secret.replace("=", "&equals;"),
+        "lone CR": "\r".join(cut), "written line ends": "\\n".join(cut),
+        "written CR LF": "\\r\\n".join(cut),
+        "chain of references": secret.replace("=", "&amp;amp;amp;equals;"),
+        "chain of escapes": secret.replace("=", "\\u005cu005cu005cu003d"),
+    }
+    for name, form in forms.items():
+        base, spans, _layers, _cut = secrets.scan("see: " + form + " .")
+        more = set(spans) - set(base)
+        assert any(kind == 0 and 5 <= a and b <= 5 + len(form) for a, kind, b in more), name
+    # What is no reference stays, also beside one.
+    _base, spans, _n, _cut = secrets.scan("&nosuchname; token&equals;abcdef1")
+    assert (13, 0, 33) in spans
+
+
+def test_long_chains_take_linear_time():
+    import time
+
+    for chain in ("%" + "25" * 500_000 + "3d", "\\" + "u005c" * 200_000 + "u003d",
+                  "&" + "amp;" * 250_000 + "equals;"):
+        started = time.time()
+        _base, spans, _layers, _cut = secrets.scan("token" + chain + "abcdef1")
+        assert time.time() - started < 20
+        assert any(kind == 0 and (a, b) == (0, 5 + len(chain) + 7) for a, kind, b in spans)
