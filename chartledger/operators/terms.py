@@ -1,10 +1,13 @@
 """Terminology: look terms up, code only exact matches, check codes."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartledger.functions.text import normalise_term
+from chartledger.operators.containment import contained, containing, owners
 
 EMITTABLE = "category"
 
@@ -62,33 +65,56 @@ def lookup_terms(terms: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame
     """The k best concepts per distinct term: by rank, then concept order.
 
     Exact matches come first, by an equi-join; containment is searched only for terms that have
-    fewer than k of them.
+    fewer than k of them. Of a term's matches of one rank only the first k are ever made.
     """
-    keys = terms.select(normalise_term(F.col("term")).alias("term_key")).distinct().filter(
-        F.length("term_key") >= 3)
-    exact = keys.join(
-        concepts.withColumn("term_key", normalise_term(F.col("display"))), "term_key").select(
-            "term_key", "concept_id", "code", "display", F.lit(0).alias("rank"))
-    enough = exact.groupBy("term_key").agg(F.count(F.lit(1)).alias("_n")).filter(
-        F.col("_n") >= k).select("term_key")
-    rest = keys.join(enough, "term_key", "left_anti").withColumnRenamed("term_key", "term")
-    found = exact.unionByName(term_matches(rest, concepts).filter(F.col("rank") > 0))
+    keys, shown = _term_keys(terms), _displays(concepts, k)
+    exact = _exact(keys, shown)
+    rest = keys.join(exact.filter(F.col("n") >= k), "term_key", "left_anti")
+    found = [exact, containing(rest, shown, "term_key", "_n", k),
+             contained(rest, shown, "term_key", "_n", k)]
+    ranked = reduce(DataFrame.unionByName, [
+        f.select("term_key", F.explode("first").alias("concept_id"), F.lit(r).alias("rank"))
+        for r, f in enumerate(found)])
+    # An exact match is among those that contain the term as well.
+    ranked = ranked.groupBy("term_key", "concept_id").agg(F.min("rank").alias("rank"))
     best = W.partitionBy("term_key").orderBy("rank", "concept_id")
-    return found.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k)
+    top = ranked.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k)
+    return top.join(concepts.select("concept_id", "code", "display"), "concept_id").select(
+        "term_key", "concept_id", "code", "display", "rank", "position")
+
+
+def _term_keys(terms: DataFrame) -> DataFrame:
+    return terms.select(normalise_term(F.col("term")).alias("term_key")).distinct().filter(
+        F.length("term_key") >= 3)
+
+
+def _displays(concepts: DataFrame, k: int) -> DataFrame:
+    """Different displays with the number of their concepts and the first k of these."""
+    known = concepts.select("concept_id", normalise_term(F.col("display")).alias("_n"))
+    return owners(known.filter("_n <> ''"), "_n", "concept_id", k)
+
+
+def _exact(keys: DataFrame, shown: DataFrame) -> DataFrame:
+    return keys.join(shown, F.col("term_key") == F.col("_n")).select("term_key", "n", "first")
 
 
 def code_terms(terms: DataFrame, concepts: DataFrame) -> DataFrame:
     """Code each term by an exact match only; otherwise say how many were near and leave it.
-    All near matches are counted.
+    All near matches are counted, from the counts of runs of letters and not as pairs.
 
     Adds code, outcome (coded, not_emittable, near_matches, unmapped) and candidates.
     """
-    found = term_matches(terms, concepts)
+    keys, shown = _term_keys(terms), _displays(concepts, 1)
     kinds = concepts.select("concept_id", "class_kind", "is_selectable")
-    counts = found.groupBy("term_key").agg(
-        F.count(F.lit(1)).alias("candidates"),
-        F.min_by("concept_id", F.struct("rank", "concept_id")).alias("concept_id"),
-        F.min("rank").alias("rank"))
+    ways = [_exact(keys, shown), containing(keys, shown, "term_key", "_n", 1),
+            contained(keys, shown, "term_key", "_n", 1)]
+    # Those that contain the term include the exact ones.
+    counts = reduce(DataFrame.unionByName, [
+        f.select("term_key", F.col("first")[0].alias("concept_id"), F.lit(r).alias("rank"),
+                 (F.col("n") if r else F.lit(0).cast("long")).alias("n"))
+        for r, f in enumerate(ways)]).groupBy("term_key").agg(
+            F.sum("n").alias("candidates"), F.min_by("concept_id", "rank").alias("concept_id"),
+            F.min("rank").alias("rank"))
     exact = counts.join(kinds, "concept_id", "left").join(
         concepts.select("concept_id", F.col("code").alias("_code")), "concept_id", "left")
     rows = terms.withColumn("term_key", normalise_term(F.col("term"))).join(
