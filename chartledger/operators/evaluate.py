@@ -160,14 +160,10 @@ def strict_gate(overall: DataFrame, min_sensitivity: float = 0.98) -> DataFrame:
 PREFIXES = {"medication": 6, "investigation": 5, "diagnosis": 12}
 
 
-def _pieces(text: Column, longest: int) -> Column:
-    """Every run of 1 to `longest` letters of a short text."""
-    lengths = F.sequence(F.lit(1), F.lit(longest))
-    runs = F.transform(lengths, lambda n: F.when(
-        F.length(text) >= n,
-        F.transform(F.sequence(F.lit(1), F.length(text) - n + 1),
-                    lambda i: F.substring(text, i, n))))
-    return F.array_distinct(F.flatten(F.array_compact(runs)))
+def _pieces(text: Column, length: str) -> Column:
+    """Every different run of as many letters as the column ``length`` says, in one pass."""
+    run = F.concat(F.lit("(?s)(?=(.{"), F.col(length).cast("string"), F.lit("}))"))
+    return F.array_distinct(F.regexp_extract_all(text, run, F.lit(1)))
 
 
 def match_truth(truth: DataFrame, entities: DataFrame) -> DataFrame:
@@ -175,17 +171,18 @@ def match_truth(truth: DataFrame, entities: DataFrame) -> DataFrame:
 
     ``truth`` holds doc_id, truth_id, kind, name; ``entities`` doc_id, position, kind, label.
     A name is found by an equi-join on its beginning against the pieces of each label, so rows of
-    a document are not paired with each other.
+    a document are not paired with each other. Pieces are made only of the lengths that the
+    beginnings looked for in the same document and kind have: one for most.
     """
     wanted = truth.withColumn("_key", F.coalesce(*[
         F.when(F.col("kind") == k, F.substring(compact(F.col("name")), 1, n))
         for k, n in PREFIXES.items()
     ])).filter("_key <> ''")
     read = entities.filter(F.col("kind").isin(*PREFIXES)).withColumn("_text", compact(F.col("label")))
-    longest = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in PREFIXES.items()])
-    offered = read.select("doc_id", "kind", F.col("position").alias("_at"),
+    sizes = wanted.select("doc_id", "kind", F.length("_key").alias("_length")).distinct()
+    offered = read.join(sizes, ["doc_id", "kind"]).select("doc_id", "kind", F.col("position").alias("_at"),
                           F.struct("label", "dose", "range_flag").alias("_got"),
-                          F.explode(_pieces(F.col("_text"), longest)).alias("_key"))
+                          F.explode(_pieces(F.col("_text"), "_length")).alias("_key"))
     hit = wanted.join(offered, ["doc_id", "kind", "_key"]).groupBy("truth_id").agg(
         F.min_by("_got", "_at").alias("_got"))
     return truth.join(hit, "truth_id", "left").withColumn("found", F.col("_got").isNotNull())

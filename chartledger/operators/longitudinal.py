@@ -254,9 +254,7 @@ def cross_patient_similar(
     flag is part of the join key, so synthetic and clinical records never meet. The work grows
     with the candidates; no pairs are made here.
     """
-    owner = encounters.select("encounter_id", "patient_id").join(
-        patients.select("patient_id", F.coalesce("is_synthetic", F.lit(False)).alias("_flag")),
-        "patient_id")
+    owner = _owners(encounters, patients)
     target = owner.select(F.col("encounter_id").alias("target_id"),
                           F.col("patient_id").alias("_target_patient"), "_flag")
     inside = (
@@ -273,6 +271,69 @@ def cross_patient_similar(
     )
 
 
+def nearest_across_patients(
+    targets: DataFrame, features: DataFrame, encounters: DataFrame, patients: DataFrame,
+    k: int = 3, max_frequency: int | None = None,
+) -> DataFrame:
+    """For each target visit, the k visits of other patients that share most features with it.
+
+    ``targets`` holds target_id, the stated visits to search for; all visits are searched, inside
+    the target's cohort. Ties go to the lower id. Features are ordered by rarity within a cohort.
+    First, k visits of other patients per feature give each target a count that its k-th best
+    visit reaches at least. Two visits that share that many features share one among the rarest of
+    either, so only visits that meet a target in this beginning, and whose remaining features can
+    still make up the count, are scored. The result is exact; nothing is left out.
+
+    ``max_frequency`` leaves out features held by more visits than that; off unless it is given.
+    """
+    feature = ["_flag", "path", "item"]
+    owner = _owners(encounters, patients)
+    held = features.join(owner, "encounter_id")
+    counts = held.groupBy(*feature).agg(F.count(F.lit(1)).alias("_n"))
+    if max_frequency is not None:
+        counts = counts.filter(F.col("_n") <= max_frequency)
+    visit = W.partitionBy("encounter_id")
+    held = salted_join(held, counts, feature, "encounter_id").withColumn(
+        "_after", F.row_number().over(visit.orderBy(F.desc("_n"), "path", "item"))).drop("_n")
+    wanted = held.join(targets.select(F.col("target_id").alias("encounter_id")).distinct(),
+                       "encounter_id", "left_semi")
+    wanted = wanted.withColumnsRenamed(
+        {"encounter_id": "target_id", "patient_id": "_patient", "_after": "_left"})
+
+    def scored(pairs):
+        theirs = pairs.join(held.select("encounter_id", *feature), "encounter_id")
+        return theirs.join(wanted.select("target_id", *feature), ["target_id", *feature]).groupBy(
+            "target_id", "encounter_id").agg(F.count(F.lit(1)).alias("shared_count"))
+
+    # One visit a patient: of k + 1 patients at least k are not the target's own.
+    some = held.groupBy(*feature, "patient_id").agg(F.min("encounter_id").alias("encounter_id"))
+    first = W.partitionBy(*feature).orderBy("patient_id")
+    some = some.withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= k + 1)
+    other = F.col("patient_id") != F.col("_patient")
+    seeds = salted_join(wanted, some, feature, "target_id").filter(other)
+    best = W.partitionBy("target_id").orderBy(F.desc("shared_count"), "encounter_id")
+    reached = scored(seeds.select("target_id", "encounter_id").distinct()).withColumn(
+        "_at", F.row_number().over(best)).filter(F.col("_at") == k).select(
+        "target_id", F.col("shared_count").alias("_least"))
+
+    # `_after` and `_left` count the features from this one to the most frequent one.
+    bound = wanted.join(reached, "target_id", "left").withColumn(
+        "_least", F.coalesce("_least", F.lit(1))).filter(F.col("_left") >= F.col("_least"))
+    found = held.join(bound, feature).filter(other & (F.col("_after") >= F.col("_least")))
+    pairs = found.select("target_id", "encounter_id").distinct()
+    return (
+        scored(pairs).withColumn("position", F.row_number().over(best))
+        .filter(F.col("position") <= k).withColumn("band", band(F.col("shared_count")))
+    )
+
+
+def _owners(encounters: DataFrame, patients: DataFrame) -> DataFrame:
+    """encounter_id, patient_id and the cohort flag; an unknown flag counts as clinical."""
+    flags = patients.select(
+        "patient_id", F.coalesce("is_synthetic", F.lit(False)).alias("_flag"))
+    return encounters.select("encounter_id", "patient_id").join(flags, "patient_id")
+
+
 def _told(column: str) -> Column:
     """The text, null where it is empty."""
     return F.when(F.col(column) != "", F.col(column))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartledger.functions.text import normalise_term
+from chartledger.functions.text import fold_term
 from chartledger.operators.containment import contained, containing, owners
 
 EMITTABLE = "category"
@@ -42,9 +42,9 @@ def term_matches(terms: DataFrame, concepts: DataFrame) -> DataFrame:
     candidates are then checked in full. Displays under three letters meet the one- and two-letter
     runs of the terms in the same way. Distinct terms only, so a frequent term is matched once.
     """
-    keys = terms.select(normalise_term(F.col("term")).alias("term_key")).distinct().filter(
+    keys = terms.select(fold_term(F.col("term")).alias("term_key")).distinct().filter(
         F.length("term_key") >= 3)
-    known = concepts.withColumn("_n", normalise_term(F.col("display"))).filter("_n <> ''").select(
+    known = concepts.withColumn("_n", fold_term(F.col("display"))).filter("_n <> ''").select(
         "concept_id", "code", "display", "_n")
     inside = keys.withColumn("_g", _key_gram(F.col("term_key"))).join(
         known.withColumn("_g", F.explode(_grams(F.col("_n")))), "_g"
@@ -84,13 +84,13 @@ def lookup_terms(terms: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame
 
 
 def _term_keys(terms: DataFrame) -> DataFrame:
-    return terms.select(normalise_term(F.col("term")).alias("term_key")).distinct().filter(
+    return terms.select(fold_term(F.col("term")).alias("term_key")).distinct().filter(
         F.length("term_key") >= 3)
 
 
 def _displays(concepts: DataFrame, k: int) -> DataFrame:
     """Different displays with the number of their concepts and the first k of these."""
-    known = concepts.select("concept_id", normalise_term(F.col("display")).alias("_n"))
+    known = concepts.select("concept_id", fold_term(F.col("display")).alias("_n"))
     return owners(known.filter("_n <> ''"), "_n", "concept_id", k)
 
 
@@ -117,7 +117,7 @@ def code_terms(terms: DataFrame, concepts: DataFrame) -> DataFrame:
             F.min("rank").alias("rank"))
     exact = counts.join(kinds, "concept_id", "left").join(
         concepts.select("concept_id", F.col("code").alias("_code")), "concept_id", "left")
-    rows = terms.withColumn("term_key", normalise_term(F.col("term"))).join(
+    rows = terms.withColumn("term_key", fold_term(F.col("term"))).join(
         exact, "term_key", "left")
     emittable = (F.col("class_kind") == EMITTABLE) & F.col("is_selectable")
     outcome = (

@@ -1,5 +1,6 @@
 """Queries over document lines."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartledger.config.vocabulary import (
@@ -289,3 +290,45 @@ def _(v):
     shown = confidence_band(F.col("confidence"), F.col("handwritten"), F.col("text"),
                             F.lit(None).cast("string"))
     return v.line.groupBy(shown.alias("band")).agg(F.count("*").alias("n"))
+
+
+# Every line but each fourth is a region of its own; items are numbered within their lane.
+_REGIONS = _INHERITED + """
+, numbered AS (SELECT doc_id, chk, row_number() OVER (PARTITION BY doc_id, chk ORDER BY line_no)
+     - 1 AS nr, CASE WHEN line_no % 4 <> 3 THEN line_no // 2 END AS region_id FROM inh),
+reg AS (SELECT doc_id, region_id, chk, nr, CASE WHEN chk THEN 'pending:' ELSE 'recorded:' END
+     || CAST(nr AS VARCHAR) AS item_id FROM numbered WHERE region_id IS NOT NULL)
+"""
+
+
+def _region():
+    return F.expr("CASE WHEN line_no % 4 <> 3 THEN line_no div 2 END")
+
+
+def _region_items(v):
+    at = F.row_number().over(W.partitionBy("doc_id", "_chk").orderBy("line_no")) - 1
+    rows = entities(v).withColumn("_chk", X.needs_check()).withColumns(
+        {"position": at, "region_id": _region()})
+    return X.region_items(rows.filter("NOT _chk"), rows.filter("_chk").withColumnRenamed(
+        "position", "entity_index"))
+
+
+@query("x12_region_items", "line", _REGIONS + """
+SELECT doc_id, region_id, item_id, CAST(row_number() OVER (PARTITION BY doc_id, region_id
+   ORDER BY chk, nr) AS INT) AS item_no FROM reg""")
+def _(v):
+    return _region_items(v)
+
+
+@query("x12_document_regions", "line", _REGIONS + """
+, blk AS (SELECT doc_id, line_no // 2 AS region_id, text, line_no, CASE WHEN handwritten
+     OR confidence IS NULL OR confidence <= 0.72 THEN 'verify' WHEN confidence >= 0.9 THEN 'high'
+     ELSE 'medium' END AS measured FROM line WHERE line_no % 4 <> 3)
+SELECT doc_id, region_id, line_no, md5(text) AS shown, CASE WHEN line_no = 8 THEN 'unreadable'
+   ELSE measured END AS band, CAST((SELECT count(*) FROM reg WHERE reg.doc_id = blk.doc_id
+     AND reg.region_id = blk.region_id) AS BIGINT) AS items FROM blk""")
+def _(v):
+    blocks = v.line.withColumns({
+        "region_id": _region(), "failure": F.expr("CASE WHEN line_no = 8 THEN 'blurred' END")})
+    return X.document_regions(blocks, _region_items(v)).select(
+        "doc_id", "region_id", "line_no", F.md5("text").alias("shown"), "band", "items")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chartledger.functions.text import normalise_term
+from chartledger.functions.text import fold_term, normalise_term
 from chartledger.operators import governance as A
 from chartledger.operators import terms as T
 from chartledger.operators.predicates import assessment_fields
@@ -397,6 +397,18 @@ def _(v):
     return v.documents.select("doc_id", F.md5(normalise_term(F.col("text"))).alias("normal"))
 
 
+@query("t1_folded_forms", "part", r"""
+SELECT p_partkey, trim(regexp_replace(lower('strasse ffi hfi ' || p_name || ' ' || p_type),
+   '[^a-z0-9]+', ' ', 'g')) AS normal FROM part""")
+def _(v):
+    full = "".join(chr(0xFF41 + i) for i in range(26))
+    plain = "".join(chr(97 + i) for i in range(26))
+    accented = F.regexp_replace(F.translate(F.upper("p_type"), "AEIOU", "ẤÊĬÕỰ"), "S", "S\u0301")
+    shown = F.concat(F.lit("Straße ﬃ hﬁ--"), F.translate("p_name", plain, full), F.lit(" • "),
+                     accented)
+    return v.part.select("p_partkey", fold_term(shown).alias("normal"))
+
+
 @query("t2_lookup_terms", "part", _CONCEPT + """
 SELECT k AS term_key, concept_id, code, rank, CAST(pos AS INT) AS position FROM best
 WHERE pos <= 5""")

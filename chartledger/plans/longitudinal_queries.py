@@ -220,6 +220,25 @@ def _(v):
     return G.cross_patient_similar(pairs, G.feature_set(efacts(v)), v.encounter, v.patient)
 
 
+@query("g8_nearest_across_patients", "efact encounter patient", _FEATURES + """
+, own AS (SELECT e.encounter_id, e.patient_id, coalesce(p.is_synthetic, false) AS flag
+   FROM encounter e JOIN patient p USING (patient_id)),
+has AS (SELECT feat.*, patient_id, flag FROM feat JOIN own USING (encounter_id)),
+hit AS (SELECT x.encounter_id AS target_id, y.encounter_id, CAST(count(*) AS BIGINT) AS shared_count
+   FROM has x JOIN has y ON y.flag = x.flag AND y.path = x.path AND y.item = x.item
+     AND y.patient_id <> x.patient_id WHERE x.encounter_id % 100 = 0 GROUP BY 1, 2),
+pos AS (SELECT *, row_number() OVER (PARTITION BY target_id
+   ORDER BY shared_count DESC, encounter_id) AS position FROM hit)
+SELECT target_id, encounter_id, shared_count, CAST(position AS INT) AS position,
+   CASE WHEN shared_count >= 4 THEN 'many shared features' WHEN shared_count >= 2
+        THEN 'some shared features' ELSE 'one shared feature' END AS band
+FROM pos WHERE position <= 3""")
+def _(v):
+    targets = v.encounter.filter("encounter_id % 100 = 0").selectExpr("encounter_id AS target_id")
+    return G.nearest_across_patients(
+        targets, G.feature_set(efacts(v)), v.encounter, v.patient)
+
+
 @query("g9_latest_observations", "obs", """
 SELECT patient_id, analyte, seq, value, unit, range_flag, observed_on FROM (
   SELECT *, coalesce(analyte_key, lower(display)) AS analyte, row_number() OVER (

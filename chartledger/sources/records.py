@@ -12,7 +12,7 @@ from chartledger.config.vocabulary import (
     REPORT_VERSION,
     REQUIRED_SCOPES,
 )
-from chartledger.functions.text import normalise_term
+from chartledger.functions.text import fold_term
 from chartledger.functions.values import VALUE_TYPE
 from chartledger.sources.schemas import LAYOUT, TABLES
 
@@ -134,7 +134,7 @@ def load_code_systems(
     systems = new.select("url", "version", "name", F.lit(True).alias("is_active"),
                          F.sha2("payload", 256).alias("checksum"))
     rows = concepts.join(new.select("url", "version"), ["url", "version"], "left_semi").withColumn(
-        "display_normalized", normalise_term(F.col("display")))
+        "display_normalized", fold_term(F.col("display")))
     return systems, rows
 
 
