@@ -39,31 +39,44 @@ BLOCK_SHINGLES = 65_536
 COLUMNS = 4096
 CELLS = 1 << 18
 SLICE = 1 << 12
+# Elements whose permutations are drawn at a time; one longer set is drawn alone.
+WINDOW = 60_000
 
 SIGNATURES = "doc_id long, key long, n_shingles long, set_id binary, bands array<long>"
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Set size, fingerprint and band keys of every text.
+
+    Sets are held for about WINDOW elements at a time, so a task needs no more memory for a batch
+    of long texts than for one of short texts.
+    """
     hashes = S.WordHashes()
     for batch in batches:
-        texts = batch["text"].to_pylist()
-        sets = [S.shingle_set(t, hashes) for t in texts]
-        bands: list = [None] * len(texts)
-        some = [i for i, s in enumerate(sets) if len(s)]
-        at = 0
-        while at < len(some):  # about 60,000 elements at a time bound the permutations' memory
-            upto, size = at, 0
-            while upto < len(some) and (upto == at or size + len(sets[some[upto]]) <= 60_000):
-                size += len(sets[some[upto]])
-                upto += 1
-            keys = S.band_keys(S.super_minhash([sets[i] for i in some[at:upto]]))
-            for i, row in zip(some[at:upto], keys, strict=True):
+        count = batch.num_rows
+        sizes, prints, bands = [0] * count, [None] * count, [None] * count
+        held: dict[int, np.ndarray] = {}
+
+        def settle():
+            for i, row in zip(held, S.band_keys(S.super_minhash(list(held.values()))), strict=True):
                 bands[i] = row
-            at = upto
+            held.clear()
+
+        waiting = 0
+        for i in range(count):
+            found = S.shingle_set(batch["text"][i].as_py(), hashes)
+            if not len(found):
+                continue
+            if held and waiting + len(found) > WINDOW:
+                settle()
+                waiting = 0
+            sizes[i], prints[i], held[i] = len(found), S.fingerprint(found), found
+            waiting += len(found)
+        if held:
+            settle()
         yield pa.RecordBatch.from_arrays([
-            batch["doc_id"], batch["key"], pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([S.fingerprint(s) if len(s) else None for s in sets], pa.binary()),
-            pa.array(bands, pa.list_(pa.int64())),
+            batch["doc_id"], batch["key"], pa.array(sizes, pa.int64()),
+            pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
         ], names=["doc_id", "key", "n_shingles", "set_id", "bands"])
 
 
