@@ -1,7 +1,11 @@
 """What the operators of this subpackage share: the shared folder, written tables, safe columns."""
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from chartledger.streaming.jobs import work_folder
 # Rows, and bytes of all rows together, up to which a table may be broadcast.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 40_000_000
+# Bytes of a column that a task turns into Python objects at a time.
+PIECE_BYTES = 4_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,3 +70,15 @@ def discard(df: DataFrame) -> None:
 def hex_to_long(hex_text: Column, digits: int) -> Column:
     """The number written by the first ``digits`` (15 at most) hex digits."""
     return F.conv(F.substring(hex_text, 1, digits), 16, 10).cast("long")
+
+
+def in_pieces(batches: Iterator[pa.RecordBatch], column: str,
+              size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of ``column``; a longer value is one slice."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+        piece = (np.cumsum(lengths, dtype=np.int64) - lengths) // size
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)

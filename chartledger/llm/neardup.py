@@ -20,6 +20,7 @@ Similarities are exact over full sets of 64-bit shingle hashes.
 """
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -29,14 +30,15 @@ from pyspark.sql import functions as F
 
 from chartledger.functions.ordered import salted_join
 from chartledger.llm import shingles as S
-from chartledger.llm.common import discard, small_side, text_or_empty, written
+from chartledger.llm.common import discard, in_pieces, small_side, text_or_empty, written
 
 # Linked: HUNDREDTHS * intersection >= LEAST * union.
 HUNDREDTHS, LEAST = 100, 75
 # Shingles of a block of members (one longer set is a block of its own), columns of a matrix
-# product, and cells of the sketch of shingle counts.
+# product and sets on each side of it, and cells of the sketch of shingle counts.
 BLOCK_SHINGLES = 65_536
 COLUMNS = 4096
+TILE = 1024
 CELLS = 1 << 18
 SLICE = 1 << 12
 # Elements whose permutations are drawn at a time; one longer set is drawn alone.
@@ -82,7 +84,7 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = S.WordHashes()
-    for batch in batches:
+    for batch in in_pieces(batches, "text"):
         sets = [S.shingle_set(t, hashes).tobytes() for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch["rid"], pa.array(sets, pa.binary())], names=["rid", "members"])
@@ -128,11 +130,9 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
     if len(left) and len(right) and group["component"].nunique() > 1:
         a = [np.frombuffer(m, np.uint64) for m in left["members"]]
         b = [np.frombuffer(m, np.uint64) for m in right["members"]]
-        common = common_counts(a, b)
         size_a, size_b = np.array([len(s) for s in a]), np.array([len(s) for s in b])
-        union = size_a[:, None] + size_b[None, :] - common
         comp_a, comp_b = left["component"].to_numpy(), right["component"].to_numpy()
-        hits = (HUNDREDTHS * common >= LEAST * union) & (comp_a[:, None] != comp_b[None, :])
+        ids_a, ids_b = left["rid"].to_numpy(), right["rid"].to_numpy()
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -141,12 +141,18 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
                 x = root[x]
             return x
 
-        ids_a, ids_b = left["rid"].to_numpy(), right["rid"].to_numpy()
-        for i, j in zip(*np.nonzero(hits), strict=True):
-            x, y = top(int(comp_a[i])), top(int(comp_b[j]))
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                links.append((int(ids_a[i]), int(ids_b[j])))
+        # A block of short sets holds thousands: they are multiplied TILE by TILE.
+        for at, to in product(range(0, len(a), TILE), range(0, len(b), TILE)):
+            of_a, of_b = slice(at, at + TILE), slice(to, to + TILE)
+            common = common_counts(a[of_a], b[of_b])
+            union = size_a[of_a, None] + size_b[None, of_b] - common
+            hits = (HUNDREDTHS * common >= LEAST * union) & (
+                comp_a[of_a, None] != comp_b[None, of_b])
+            for i, j in zip(*np.nonzero(hits), strict=True):
+                x, y = top(int(comp_a[at + i])), top(int(comp_b[to + j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((int(ids_a[at + i]), int(ids_b[to + j])))
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
@@ -248,7 +254,7 @@ def star_links(members: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFra
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells = np.zeros(CELLS, dtype=np.int64)
-    for batch in batches:
+    for batch in in_pieces(batches, "members"):
         for members in batch["members"].to_pylist():
             cells += np.bincount(_cell(np.frombuffer(members, np.uint64)), minlength=CELLS)
     if cells.any():
@@ -289,7 +295,7 @@ def necessary_prefix(members: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 def _prefix_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches, "members"):
             found = [necessary_prefix(np.frombuffer(m, np.uint64), shared.value)
                      for m in batch["members"].to_pylist()]
             at = np.repeat(np.arange(len(found)), [len(f) for f in found])

@@ -1,10 +1,13 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from helpers import documents, near_groups_by_hand
 
 from chartledger.llm import neardup
 from chartledger.llm import shingles as S
+from chartledger.llm.common import in_pieces
 
 
 def family(r, base, changes):
@@ -150,3 +153,38 @@ def test_alike_texts_without_links_meet_in_few_blocks(spark):
     assert neardup.open_members(members, sets, labels).count() == 0
     got = neardup.near_groups(docs)
     assert got.filter("kept").count() == 400
+
+
+def test_blocks_of_many_short_sets_are_multiplied_by_tiles(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 14, 9).astype(np.uint64)) for _ in range(90)]
+    group = pd.DataFrame({
+        "side": [i % 2 for i in range(90)], "rid": range(90), "component": range(90),
+        "members": [s.tobytes() for s in sets]})
+
+    def links(tile):
+        monkeypatch.setattr(neardup, "TILE", tile)
+        return neardup._block_links(group)
+
+    def groups(found):
+        root = list(range(90))
+        for a, b in found.itertuples(index=False):
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    want = pd.DataFrame([(i, j) for i in range(0, 90, 2) for j in range(1, 90, 2)
+                         if neardup.linked(len(np.intersect1d(sets[i], sets[j])),
+                                           len(sets[i]), len(sets[j]))])
+    assert groups(links(7)) == groups(links(1024)) == groups(want)
+
+
+def test_pieces_cover_all_rows_and_long_values():
+    texts = ["a" * 3, None, "b" * 50, "", "c" * 4, "d" * 4, "e" * 4]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(7))], names=["text", "n"])
+    pieces = list(in_pieces(iter([batch, batch.slice(0, 0)]), "text", 10))
+    assert [t for p in pieces for t in p["text"].to_pylist()] == texts
+    assert len(pieces) > 2
+    for p in pieces:
+        sizes = [len(t or "") for t in p["text"].to_pylist()]
+        assert p.num_rows == 1 or sum(sizes[:-1]) <= 10
