@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from chartledger.operators import longitudinal as G
 from chartledger.functions.values import rank_of, value_text
+from chartledger.sources.documents import fragments
 
 _COLUMNS = ("patient_id", "encounter_id", "section", "sort_key", "item")
+# The order of a brief's sections.
+SECTIONS = ("snapshot", "red_flags", "contradictions", "unresolved", "what_changed", "medications",
+            "observations", "timeline", "completeness", "confirmation")
 
 
 def _lines(df: DataFrame, section: str, sort_key: Column, *fields) -> DataFrame:
@@ -64,6 +68,15 @@ def encounter_briefs(
     return reduce(DataFrame.unionByName, parts)
 
 
+def brief_fragments(lines: DataFrame) -> DataFrame:
+    """The text of every brief as one document, in fragments: encounter_id, value.
+
+    A document has patient_id, encounter_id and one list for each section that has lines.
+    """
+    return fragments(lines, "encounter_id", SECTIONS, F.struct("patient_id", "encounter_id"),
+                     ["sort_key"])
+
+
 def patient_view(
     snapshot: DataFrame, previous_meds: DataFrame, trends: DataFrame, fields=G.FIELDS
 ) -> DataFrame:

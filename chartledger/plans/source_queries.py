@@ -12,7 +12,9 @@ from chartledger.plans.bindings import Registry
 from chartledger.plans.governance_queries import concepts
 from chartledger.plans.longitudinal_queries import _STANDING, confirmed, efacts
 from chartledger.sources import bundles as U
+from chartledger.sources import documents as D
 from chartledger.sources import records as S
+from chartledger.streaming.jobs import work_folder
 
 REG = Registry()
 query = REG.add
@@ -137,29 +139,86 @@ def _ref(*parts):
 _PREF = _ref("'patient'", "CAST(patient_id AS VARCHAR)")
 
 
-@query("s7_medication_entries", "med", f"""
+_MEDICATIONS = f"""
 SELECT encounter_id, '{{"resourceType":"MedicationStatement","status":"' || CASE WHEN line_no = 1
   THEN 'active' ELSE 'unknown' END || '","subject":{{"reference":"' || {_PREF} ||
   '"}},"medication":{{"text":"' || name || '"}},"dosage":{{"text":"' || dose || '"}}}}' AS resource
-FROM med""")
+FROM med"""
+
+
+@query("s7_medication_entries", "med", _MEDICATIONS)
 def _(v):
     return bundle_entries(v).filter("resource_type = 'MedicationStatement'").select(
         "encounter_id", "resource")
 
 
-@query("s7_observation_entries", "obs encounter", f"""
+_OBSERVATIONS = f"""
 SELECT e.encounter_id, '{{"resourceType":"Observation","status":"final","subject":{{"reference":"'
   || {_PREF.replace('patient_id', 'e.patient_id')} || '"}},"code":{{"text":"' || display || '"}},'
   || CASE WHEN value IS NULL THEN '"valueString":"pending"' ELSE '"valueQuantity":{{"value":' ||
      CAST(value AS VARCHAR) || CASE WHEN unit = 'unit' THEN '' ELSE ',"unit":"' || unit || '"' END
      || '}}' END || ',"referenceRange":{{"high":{{"value":50.0' || CASE WHEN unit = 'unit' THEN ''
      ELSE ',"unit":"' || unit || '"' END || '}}}}}}' AS resource
-FROM obs JOIN encounter e ON e.encounter_id = obs.seq""")
+FROM obs JOIN encounter e ON e.encounter_id = obs.seq"""
+
+
+@query("s7_observation_entries", "obs encounter", _OBSERVATIONS)
 def _(v):
     return bundle_entries(v).filter("resource_type = 'Observation'").select(
         "encounter_id", "resource")
 
 
+_OWN = _PREF.replace("patient_id", "e.patient_id")
+
+
+def _json(text):
+    return f"to_json(CAST({text} AS VARCHAR))"
+
+
+_SUBJECT = f"""'"subject":{{"reference":"' || {_OWN} || '"}}'"""
+_CONDITION = _ref("'Condition'", "CAST(f.encounter_id AS VARCHAR)", "CAST(fact_id AS VARCHAR)")
+_KIND_SQL = f"""
+SELECT encounter_id, '{{"resourceType":"Composition","status":"preliminary",' || {_SUBJECT} ||
+  ',"title":"Intake history","author":{{' || CASE WHEN confirmed_by IS NULL THEN '' ELSE
+  '"display":' || {_json("confirmed_by")} END || '}}}}' AS resource FROM encounter e
+UNION ALL SELECT encounter_id, '{{"resourceType":"Patient","active":true,"identifier":{{"value":"'
+  || coalesce(abha_ref, 'unlinked') || '"}}}}' FROM encounter e JOIN patient USING (patient_id)
+UNION ALL SELECT encounter_id, '{{"resourceType":"Consent","status":"active",' ||
+  '"patient":{{"reference":"' || {_OWN} || '"}},"policyRule":{{"text":"' || consent_ref || '"}}}}' FROM encounter e
+  WHERE consent_ref IS NOT NULL
+UNION ALL SELECT e.encounter_id, '{{"resourceType":"Condition","verificationStatus":"unconfirmed",'
+  || {_SUBJECT} || ',"code":{{"text":' || {_json("vs")} || '}}}}' FROM encounter e
+  JOIN efact f ON f.encounter_id = e.encounter_id WHERE path = 'hpi.site'
+UNION ALL SELECT encounter_id, '{{"resourceType":"Flag","status":"active",' || {_SUBJECT} ||
+  ',"code":{{"text":"[' || upper(priority) || '] raised"}}}}' FROM encounter e
+  WHERE priority <> 'routine'
+UNION ALL SELECT encounter_id, '{{"resourceType":"DocumentReference","status":"current",' ||
+  {_SUBJECT} || ',"description":"scan' || CAST(encounter_id AS VARCHAR) || '"}}' FROM encounter e
+  WHERE kind = 'document'
+UNION ALL SELECT f.encounter_id, '{{"resourceType":"Provenance","target":{{"reference":"' ||
+  {_CONDITION} || '"}},"activity":{{"text":"' || state || '"}},"entity":{{"display":' ||
+  {_json("vs || ' [turn 1]'")} || '}}}}' FROM efact f WHERE path = 'hpi.site'
+UNION ALL """ + _MEDICATIONS + " UNION ALL " + _OBSERVATIONS
+
+
+@query("s7_encounter_documents", "encounter patient efact med obs", f"""
+WITH r AS ({_KIND_SQL})
+SELECT encounter_id, resource, CAST(count(*) OVER (PARTITION BY encounter_id) AS BIGINT) AS entries
+FROM r""")
+def _(v):
+    path = work_folder(v.spark, "s7")
+    U.write_encounter_documents(bundle_entries(v), path)
+    told = F.from_json("value", "identifier STRUCT<value: STRING>, "
+                                "entry ARRAY<STRUCT<fullUrl: STRING, resource: STRING>>",
+                       {"mode": "FAILFAST"})
+    docs = D.read_documents(v.spark, path).select(told.alias("d"))
+    return docs.select(
+        F.col("d.identifier.value").cast("long").alias("encounter_id"),
+        F.explode("d.entry").alias("e"),
+        F.size("d.entry").cast("long").alias("entries")).select(
+            "encounter_id", "e.resource", "entries")
+
+
 @query("s7_resource_counts", "encounter efact med obs", """
 SELECT encounter_id, t AS resource_type, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT encounter_id, unnest(['Composition', 'Patient']) AS t FROM encounter
@@ -251,6 +310,31 @@ def _(v):
         "patient_id", "section", "item")
 
 
+@query("g19_brief_documents", "encounter", _CUR + """
+SELECT e.encounter_id, 'red_flags' AS section, '{"rule_id":"RF-X","level":"' || priority || '"}'
+  AS item FROM cur JOIN encounter e USING (encounter_id) WHERE priority <> 'routine'
+UNION ALL SELECT encounter_id, 'confirmation', '{"decision":"confirmed_summary","actor":"'
+  || e.confirmed_by || '"}' FROM cur JOIN encounter e USING (encounter_id)
+UNION ALL SELECT encounter_id, 'contradictions', '{"contradiction_ref":"cx' ||
+  CAST(encounter_id AS VARCHAR) || '","rule_id":"CX-MED-01"}' FROM cur WHERE encounter_id % 4 = 0
+UNION ALL SELECT cur.encounter_id, 'timeline', '{"visit_id":' || CAST(e.encounter_id AS VARCHAR)
+  || ',"occurred_on":"' || CAST(e.occurred_on AS VARCHAR) || '",' || CASE WHEN headline IS NULL
+  THEN '' ELSE '"headline":"' || headline || '",' END || '"priority":"' || priority ||
+  '","is_current":' || CAST(e.encounter_id = cur.encounter_id AS VARCHAR) || '}'
+  FROM cur JOIN encounter e USING (patient_id)""")
+def _(v):
+    path = work_folder(v.spark, "g19")
+    D.write_documents(B.brief_fragments(brief(v)), path)
+    lists = ", ".join(f"{s} ARRAY<STRING>" for s in B.SECTIONS)
+    told = F.from_json("value", f"encounter_id BIGINT, {lists}", {"mode": "FAILFAST"}).alias("d")
+    sections = F.explode(F.create_map(*[
+        x for s in ("red_flags", "confirmation", "contradictions", "timeline")
+        for x in (F.lit(s), F.col(f"d.{s}"))])).alias("section", "items")
+    docs = D.read_documents(v.spark, path).select(told)
+    return docs.select("d.encounter_id", sections).select(
+        "encounter_id", "section", F.explode("items").alias("item"))
+
+
 _PLAIN = ", ".join(f"('{f[0]}', '{f[2]}')" for f in SNAPSHOT_FIELDS + ALLERGY_FIELDS)
 
 

@@ -1,7 +1,8 @@
 """Exchange documents: one JSON resource per row, keyed by the encounter it belongs to.
 
-A document is written as its entries, one line each. All entries of one encounter are never
-gathered into one value, so an encounter of any size can be exported.
+A document is written as its entries, one line each (`write_bundles`), or whole, one document an
+encounter (`write_encounter_documents`). All entries of one encounter are never gathered into one
+value, so an encounter of any size can be exported.
 """
 
 from functools import reduce
@@ -10,8 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartledger.config.vocabulary import SHARE_SCOPE
+from chartledger.sources.documents import fragments, write_documents
 
 _FIELDS = ("encounter_id", "entry_id", "resource_type", "resource")
+# The order of the kinds of entries in a document.
+KINDS = ("Composition", "Patient", "Consent", "Condition", "MedicationStatement", "Observation",
+         "Flag", "DocumentReference", "Provenance")
 
 
 def entry_id(*parts: Column) -> Column:
@@ -116,6 +121,26 @@ def write_bundles(entries: DataFrame, path: str) -> None:
     ).write.mode("error").text(path)
 
 
+def document_fragments(entries: DataFrame) -> DataFrame:
+    """The text of every encounter's document, in fragments: encounter_id, value."""
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    rows = entries.select(
+        "encounter_id", F.lit("entry").alias("section"),
+        F.array_position(kinds, F.col("resource_type")).alias("kind"), "entry_id",
+        F.concat(F.lit('{"fullUrl":'), F.to_json(F.array("entry_id")).substr(
+            F.lit(2), F.length(F.to_json(F.array("entry_id"))) - 2),
+            F.lit(',"resource":'), "resource", F.lit("}")).alias("item"))
+    head = F.struct(
+        F.lit("Bundle").alias("resourceType"), F.lit("document").alias("type"),
+        F.struct(F.col("encounter_id").cast("string").alias("value")).alias("identifier"))
+    return fragments(rows, "encounter_id", ("entry",), head, ["kind", "entry_id"])
+
+
+def write_encounter_documents(entries: DataFrame, path: str) -> None:
+    """One JSON document per encounter and line, its entries in the order of KINDS."""
+    write_documents(document_fragments(entries), path)
+
+
 def export_gate(encounters: DataFrame, consents: DataFrame, decisions: DataFrame) -> DataFrame:
     """refused (nobody confirmed), not_shared (no share scope) or ready, per encounter.
 
